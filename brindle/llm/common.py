@@ -8,8 +8,8 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that a Python worker holds at a time, besides the Arrow batch it was given.
@@ -46,10 +46,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def with_fields(df: DataFrame, keep: list[str], new: list[T.StructField]) -> T.StructType:
-    """Schema of the kept columns of ``df`` followed by ``new``; a new column replaces a kept one of its name."""
-    names = {f.name for f in new}
-    return T.StructType([df.schema[c] for c in keep if c not in names] + new)
+def with_fields(df: DataFrame, keep: list[str], new: list[T.StructField]) -> tuple[T.StructType, list[str]]:
+    """Schema of the kept columns of ``df`` followed by ``new``, and the names that pass through: a new column replaces a kept one of its name."""
+    through = [c for c in keep if c not in {f.name for f in new}]
+    return T.StructType([df.schema[c] for c in through] + new), through
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES):
@@ -57,7 +57,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES):
     n = batch.num_rows
     if not n:
         return
-    lengths = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    lengths = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
     part = np.cumsum(lengths) // most
     at = [0, *(np.flatnonzero(np.diff(part)) + 1), n]
     for a, b in zip(at, at[1:], strict=False):
@@ -70,8 +70,3 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def spread(df: DataFrame, *columns) -> DataFrame:
-    """Only the columns that are needed, read from a scan that Spark splits by bytes."""
-    return df.select(*[F.col(c) if isinstance(c, str) else c for c in columns])

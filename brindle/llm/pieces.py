@@ -159,8 +159,8 @@ def codec(model_path: str, **options) -> MergeCodec:
 def encode_decode(df: DataFrame, model_path: str, text_col: str = "text", keep: list[str] | None = None, ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
     """``keep`` (all columns but the text unless given) with the ids of the text and what they decode to."""
     keep = [c for c in df.columns if c != text_col] if keep is None else keep
-    schema = with_fields(df, keep, [T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False), T.StructField(decoded_col, T.StringType(), False)])
-    source = df.select(*[F.col(c) for c in schema.names if c in keep], F.col(text_col).alias("__text"))
+    schema, through = with_fields(df, keep, [T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False), T.StructField(decoded_col, T.StringType(), False)])
+    source = df.select(*through, F.col(text_col).alias("__text"))
 
     def run(batches):
         own = codec(model_path)
@@ -171,8 +171,7 @@ def encode_decode(df: DataFrame, model_path: str, text_col: str = "text", keep:
                 ends = np.zeros(len(ids) + 1, "int32")
                 np.cumsum([len(x) for x in ids], out=ends[1:])
                 flat = np.fromiter(chain.from_iterable(ids), "int32", int(ends[-1]))
-                columns = [c for c, name in zip(part.columns, part.schema.names, strict=True) if name != "__text"]
-                arrays = [*columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(own.decode(ids), pa.string())]
+                arrays = [*part.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(own.decode(ids), pa.string())]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return source.mapInArrow(run, schema)
