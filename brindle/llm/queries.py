@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import mixing, pieces, sharding, simhash, token_counts
+from brindle.llm import media, mixing, pieces, sharding, simhash, token_counts
 from brindle.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +50,8 @@ ORACLES["op9_mixing"] = mixing.SQL
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(documents(spark, sf_dir).select("doc_id", "text"), shards=8)
     return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int"), "shard": F.col("shard").cast("int"), "slot": F.col("slot").cast("long")})
+
+
+@query
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(media.store_and_read(documents(spark, sf_dir).select("doc_id", "text")))
