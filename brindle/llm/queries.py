@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import media, mixing, pieces, sharding, simhash, token_counts
+from brindle.llm import media, mixing, multiset, pieces, sharding, simhash, token_counts
 from brindle.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,8 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.store_and_read(documents(spark, sf_dir).select("doc_id", "text")))
+
+
+@query
+def op8_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset.with_edited(documents(spark, sf_dir).select("doc_id", "text"))
