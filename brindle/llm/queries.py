@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import media, mixing, multiset, pieces, sharding, simhash, token_counts
-from brindle.llm.common import documents
+from brindle.llm import chat, media, mixing, multiset, pieces, sharding, simhash, token_counts
+from brindle.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,3 +60,11 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset.with_edited(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+@query
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op1_chat_formatting"] = chat.SQL
