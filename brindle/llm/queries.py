@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import chat, media, mixing, multiset, pieces, sharding, simhash, token_counts
+from brindle.llm import chat, media, mixing, multiset, pieces, quality, sharding, simhash, token_counts, toxicity
 from brindle.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,15 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op1_chat_formatting"] = chat.SQL
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return toxicity.toxicity(docs, table(spark, sf_dir, "labels"), keep=["doc_id"])
+
+
+@query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return quality.quality(docs, table(spark, sf_dir, "labels"), keep=["doc_id"])
