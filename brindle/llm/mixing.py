@@ -34,7 +34,8 @@ def targets(sizes: DataFrame, share: float = SHARE, cap: float = CAP, weights: t
 
     Filling by weight where a source stops at ``cap`` times its size and its excess is shared again by weight
     ends at one level: sources below it are full, the others have level x weight. In the order of
-    cap x size / weight, a source is full if it is so at the level its predecessors leave.
+    cap x size / weight, sources are full up to the first that isn't at the level its predecessors leave; from there
+    on these levels fall, so the first is the highest of the levels that don't fill their source.
     The rows are one for each source, not for each document.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
@@ -52,7 +53,7 @@ def targets(sizes: DataFrame, share: float = SHARE, cap: float = CAP, weights: t
         .withColumn("all_weights", F.sum("weight").over(all_rows))
         .withColumn("level", level)
         .withColumn("open", F.when(F.col("full_at") > F.col("level"), F.col("level")))
-        .withColumn("level", F.min("open").over(all_rows))
+        .withColumn("level", F.max("open").over(all_rows))
         .withColumn("target", F.when(F.col("level").isNull(), F.col("most")).otherwise(F.least("most", F.col("level") * F.col("weight"))))
         .withColumn("offset", F.pmod((F.col("k") + 1) * F.lit(2_654_435_761).cast("long") + F.lit(seed).cast("long"), F.lit(4_294_967_296).cast("long")) / F.lit(4_294_967_296.0))
         .select("source", "source_size", "target", "offset")
@@ -96,7 +97,7 @@ WITH s AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^
  m AS (SELECT *, {CAP}::DOUBLE * source_size AS most, {CAP}::DOUBLE * source_size / weight AS full_at, (SELECT sum(size) FROM s)::DOUBLE AS all_sizes, sum(weight) OVER () AS all_weights FROM w),
  l AS (SELECT *, ({SHARE}::DOUBLE * all_sizes - coalesce(sum(most) OVER b, 0)) / (all_weights - coalesce(sum(weight) OVER b, 0)) AS level
        FROM m WINDOW b AS (ORDER BY full_at, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
- o AS (SELECT *, min(CASE WHEN full_at > level THEN level END) OVER () AS open FROM l),
+ o AS (SELECT *, max(CASE WHEN full_at > level THEN level END) OVER () AS open FROM l),
  t AS (SELECT source, source_size, CASE WHEN open IS NULL THEN most ELSE least(most, open * weight) END AS target,
         (((k + 1) * 2654435761 + {SEED}) % 4294967296) / 4294967296.0::DOUBLE AS u FROM o),
  r AS (SELECT doc_id, source, size, row_number() OVER (PARTITION BY source ORDER BY size, coalesce(((doc_id % {SALTS}) + {SALTS}) % {SALTS}, 0), doc_id NULLS LAST) AS rank FROM s)

@@ -1,3 +1,5 @@
+import random
+
 import duckdb
 import pytest
 
@@ -54,6 +56,16 @@ def test_law(docs):
     assert sum(target.values()) == pytest.approx(1.5 * sum(sizes.values()))
 
 
+def test_targets(spark):
+    rng = random.Random(8)
+    for k in range(12):
+        sizes = {f"s{i:02}": rng.choice([0, 1, 5, 100, 1000, 5000]) * rng.randint(1, 9) for i in range(rng.randint(1, 15))}
+        df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+        want = fill(sizes, {s: mixing.WEIGHTS[i % 3] for i, s in enumerate(sorted(sizes))}, 1.5, 2.0)
+        got = {r.source: r.target for r in mixing.targets(df).collect()}
+        assert got == pytest.approx(want)
+
+
 def test_take(docs):
     rows = mixing.mix(docs).collect()
     assert mixing.take(docs).count() == sum(r.copies for r in rows)
