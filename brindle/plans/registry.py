@@ -20,3 +20,11 @@ def query(name: str, sql: str | None = None):
         return f
 
     return add
+
+
+def load() -> None:
+    """Imports the modules that register queries."""
+    from importlib import import_module
+
+    for name in ("ranking",):
+        import_module(f"brindle.plans.{name}")
