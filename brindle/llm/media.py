@@ -1,7 +1,7 @@
 """Media columns: payloads stored losslessly as 8-bit samples in archives, read back by a Spark data source.
 
-``write_media`` has every task write its payloads as WAV members (8-bit mono, one sample a byte) of one stored
-(uncompressed) zip archive in a folder that all executors share. A task writes under a name of its own and
+``write_media`` has every task write its payloads as PNG members (8-bit grey, 64 samples a row, deflated) of one
+zip archive that stores them as they are, in a folder that all executors share. A task writes under a name of its own and
 renames it at the end, so a task that is repeated replaces its archive whole.
 
 The data source ``media`` plans partitions of byte ranges over the archives from their lengths alone. A task reads the
@@ -37,7 +37,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from brindle.llm.common import scratch, slices
 
-RATE, BLOCK = 8000, 64
+BLOCK, LEVEL, SIGNATURE = 64, 1, b"\x89PNG\r\n\x1a\n"
 MEMBERS = "member string, doc_id long, n_bytes long, media binary, error string"
 
 
@@ -47,16 +47,36 @@ def payload(text: str | None) -> tuple[bytes, int]:
     return data.ljust(max(BLOCK, -(-len(data) // BLOCK) * BLOCK), b"\0"), len(data)
 
 
-def to_wav(data: bytes) -> bytes:
-    """8-bit mono PCM; the length must be even."""
-    return struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(data), b"WAVE", b"fmt ", 16, 1, 1, RATE, RATE, 1, 8, b"data", len(data)) + data
+def _chunk(kind: bytes, data: bytes) -> bytes:
+    return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
 
-def from_wav(media: bytes) -> bytes:
-    riff, _, wave, fmt, _, kind, channels, _, _, _, bits, tag, n = struct.unpack_from("<4sI4s4sIHHIIHH4sI", media)
-    if (riff, wave, fmt, tag, kind, channels, bits) != (b"RIFF", b"WAVE", b"fmt ", b"data", 1, 1, 8) or len(media) != 44 + n:
-        raise ValueError("not an 8-bit mono WAV")
-    return media[44:]
+def to_png(data: bytes) -> bytes:
+    """Grey image of 8-bit samples, 64 a row, no row filters; the length must be a multiple of 64."""
+    rows = np.frombuffer(data, "u1").reshape(-1, BLOCK)
+    raw = np.zeros((len(rows), BLOCK + 1), "u1")
+    raw[:, 1:] = rows
+    header = struct.pack(">IIBBBBB", BLOCK, len(rows), 8, 0, 0, 0, 0)
+    return SIGNATURE + _chunk(b"IHDR", header) + _chunk(b"IDAT", zlib.compress(raw.tobytes(), LEVEL)) + _chunk(b"IEND", b"")
+
+
+def from_png(media: bytes) -> bytes:
+    """The samples of such an image; chunk lengths and CRCs are checked."""
+    at, chunks = len(SIGNATURE), []
+    while at + 12 <= len(media):
+        (n,) = struct.unpack_from(">I", media, at)
+        kind, data = media[at + 4 : at + 8], media[at + 8 : at + 8 + n]
+        if struct.unpack_from(">I", media, at + 8 + n)[0] != zlib.crc32(kind + data):
+            raise ValueError("a chunk's CRC differs")
+        chunks.append((kind, data))
+        at += 12 + n
+    if media[:8] != SIGNATURE or [k for k, _ in chunks] != [b"IHDR", b"IDAT", b"IEND"]:
+        raise ValueError("not an image of this kind")
+    width, height, *kind = struct.unpack(">IIBBBBB", chunks[0][1])
+    raw = np.frombuffer(zlib.decompress(chunks[1][1]), "u1").reshape(height, width + 1)
+    if (width, kind) != (BLOCK, [8, 0, 0, 0, 0]) or raw[:, 0].any():
+        raise ValueError("not 8-bit grey without filters")
+    return raw[:, 1:].tobytes()
 
 
 def features(data: bytes) -> str:
@@ -86,7 +106,7 @@ def write_media(df: DataFrame, folder: str, text_col: str = "text", id_col: str
                 for part in slices(batch, "__text"):
                     for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                         data, length = payload(text)
-                        archive.writestr(zipfile.ZipInfo(f"{n:09d}.{'' if key is None else key}.{length}.wav"), to_wav(data))
+                        archive.writestr(zipfile.ZipInfo(f"{n:09d}.{'' if key is None else key}.{length}.png"), to_png(data))
                         n += 1
         store.move(own, f"{root}/part-{task.partitionId():06d}.zip")
         yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
@@ -199,7 +219,7 @@ def digests(members: DataFrame) -> DataFrame:
                 for key, length, media, error in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
                     if media is None:
                         raise OSError(f"doc_id {key}: {error}")
-                    data = from_wav(media)
+                    data = from_png(media)
                     rows.append((key, length, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), features(data)))
                 i, s = pa.int64(), pa.string()
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (i, i, i, s, i, i, s, s), strict=True)], names=[f.split()[0] for f in schema.split(", ")])
