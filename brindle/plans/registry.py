@@ -26,5 +26,5 @@ def load() -> None:
     """Imports the modules that register queries."""
     from importlib import import_module
 
-    for name in ("ranking", "scalars", "search", "tabular", "regions", "vocabulary", "clustering", "exchange"):
+    for name in ("ranking", "scalars", "search", "tabular", "regions", "vocabulary", "clustering", "exchange", "imaging"):
         import_module(f"brindle.plans.{name}")
