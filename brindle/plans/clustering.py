@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from brindle.operators import bow, clustering
 from brindle.plans.registry import query
 from brindle.plans.tables import DESCRIPTORS, INDEX, descriptors, postings
+from brindle.sources.shared import cut
 
 K = 6
 BASE = f"{DESCRIPTORS}, points AS (SELECT kp_id AS doc_id, kp_id % {K} AS cluster, vec FROM descriptors)"
@@ -100,7 +101,7 @@ def c12(spark, sf_dir):
 
 @query("c13_word_clusters", f"WITH {INDEX}, a AS (SELECT doc_id, doc_id % 4 AS cluster FROM documents), z AS (SELECT cluster, count(*) AS size FROM a GROUP BY cluster), s AS (SELECT cluster, word, sum(tf) / max(size) AS m FROM weights JOIN a ON a.doc_id = fid JOIN z USING (cluster) GROUP BY cluster, word) SELECT word, cluster FROM s QUALIFY row_number() OVER (PARTITION BY word ORDER BY round(m, 9) DESC, cluster) = 1")
 def c13(spark, sf_dir):
-    w = bow.weights(bow.term_counts(postings(spark, sf_dir)))
+    w = bow.weights(cut(bow.term_counts(postings(spark, sf_dir))))
     cells = w.select(F.col("fid").alias("doc_id"), "word", F.col("tf").alias("val"))
     assigned = w.sparkSession.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", (F.col("doc_id") % 4).alias("cluster"))
     return clustering.word_clusters(cells, assigned)

@@ -8,13 +8,19 @@ from pyspark.sql import functions as F
 from brindle.operators import bow
 from brindle.plans.registry import query
 from brindle.plans.tables import IMAGES, INDEX, POSTINGS, RANKED, images, postings
+from brindle.sources.shared import cut
 
 ASKED = "fid % 100 = 0"
 
 
+def index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weighted index, built once: searches read it several times, the texts only here."""
+    return cut(bow.weights(cut(bow.term_counts(postings(spark, sf_dir)))))
+
+
 def ranked(spark: SparkSession, sf_dir: str, k: int = 50) -> DataFrame:
     """(qfid, fid, sim, rank) of the flagship query."""
-    weighted = bow.weights(bow.term_counts(postings(spark, sf_dir)))
+    weighted = index(spark, sf_dir)
     return bow.top(bow.similarities(weighted.where(ASKED), weighted, bow.factors(weighted)), k)
 
 
@@ -30,7 +36,7 @@ def a1(spark, sf_dir):
 
 @query("a2_term_frequency", f"WITH {INDEX} SELECT fid, word, n, round(tf, 9) AS tf FROM weights")
 def a2(spark, sf_dir):
-    return bow.weights(bow.term_counts(postings(spark, sf_dir))).select("fid", "word", "n", F.round("tf", 9).alias("tf"))
+    return bow.weights(cut(bow.term_counts(postings(spark, sf_dir)))).select("fid", "word", "n", F.round("tf", 9).alias("tf"))
 
 
 @query("a3_inverse_frequency", f"WITH {INDEX} SELECT word, ni, round(idf, 6) AS idf FROM idf")
@@ -40,12 +46,12 @@ def a3(spark, sf_dir):
 
 @query("a4_image_norms", f"WITH {INDEX} SELECT fid, round(factor, 6) AS factor FROM factors")
 def a4(spark, sf_dir):
-    return bow.factors(bow.weights(bow.term_counts(postings(spark, sf_dir)))).select("fid", F.round("factor", 6).alias("factor"))
+    return bow.factors(bow.weights(cut(bow.term_counts(postings(spark, sf_dir))))).select("fid", F.round("factor", 6).alias("factor"))
 
 
 @query("s9_tfidf_postings", f"WITH {INDEX} SELECT fid, word, round(tfidf, 9) AS tfidf FROM weights")
 def s9(spark, sf_dir):
-    return bow.weights(bow.term_counts(postings(spark, sf_dir))).select("fid", "word", F.round("tfidf", 9).alias("tfidf"))
+    return bow.weights(cut(bow.term_counts(postings(spark, sf_dir)))).select("fid", "word", F.round("tfidf", 9).alias("tfidf"))
 
 
 @query(
@@ -54,7 +60,7 @@ def s9(spark, sf_dir):
     SELECT *, row_number() OVER (PARTITION BY qfid ORDER BY n DESC, fid DESC) AS rank FROM v QUALIFY rank <= 50""",
 )
 def a5(spark, sf_dir):
-    counts = bow.term_counts(postings(spark, sf_dir))
+    counts = cut(bow.term_counts(postings(spark, sf_dir)))
     return bow.top(bow.votes(counts.where(ASKED), counts), 50, "n")
 
 
@@ -64,7 +70,7 @@ def a5(spark, sf_dir):
     FROM weights q JOIN weights m USING (word) JOIN factors f ON f.fid = m.fid AND f.factor > 0 WHERE q.fid % 100 = 0 GROUP BY q.fid, m.fid""",
 )
 def a7(spark, sf_dir):
-    weighted = bow.weights(bow.term_counts(postings(spark, sf_dir)))
+    weighted = index(spark, sf_dir)
     return bow.similarities(weighted.where(ASKED), weighted, bow.factors(weighted))
 
 
@@ -76,8 +82,8 @@ def a7(spark, sf_dir):
     SELECT *, row_number() OVER (PARTITION BY qfid ORDER BY sim DESC, fid DESC) AS rank FROM s QUALIFY rank <= 20""",
 )
 def augmented(spark, sf_dir):
-    counts = bow.term_counts(postings(spark, sf_dir))
-    weighted = bow.weights(counts)
+    counts = cut(bow.term_counts(postings(spark, sf_dir)))
+    weighted = cut(bow.weights(counts))
     asked = bow.augmented_weights(counts.where(ASKED), bow.inverse_frequency(counts))
     return bow.top(bow.similarities(asked, weighted, bow.factors(weighted)), 20)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from brindle.operators import bow, regions
 from brindle.plans.registry import query
 from brindle.plans.tables import KEYPOINTS, keypoints, read
+from brindle.sources.shared import cut
 
 WIDTH, HEIGHT = 64, 48
 PIXELS = """pixels AS (SELECT fid, level, x, y, min(color) AS color FROM (SELECT l_orderkey % 50 AS fid, l_linenumber % 4 + 2 AS level, l_partkey % 64 AS x, l_suppkey % 48 AS y,
@@ -80,14 +81,15 @@ WEIGHTED = f"""{KEYPOINTS}, counts AS (SELECT fid, word, count(*) AS n FROM keyp
 
 def weighted(spark, sf_dir):
     """Keypoints with weights, and the norms of their images."""
-    k = keypoints(spark, sf_dir)
+    k = cut(keypoints(spark, sf_dir))
     w = bow.weights(bow.term_counts(k.select("fid", "word")))
+    w = cut(w)
     return k.join(w.select("fid", "word", "tfidf"), ["fid", "word"]), bow.factors(w)
 
 
 def pairs(spark, sf_dir):
     k, norms = weighted(spark, sf_dir)
-    return regions.region_pairs(k.where("fid % 100 = 0"), k), norms
+    return cut(regions.region_pairs(k.where("fid % 100 = 0"), k)), norms
 
 
 @query("j3_region_pairs", f"WITH {WEIGHTED} SELECT qfid, fid, qseg, seg, i, pk, qk FROM pairs")

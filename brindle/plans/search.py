@@ -8,6 +8,7 @@ from brindle.operators import bow, evaluation, knn
 from brindle.plans.ranking import ranked
 from brindle.plans.registry import query
 from brindle.plans.tables import DESCRIPTORS, IMAGES, INDEX, RANKED, descriptors, images, postings
+from brindle.sources.shared import cut
 
 K = 60
 KNN = f"""{DESCRIPTORS}, near AS (SELECT q.kp_id AS q_kp, q.fid AS qid, q.category AS qcat, d.kp_id, d.fid, d.category = q.category AS hit, round(sqrt(list_sum([(q.vec[i] - d.vec[i]) * (q.vec[i] - d.vec[i]) for i in range(1, len(q.vec) + 1)])), 6) AS dist
@@ -149,6 +150,6 @@ def a15(spark, sf_dir):
     SELECT qid, mark, count(*) FILTER (hit) AS correct, count(*) FILTER (NOT hit) AS wrong FROM h JOIN (SELECT unnest({list(evaluation.MARKS)}) AS mark) ON n >= mark GROUP BY ALL""",
 )
 def a12(spark, sf_dir):
-    counts = bow.term_counts(postings(spark, sf_dir))
+    counts = cut(bow.term_counts(postings(spark, sf_dir)))
     hits = evaluation.judged(bow.votes(counts.where("fid % 100 = 0"), counts), images(spark, sf_dir))
     return evaluation.mark_counts(hits.withColumnRenamed("qfid", "qid"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from brindle.operators import bow, cluster_metrics, joins, sampling
 from brindle.plans.registry import query
 from brindle.plans.tables import DESCRIPTORS, IMAGES, INDEX, POSTINGS, descriptors, images, postings, read
+from brindle.sources.shared import cut
 
 HASH = "((({0} % 2147483648) + {1}) * 2654435761) % 4294967296"
 
@@ -121,7 +122,7 @@ def a22(spark, sf_dir):
     f"WITH {INDEX}, c AS (SELECT word, tf, nk::DOUBLE / (SELECT sum(nk) FROM sizes) AS prior FROM weights), r AS (SELECT word, sum(prior * tf) AS row FROM c GROUP BY word) SELECT round(sum(prior * tf * log2(tf / row)), 6) AS bits FROM c JOIN r USING (word)",
 )
 def a23(spark, sf_dir):
-    counts = bow.term_counts(postings(spark, sf_dir))
+    counts = cut(bow.term_counts(postings(spark, sf_dir)))
     sizes = bow.image_sizes(counts)
     priors = sizes.join(F.broadcast(sizes.agg(F.sum("nk").alias("all")))).select(F.col("fid").alias("doc_id"), (F.col("nk") / F.col("all")).alias("prior"))
     cells = counts.join(sizes, "fid").select(F.col("fid").alias("doc_id"), "word", (F.col("n") / F.col("nk")).alias("val"))
@@ -130,7 +131,7 @@ def a23(spark, sf_dir):
 
 @query("a24_sparse_norms", f"WITH {INDEX} SELECT fid, round(sum(tf), 6) AS l1, round(sum(n * n)::BIGINT / max(nk * nk)::DOUBLE, 9) AS l2_squared, round(sum(tf * ln(tf)), 6) AS entropy FROM weights GROUP BY fid")
 def a24(spark, sf_dir):
-    w = bow.weights(bow.term_counts(postings(spark, sf_dir)))
+    w = bow.weights(cut(bow.term_counts(postings(spark, sf_dir))))
     tf = F.col("tf")
     return w.groupBy("fid").agg(F.round(F.sum(tf), 6).alias("l1"), F.round(F.sum(F.col("n") * F.col("n")) / F.max(F.col("nk") * F.col("nk")), 9).alias("l2_squared"), F.round(F.sum(tf * F.log(tf)), 6).alias("entropy"))
 
