@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm.common import slices
 
-DIMENSIONS, SAMPLE, CHOSEN, REMEMBER = 1 << 20, 8000, 500, 200_000
+DIMENSIONS, SAMPLE, CHOSEN, REMEMBER = 1 << 20, 8000, 300, 200_000
 _REPEATS = zlib.crc32(b"repeats") % DIMENSIONS
 
 
@@ -155,7 +155,7 @@ def _choose(sample: Sample, rows: np.ndarray, grade: np.ndarray, classes: int) -
     return np.unique(np.concatenate([best[chi[best] > 0], np.flatnonzero(n >= 3)]))
 
 
-def fit(sample: Sample, grade: np.ndarray, classes: int, rows: np.ndarray | None = None, extra: np.ndarray | None = None, steps: int = 160, decay: float = 2e-4) -> Model:
+def fit(sample: Sample, grade: np.ndarray, classes: int, rows: np.ndarray | None = None, extra: np.ndarray | None = None, steps: int = 300, decay: float = 5e-5) -> Model:
     """Maximum likelihood with an L2 penalty by Adam, over the sample's ``rows``.
 
     Grades that don't occur keep thresholds from smoothed shares; without any row all grades are as likely.

@@ -23,7 +23,7 @@ from brindle.llm.common import slices, with_fields
 from brindle.llm.linear import Extractor, Model, Sample, fit, labelled, scores
 
 LABELS = ["quality", "toxic"]
-THRESHOLD, FOLDS = 0.5, 5
+THRESHOLD, FOLDS = 0.25, 5
 CHAIN = ("junk", "toxic", "toxic_prose")
 
 
