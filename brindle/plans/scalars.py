@@ -44,9 +44,9 @@ _pairwise("x11_kl_smoothed", lambda a, b: vectors.kl_smoothed(a, b, 0.5), f"leas
 _pairwise("x12_js_divergence", lambda a, b: vectors.js(a, b, F.lit(3.0), F.lit(1.0)), f"0.75 * {KL.format(p='a', q=f'({MEAN})')} + 0.25 * {KL.format(p='b', q=f'({MEAN})')}", shares, SHARES)
 
 
-@query("x10_normalised", f"WITH {DESCRIPTORS} SELECT kp_id, [round(x / list_sum([abs(y) for y in vec]), 6) for x in vec] AS l1, [round(x / sqrt(list_sum([y * y for y in vec])), 6) for x in vec] AS l2 FROM descriptors")
+@query("x10_normalised", f"WITH {DESCRIPTORS} SELECT kp_id, [round(x / list_sum([abs(y) for y in vec]), 6) + 0.0 for x in vec] AS l1, [round(x / sqrt(list_sum([y * y for y in vec])), 6) + 0.0 for x in vec] AS l2 FROM descriptors")
 def x10(spark, sf_dir):
-    rounded = lambda v: F.transform(v, lambda x: F.round(x, 6))
+    rounded = lambda v: F.transform(v, lambda x: F.round(x, 6) + 0.0)
     return descriptors(spark, sf_dir).select("kp_id", rounded(vectors.normalise_l1(F.col("vec"))).alias("l1"), rounded(vectors.normalise_l2(F.col("vec"))).alias("l2"))
 
 

@@ -32,7 +32,7 @@ def test_query(spark, duck, name):
     df = registry.QUERIES[name](spark, SF)
     columns = sorted(df.columns)
     got = sorted(tuple(plain(r[c]) for c in columns) for r in df.collect())
-    assert got
+    assert got or name in registry.ORACLES
     if name in registry.ORACLES:
         found = duck.execute(registry.ORACLES[name])
         names = [d[0] for d in found.description]
