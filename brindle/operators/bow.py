@@ -24,6 +24,7 @@ def inverse_frequency(counts: DataFrame) -> DataFrame:
     """(word, ni, idf): idf = ln(N / ni), where N counts keypoints and ni images."""
     total = counts.agg(F.sum("n").alias("total"))
     per_word = counts.groupBy("word").agg(F.count("*").alias("ni"))
+    # ``total`` is one row.
     return per_word.join(F.broadcast(total)).select("word", "ni", F.log(F.col("total").cast("double") / F.col("ni")).alias("idf"))
 
 

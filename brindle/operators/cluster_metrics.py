@@ -12,7 +12,7 @@ def confusion(assigned: DataFrame) -> DataFrame:
 
 
 def _marginals(table: DataFrame) -> DataFrame:
-    """The confusion table with cluster size, class size and total."""
+    """The confusion table with cluster size, class size and total (one row, broadcast)."""
     return (
         table.withColumn("in_cluster", F.sum("n").over(Window.partitionBy("cluster")))
         .withColumn("in_class", F.sum("n").over(Window.partitionBy("label")))

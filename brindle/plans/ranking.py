@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle.operators import bow
 from brindle.plans.registry import query
-from brindle.plans.tables import IMAGES, INDEX, POSTINGS, RANKED, images, postings
+from brindle.plans.tables import DESCRIPTORS, IMAGES, INDEX, POSTINGS, RANKED, descriptors, images, postings
 from brindle.sources.shared import cut
 
 ASKED = "fid % 100 = 0"
@@ -99,3 +99,11 @@ def j2(spark, sf_dir):
     counts = bow.term_counts(postings(spark, sf_dir))
     asked = counts.where(ASKED).select(F.col("fid").alias("qfid"), "word")
     return asked.join(counts.select("fid", "word"), "word").groupBy("qfid", "fid").agg(F.count("*").alias("n_words"))
+
+
+@query("p8_orphan_postings", f"WITH {DESCRIPTORS}, {IMAGES} SELECT p.kp_id, p.word, fid, path FROM (SELECT kp_id * 2 AS kp_id, category AS word FROM descriptors) p JOIN descriptors d USING (kp_id) JOIN images USING (fid)")
+def p8(spark, sf_dir):
+    """Postings of every second id: those beyond the known keypoints drop out."""
+    d = descriptors(spark, sf_dir)
+    lists = d.select((F.col("kp_id") * 2).alias("kp_id"), F.col("category").alias("word"))
+    return bow.named(lists, d.select("kp_id", "fid"), images(spark, sf_dir).select("fid", "path")).select("kp_id", "word", "fid", "path")
