@@ -2,50 +2,18 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from brindle.sources.shared import cut, scratch  # noqa: F401  (for the operators)
+
 #: Bytes of text that a Python worker holds at a time, besides the Arrow batch it was given.
 SLICE_BYTES = 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver share: ``spark.checkpoint.dir``.
-
-    Where it is unset (tests in local mode) a temporary folder is set; on a cluster that is an error,
-    since executors would not see each other's files.
-    """
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found and (own := sc._jsc.sc().getCheckpointDir()).isDefined():
-        found = os.path.dirname(own.get())
-    if not found:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="brindle-checkpoints-")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(found)
-    return found
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/brindle-{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder, with its lineage cut."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def with_fields(df: DataFrame, keep: list[str], new: list[T.StructField]) -> tuple[T.StructType, list[str]]:
     """Schema of the kept columns of ``df`` followed by ``new``, and the names that pass through: a new column replaces a kept one of its name."""
     through = [c for c in keep if c not in {f.name for f in new}]
