@@ -60,7 +60,9 @@ class MergeCodec:
         merged = set().union(*self.rank) if self.rank else set()
         self.alone = next((c for c in "\n\t\r\x01" if c not in merged), None)
         self.remember, self.check, self.repaired = remember, check, 0
+        # Two generations: a segment found in the older one moves to the newer, so frequent ones are kept.
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         if self.alone:
             self.lead = self._library_ids([self.alone])[0]
 
@@ -82,24 +84,38 @@ class MergeCodec:
 
     def agenda(self, text: str) -> tuple[int, ...]:
         """Ids of a normalised text by score-ordered merges of adjacent symbols."""
-        rank, n = self.rank, len(text)
+        find, n = self.rank.get, len(text)
+        shift = n.bit_length()
+        place = (1 << shift) - 1
         symbols: list[str | None] = list(text)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [r * n + i for i in range(n - 1) if (r := rank.get(text[i : i + 2])) is not None]
+        # The rank of the pair that starts at each symbol now, -1 for none: what else is on the heap is stale.
+        pair = [find(text[i : i + 2], -1) for i in range(n)]
+        pair[-1] = -1
+        heap = [r << shift | i for i, r in enumerate(pair) if r >= 0]
         heapq.heapify(heap)
+        push, pop = heapq.heappush, heapq.heappop
         while heap:
-            r, i = divmod(heapq.heappop(heap), n)
-            left = symbols[i]
-            if left is None or (j := after[i]) >= n or rank.get(both := left + symbols[j]) != r:
+            top = pop(heap)
+            i = top & place
+            if pair[i] != top >> shift:
                 continue
-            symbols[i], symbols[j] = both, None
+            j = after[i]
+            symbols[i] = both = symbols[i] + symbols[j]
+            symbols[j], pair[j] = None, -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (r := rank.get(both + symbols[k])) is not None:
-                    heapq.heappush(heap, r * n + i)
-            if (h := before[i]) >= 0 and (r := rank.get(symbols[h] + both)) is not None:
-                heapq.heappush(heap, r * n + h)
+                pair[i] = r = find(both + symbols[k], -1)
+                if r >= 0:
+                    push(heap, r << shift | i)
+            else:
+                pair[i] = -1
+            h = before[i]
+            if h >= 0:
+                pair[h] = r = find(symbols[h] + both, -1)
+                if r >= 0:
+                    push(heap, r << shift | h)
         out: list[int] = []
         for s in symbols:
             if s is not None:
@@ -133,10 +149,12 @@ class MergeCodec:
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text, as the library's ``encode`` gives them."""
         parts = [self.segments(self.normalise(t)) for t in texts]
-        if len(self.known) > self.remember:
-            self.known.clear()
+        if len(self.known) > self.remember // 2:
+            self.known, self.older = {}, self.known
         need = set(chain.from_iterable(parts)).difference(self.known)
-        if need:
+        again = need.intersection(self.older)
+        self.known.update((s, self.older[s]) for s in again)
+        if need := need.difference(again):
             self.learn(need)
         find = self.known.__getitem__
         return [list(chain.from_iterable(map(find, p))) for p in parts]
