@@ -84,8 +84,10 @@ def mix(df: DataFrame, text_col: str = "text", source_col: str = "source", id_co
 
 def take(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The mix itself: every row of ``df`` as often as ``mix`` takes it, with the columns of ``df``."""
-    few = mix(df, id_col=id_col, **options)
-    return few.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*df.columns)
+    own = {c: f"__own_{c}" for c in df.columns if c in _OUT}
+    few = mix(df.withColumnsRenamed(own), id_col=id_col, **options)
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
+    return few.where("copies > 0").withColumn("__copy", copies).select(*[F.col(own.get(c, c)).alias(c) for c in df.columns])
 
 
 #: The same rows by DuckDB, from a table documents.

@@ -70,6 +70,7 @@ def test_take(docs):
     rows = mixing.mix(docs).collect()
     assert mixing.take(docs).count() == sum(r.copies for r in rows)
     assert mixing.take(docs).columns == docs.columns
+    assert {r.size for r in mixing.take(docs).select("size").collect()} <= {1, 7}
     assert mixing.take(docs.limit(0)).count() == 0
 
 
