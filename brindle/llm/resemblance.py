@@ -1,0 +1,162 @@
+"""Near-duplicates by the Jaccard similarity of their sets of word shingles.
+
+MinHash bands find candidates: texts that share a band are joined to the least of its bucket, and the components of these
+links hold every pair worth a look. In each component the shingle sets themselves decide: pairs are compared unless a path
+joins them already, and a component of many or long texts is dealt into parts, every pair of parts a task's work of its own. With
+24 bands of 5 rows a pair of similarity 0.8 shares no band with a chance of 1 in 13,000, one of 0.9 with less than 1 in 10^9; it is
+still found if a path of candidates joins the two. Texts with equal sets are one entry.
+
+Defined results: a text of fewer words than a shingle has one shingle, all its words; texts without words (null, empty,
+white space) are alike. Rows without an id take part; of a group without any id, one row stays.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from brindle.llm.common import cut, one_of_each, slices
+from brindle.llm.components import components
+from brindle.llm.simhash import SEED, Forest, _word_runs
+
+BANDS, ROWS = 24, 5
+_RNG = np.random.default_rng(SEED)
+_FACTORS = _RNG.integers(0, 1 << 63, BANDS * ROWS, "uint64") * np.uint64(2) + np.uint64(1)
+_MASKS = _RNG.integers(0, 1 << 63, BANDS * ROWS, "uint64")
+_MIX = _RNG.integers(0, 1 << 63, ROWS, "uint64") * np.uint64(2) + np.uint64(1)
+
+
+def shingles(text: str | None, width: int = 5) -> np.ndarray:
+    """The distinct XXH64 hashes of a text's word shingles, in order."""
+    import xxhash
+
+    digest = xxhash.xxh64_intdigest
+    found, carry = [], []
+    for words in _word_runs((text or "").encode().lower()):
+        words = carry + words
+        if len(words) >= width:
+            joined = b" ".join(words)
+            ends = np.cumsum([len(w) + 1 for w in words])
+            starts = [0, *ends[: len(words) - width].tolist()]
+            found.append(np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)], "uint64")))
+        carry = words[max(0, len(words) - width + 1) :]
+    if not found:
+        return np.array([digest(b" ".join(carry), SEED)] if carry else [], "uint64")
+    return found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band of the set's MinHash signature; none for the empty set."""
+    if not len(hashes):
+        return np.zeros(0, "uint64")
+    least = np.full(BANDS * ROWS, np.iinfo("uint64").max)
+    for i in range(0, len(hashes), 2048):
+        least = np.minimum(least, ((hashes[i : i + 2048] ^ _MASKS[:, None]) * _FACTORS[:, None]).min(axis=1))
+    rows = least.reshape(BANDS, ROWS)
+    return ((rows ^ rows >> np.uint64(31)) * _MIX).sum(axis=1, dtype="uint64")
+
+
+def alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether the Jaccard similarity of two sets (ordered, not empty) is ``least`` or more."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) < least * len(b) - 1e-9:
+        return False
+    at = np.searchsorted(b, a)
+    same = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+    return same >= least * (len(a) + len(b) - same) - 1e-9
+
+
+def sketches(df: DataFrame, text_col: str, id_col: str, width: int) -> DataFrame:
+    """(id_col, text_key, node, size, bands) of every row; node stands for the set of shingles."""
+    import xxhash
+
+    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType)]).add("text_key", "long").add("node", "long").add("size", "long").add("bands", T.ArrayType(T.LongType()))
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "__text"):
+                sets = [shingles(t, width) for t in part.column("__text").to_pylist()]
+                node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], "uint64").view("int64")
+                size = pa.array([len(s) for s in sets], pa.int64())
+                keys = pa.array([bands(s).view("int64") for s in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(node), size, keys], names=schema.names)
+
+    return df.select(id_col, F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("__text")).mapInArrow(run, schema)
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """(u, v): every node (node, bands) of a bucket and the bucket's least."""
+    keyed = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    least = keyed.groupBy("band", "key").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return keyed.join(least, ["band", "key"]).where("node <> v").select(F.col("node").alias("u"), "v").distinct()
+
+
+def set_links(sets: list[tuple[int, int, np.ndarray]], least: float, forest: Forest) -> None:
+    """Joins nodes (node, part, hashes) whose sets are alike: those of one part, or those of two parts with each other."""
+    sets = sorted({s[0]: s for s in sets}.values(), key=lambda s: (len(s[2]), s[0]))
+    two = len({p for _, p, _ in sets}) > 1
+    for i, (u, p, a) in enumerate(sets):
+        for v, q, b in sets[i + 1 :]:
+            if len(a) < least * len(b) - 1e-9:
+                break
+            if not (two and p == q) and forest.find(u) != forest.find(v) and alike(a, b, least):
+                forest.link(u, v)
+
+
+def links(sets: DataFrame, least: float, part: int = 512, hashes: int = 1 << 20) -> DataFrame:
+    """(u, v): edges that connect the nodes (root, node, size, hashes) of equal root whose sets are alike, directly or by a path."""
+    sizes = sets.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / F.lit(part), F.sum("size") / F.lit(hashes))).cast("int").alias("parts"))
+    dealt = (
+        sets.join(sizes, "root")
+        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .select("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "own", "hashes")
+    )
+    ordered = dealt.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi")
+
+    def run(batches):
+        forest, held, key = Forest(), [], None
+        for batch in batches:
+            root, lo, hi, node, own = (batch.column(i).to_pylist() for i in range(5))
+            for i in range(batch.num_rows):
+                if (now := (root[i], lo[i], hi[i])) != key:
+                    set_links(held, least, forest)
+                    held, key = [], now
+                held.append((node[i], own[i], batch.column(5)[i].values.to_numpy(zero_copy_only=False).view("uint64")))
+        set_links(held, least, forest)
+        pairs = np.array([(x, r) for x in list(forest.up) if (r := forest.find(x)) != x], "int64").reshape(-1, 2)
+        for i in range(0, len(pairs), 65_536):
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[i : i + 65_536, k])) for k in (0, 1)], names=["u", "v"])
+
+    return ordered.mapInArrow(run, "u long, v long")
+
+
+def near_groups(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", least: float = 0.8, width: int = 5) -> DataFrame:
+    """(node, root, row) of every distinct set; row is (nameless, id, text_key) of its least row, those without an id last."""
+    row = F.struct(F.col(id_col).isNull().alias("nameless"), F.col(id_col).alias("id"), "text_key")
+    rows = sketches(df, text_col, id_col, width)
+    nodes = cut(rows.groupBy("node").agg(F.min(row).alias("row"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+    near = components(candidates(nodes))
+    wanted = near.join(nodes, "node").select("root", "node", "size", F.col("row.id").alias("__id"), F.col("row.text_key").alias("__key"))
+    texts = df.select(F.col(id_col).alias("own_id"), F.xxhash64(text_col).alias("own_key"), F.col(text_col).alias("__text"))
+    texts = texts.join(wanted, F.col("own_id").eqNullSafe(F.col("__id")) & (F.col("own_key") == F.col("__key"))).select("root", "node", "size", "__text")
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "__text"):
+                sets = pa.array([shingles(t, width).view("int64") for t in part.column("__text").to_pylist()], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], sets], names=["root", "node", "size", "hashes"])
+
+    sets = cut(texts.mapInArrow(run, "root long, node long, size long, hashes array<long>"))
+    found = components(links(sets, least))
+    return nodes.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "row")
+
+
+def near_dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", least: float = 0.8, width: int = 5) -> DataFrame:
+    """One row of ``df`` for each group of near-duplicates: that of the least id."""
+    kept = near_groups(df, text_col, id_col, least, width).groupBy("root").agg(F.min("row").alias("row"))
+    return one_of_each(df, kept.select("row.id", "row.text_key"), text_col, id_col)

@@ -1,0 +1,73 @@
+import random
+
+import numpy as np
+
+import corpus_pipeline as cp
+from brindle.llm import resemblance
+
+
+def plain(text):
+    w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+
+
+def similarity(a, b):
+    return len(a & b) / len(a | b)
+
+
+def brute(rows):
+    """The least id of each row's group."""
+    sets, comp = [plain(t) for _, t in rows], list(range(len(rows)))
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if similarity(sets[i], sets[j]) >= 0.8]
+    for _ in rows:
+        for i, j in near:
+            comp[i] = comp[j] = min(comp[i], comp[j])
+    return [min(r[0] for r, c in zip(rows, comp, strict=True) if c == k) for k in comp]
+
+
+def sample():
+    rng, texts = random.Random(9), ["", " \n", "x y", "X  y", "one two three four five"]
+    for _ in range(25):
+        base = [f"w{rng.randrange(4000)}" for _ in range(rng.choice([30, 120, 400]))]
+        texts.append(" ".join(base))
+        for share in (0.01, 0.03, 0.1, 0.3):
+            texts.append(" ".join(f"e{rng.randrange(4000)}" if rng.random() < share else w for w in base))
+    rng.shuffle(texts)
+    return list(enumerate(texts, 100))
+
+
+def test_stage_reaches_similarity_of_four_fifths(spark):
+    rows = sample()
+    df = spark.createDataFrame([(*r, "en", "web", len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    got = cp.drop_near_duplicates(spark, df, "")
+    want = set(brute(rows))
+    assert sorted(r.doc_id for r in got.collect()) == sorted(want) and len(want) < len(rows) - 20
+    assert got.columns == df.columns and cp.drop_near_duplicates(spark, df.limit(0), "").count() == 0
+
+
+def test_one_row_a_group(spark):
+    base = [f"w{i}" for i in range(200)]
+    near, other = " ".join([*base[:100], "edit", *base[101:]]), "a text of its own with more than five words"
+    rows = [(1, " ".join(base)), (2, near), (2, other), (2, other), (3, other + " "), (None, near), (None, "lone"), (None, "lone")]
+    got = resemblance.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, "lone"), (1, " ".join(base)), (2, other)]
+
+
+def test_parts_lose_no_link(spark):
+    rng = np.random.default_rng(4)
+    sets, base = {}, rng.integers(0, 1 << 62, 100)
+    for i in range(150):
+        base = base if i % 10 else rng.integers(0, 1 << 62, 100)
+        own = base.copy()
+        own[rng.integers(0, 100, 6)] = rng.integers(0, 1 << 62, 6)
+        sets[i] = np.unique(own)
+    df = spark.createDataFrame([(0, i, len(s), s.tolist()) for i, s in sets.items()], "root long, node long, size long, hashes array<long>")
+    forest = resemblance.Forest()
+    for i, a in sets.items():
+        for j in range(i):
+            if similarity(set(a.tolist()), set(sets[j].tolist())) >= 0.8:
+                forest.link(i, j)
+    got = resemblance.Forest()
+    for r in resemblance.links(df, 0.8, part=20).collect():
+        got.link(r.u, r.v)
+    assert [got.find(i) for i in sets] == [forest.find(i) for i in sets] and len({got.find(i) for i in sets}) > 5
