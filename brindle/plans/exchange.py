@@ -10,7 +10,7 @@ from brindle.plans.ranking import ranked
 from brindle.plans.registry import query
 from brindle.plans.tables import DESCRIPTORS, IMAGES, INDEX, RANKED, descriptors, images, postings, read
 from brindle.sources import records, text
-from brindle.sources.shared import scratch
+from brindle.sources.shared import cut, scratch
 
 
 def put(uri: str, name: str, data: str) -> str:
@@ -73,3 +73,14 @@ def sparse(spark, sf_dir):
     for name, data in text.format_sparse_matrix([tuple(r) for r in cells.toLocalIterator()], len(words), n_docs).items():
         put(uri, f"m_{name}", data)
     return text.sparse_matrix(spark, f"{uri}/m")
+
+
+@query("s13_whole_sparse_matrix", f"WITH {INDEX}, w AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS word_id FROM (SELECT DISTINCT word FROM counts)) SELECT fid AS doc_id, word_id, n::DOUBLE AS val FROM counts JOIN w USING (word)")
+def whole_sparse(spark, sf_dir):
+    """The matrix of all words by documents, written in ordered parts."""
+    counts = cut(bow.term_counts(postings(spark, sf_dir)))
+    words = cut(text.numbered(counts.select("word").distinct(), "word", "word_id"))
+    cells = counts.join(words, "word").select(F.col("fid").alias("doc_id"), "word_id", F.col("n").alias("val"))
+    prefix = scratch(spark, "matrix")
+    text.write_sparse_matrix(cells, words.count(), prefix)
+    return text.sparse_matrix(spark, prefix)

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from brindle.sources.shared import cut
+
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(F.trim("value") != "").select(F.split(F.trim("value"), r"\s+").alias("t"), "value")
@@ -169,14 +171,54 @@ def format_features(rows: list[tuple], kind: str = "lowe") -> str:
 
 
 def sparse_matrix(spark: SparkSession, prefix: str, scaling: str = "tfn") -> DataFrame:
-    """(doc_id, word_id, val) of a compressed-column matrix: files _col_ccs, _row_ccs and _<scaling>_nz beside each other."""
-    tokens = lambda name, kind: spark.read.text(f"{prefix}_{name}", wholetext=True).select(F.posexplode(F.split(F.btrim("value", F.lit(" \n\r\t")), r"\s+")).alias("p", "v")).select("p", F.col("v").cast(kind).alias("v"))
-    starts = tokens("col_ccs", "long").select(F.col("p").cast("long").alias("doc_id"), F.col("v").alias("a"), F.lead("v").over(Window.orderBy("p")).alias("b"))
-    places = starts.where("b > a").select("doc_id", F.explode(F.sequence("a", F.col("b") - 1)).alias("p"))
+    """(doc_id, word_id, val) of a compressed-column matrix: _col_ccs, _row_ccs and _<scaling>_nz beside each other, each a file or a folder of parts in the order of their names."""
+
+    def tokens(name, kind):
+        whole = spark.read.text(f"{prefix}_{name}", wholetext=True).select(F.col("_metadata.file_name").alias("part"), F.split(F.btrim("value", F.lit(" \n\r\t")), r"\s+").alias("v")).where("v[0] <> ''")
+        sizes = whole.select("part", (F.sum(F.size("v")).over(Window.orderBy("part")) - F.size("v")).alias("before"))  # over parts
+        return whole.join(F.broadcast(sizes), "part").select("before", F.posexplode("v").alias("p", "v")).select((F.col("before") + F.col("p")).alias("p"), F.col("v").cast(kind).alias("v"))
+
+    starts = tokens("col_ccs", "long").select(F.col("p").alias("doc_id"), F.col("v").alias("a"))
+    ends = starts.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b"))
+    places = starts.join(ends, "doc_id").where("b > a").select("doc_id", F.explode(F.sequence("a", F.col("b") - 1)).alias("p"))
     rows, values = tokens("row_ccs", "long").withColumnRenamed("v", "word_id"), tokens(f"{scaling}_nz", "double").withColumnRenamed("v", "val")
     return places.join(rows, "p").join(values, "p").select("doc_id", "word_id", "val")
 
 
+def in_order(df: DataFrame, *by: str, count: int = 1 << 18) -> DataFrame:
+    """``df`` in partitions that follow the order of ``by``, of about ``count`` rows each, written once."""
+    df = cut(df)
+    return cut(df.repartitionByRange(max(1, -(-df.count() // count)), *by).sortWithinPartitions(*by))
+
+
+def before(ordered: DataFrame, column: str = "1") -> DataFrame:
+    """(part, before): what the partitions before each one hold of a column's sum."""
+    sums = ordered.groupBy(F.spark_partition_id().alias("part")).agg(F.expr(f"sum({column})").alias("n"))
+    return sums.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # over partitions
+
+
+def numbered(df: DataFrame, by: str, name: str) -> DataFrame:
+    """``df`` with the rank of each row in the order of ``by``, from 0."""
+    ordered = in_order(df, by)
+    at = ordered.withColumns({"part": F.spark_partition_id(), "__at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    return at.join(F.broadcast(before(ordered)), "part").withColumn(name, F.col("before") + F.col("__at")).drop("part", "before", "__at")
+
+
+def write_sparse_matrix(cells: DataFrame, n_words: int, prefix: str, count: int = 1 << 18) -> None:
+    """Writes cells (doc_id, word_id, val) as the files of ``format_sparse_matrix``, each a folder of parts of about ``count`` values."""
+    spark, ordered = cells.sparkSession, in_order(cells.select("doc_id", "word_id", F.col("val").cast("double").alias("val")), "doc_id", "word_id", count=count)
+    last, n = ordered.agg(F.max("doc_id"), F.count("*")).first()
+    n_docs = (last or 0) + 1
+    sizes = spark.range(n_docs + 1).withColumnRenamed("id", "doc_id").join(ordered.groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n"))
+    columns = in_order(sizes, "doc_id", count=count)
+    within = Window.partitionBy("part").orderBy("doc_id")
+    at = columns.withColumn("part", F.spark_partition_id()).join(F.broadcast(before(columns, "n")), "part")
+    starts = at.select("doc_id", (F.col("before") + F.sum("n").over(within) - F.col("n")).alias("start"))
+    for name, column in (("row_ccs", ordered.select(F.col("word_id").cast("string"))), ("tfn_nz", ordered.select(F.col("val").cast("string"))), ("col_ccs", in_order(starts, "doc_id", count=count).select(F.col("start").cast("string")))):
+        column.write.text(f"{prefix}_{name}")
+    spark.createDataFrame([(f"{n_words} {n_docs} {n}",)], "value string").coalesce(1).write.text(f"{prefix}_dim")
+
+
 def format_sparse_matrix(cells: list[tuple[int, int, float]], n_words: int, n_docs: int) -> dict[str, str]:
     """Texts of the files _dim, _col_ccs, _row_ccs and _tfn_nz."""
     cells = sorted(cells)

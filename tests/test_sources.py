@@ -95,6 +95,20 @@ def test_matrices(spark):
     assert text.format_clustering([1, 0], ["a", "b"]) == "2\n1\ta\n0\tb\n"
 
 
+def test_matrix_in_parts(spark):
+    from brindle.plans import registry
+
+    registry.load()
+    prefix, cells = f"{scratch(spark, 'parts')}", [(d, w, float(d + w)) for d in (0, 3, 4, 9) for w in range(d % 3, 40, 3)]
+    text.write_sparse_matrix(spark.createDataFrame(cells[::-1], "doc_id long, word_id long, val double"), 40, prefix, count=7)
+    assert spark.read.text(f"{prefix}_row_ccs").inputFiles()[1:] and sorted(tuple(r) for r in text.sparse_matrix(spark, prefix).collect()) == cells
+    text.write_sparse_matrix(spark.createDataFrame([], "doc_id long, word_id long, val double"), 0, f"{prefix}-none")
+    assert text.sparse_matrix(spark, f"{prefix}-none").count() == 0
+    sf = "/root/testdata/sf0.001"
+    whole, counts = registry.QUERIES["s13_whole_sparse_matrix"](spark, sf), registry.QUERIES["s13_sparse_matrix"](spark, sf)
+    assert whole.count() > 5 * counts.count() and whole.select("word_id").distinct().count() == whole.agg({"word_id": "max"}).first()[0] + 1
+
+
 def scene():
     rng = np.random.default_rng(0)
     y, x = np.mgrid[:128, :128]
