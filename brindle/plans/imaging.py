@@ -10,6 +10,9 @@ from brindle.operators import image_features
 from brindle.plans.registry import query
 from brindle.plans.tables import read
 
+#: The defaults of the reference's programs: keypoints of an image, and whether it is doubled first.
+DEFAULTS = {"most": 3000, "double": True}
+
 
 def drawn(spark, sf_dir):
     def run(frames):
@@ -27,12 +30,12 @@ def drawn(spark, sf_dir):
 
 @query("f1_f7_sift_features")
 def features(spark, sf_dir):
-    return image_features.extract(drawn(spark, sf_dir), most=10, double=False).withColumn("vec", F.array_join(F.col("vec").cast("array<int>").cast("array<string>"), " "))
+    return image_features.extract(drawn(spark, sf_dir), **DEFAULTS).withColumn("vec", F.array_join(F.col("vec").cast("array<int>").cast("array<string>"), " "))
 
 
 @query("f8_pca_sift_features")
 def pca_features(spark, sf_dir):
     images = drawn(spark, sf_dir)
-    basis = image_features.learn_basis(images, 50, most=10, double=False)
-    found = image_features.extract(images, most=10, double=False, kind="pca", basis=basis)
+    basis = image_features.learn_basis(images, 50, **DEFAULTS)
+    found = image_features.extract(images, **DEFAULTS, kind="pca", basis=basis)
     return found.select("fid", "sid", F.round("scl", 6).alias("scl"), F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))

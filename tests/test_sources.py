@@ -137,3 +137,16 @@ def test_images_as_rows(spark):
     basis = image_features.learn_basis(df, most=30)
     pca = image_features.extract(df, most=12, kind="pca", basis=basis).collect()
     assert len(pca) == len(rows) and len(pca[0].vec) <= 36
+
+
+def test_registered_features_are_not_cut(spark, monkeypatch):
+    from brindle.plans import imaging, registry
+
+    image = b"P5 128 128 255\n" + (scene() * 255).astype("u1").tobytes()
+    df = spark.createDataFrame([(1, image), (2, image)], "fid long, content binary")
+    monkeypatch.setattr(imaging, "drawn", lambda spark, sf_dir: df)
+    registry.load()
+    whole = sift.features(sift.decode_pnm(image), most=3000, double=True)
+    for name in ("f1_f7_sift_features", "f8_pca_sift_features"):
+        rows = [r for r in registry.QUERIES[name](spark, "").collect() if r.fid == 1]
+        assert len(rows) == len(whole) > 10 and sorted(round(r.scl, 6) for r in rows) == sorted(round(p.scale, 6) for p, _ in whole)
