@@ -79,6 +79,7 @@ class State:
     weights: np.ndarray
     objective: float
     history: list[float] = field(default_factory=list)
+    settled: bool = False
 
 
 def _matrix(frame: pd.DataFrame) -> np.ndarray:
@@ -210,7 +211,7 @@ def kmeans(points: DataFrame, k: int, kind: str = "spherical", init: str | DataF
     """Points (doc_id, vec, cluster) and the last state.
 
     Rounds end when the objective gains no more than ``epsilon`` of its size (euclidean: of the first objective). With ``alpha``, kl centers are smoothed
-    and alpha is halved every round until it falls to ``epsilon``.
+    and alpha is halved every round until it falls to ``epsilon``. Without that end after ``rounds``, the state isn't ``settled``.
     """
     centers, history = start(points, k, kind, init, seed), []
     k = len(centers)
@@ -227,7 +228,7 @@ def kmeans(points: DataFrame, k: int, kind: str = "spherical", init: str | DataF
             break
         if alpha and smoothing > epsilon:
             smoothing /= 2
-    state.history = history
+    state.history, state.settled = history, settled
     return cut(assign(points, centers, kind, smoothing)), state
 
 

@@ -113,9 +113,17 @@ def x17(spark, sf_dir):
     return spark.createDataFrame([(i, float(x)) for i, x in enumerate(state.centers[0])], "pos int, x double")
 
 
+def settled(spark, sf_dir, k, kind, most=1000):
+    """A run to its stop rule; ``most`` only keeps a run that never settles from going on."""
+    found, state = clustering.kmeans(points(spark, sf_dir).drop("cluster"), k, kind, rounds=most)
+    if not state.settled:
+        raise RuntimeError(f"{kind} k-means did not settle in {most} rounds")
+    return found, state
+
+
 def _run(kind):
     def run(spark, sf_dir):
-        found, _ = clustering.kmeans(points(spark, sf_dir).drop("cluster"), K, kind, rounds=6)
+        found, _ = settled(spark, sf_dir, K, kind)
         return found.select("doc_id", "cluster")
 
     return run
@@ -128,7 +136,7 @@ query("c6_kl_kmeans")(_run("kl"))
 
 @query("c8_diametric_kmeans")
 def c8(spark, sf_dir):
-    found, state = clustering.kmeans(points(spark, sf_dir).drop("cluster"), 3, "diametric", rounds=4)
+    found, state = settled(spark, sf_dir, 3, "diametric")
     return clustering.signed_split(found, state)
 
 

@@ -230,3 +230,15 @@ def test_hierarchy_is_a_partition(spark):
             assert np.allclose(np.average([c.center for c in children], axis=0, weights=[c.n for c in children]), r.center)
     words = {r.word for r in vocabulary.descend(df, tree, 2).collect()}
     assert all(nodes[w].is_leaf for w in words)
+
+
+@pytest.mark.parametrize("name", ["c4_spherical_kmeans", "c8_diametric_kmeans"])
+def test_registered_runs_end_by_their_stop_rule(spark, monkeypatch, name):
+    from brindle.plans import registry
+
+    registry.load()
+    states, run = [], clustering.kmeans
+    monkeypatch.setattr(clustering, "kmeans", lambda *a, **b: states.append(run(*a, **b)) or states[-1])
+    registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    history = states[-1][1].history
+    assert history[-1] - history[-2] <= 1e-3 * abs(history[-1])
