@@ -77,4 +77,4 @@ def lloyd(spark, sf_dir):
 
 @query("c2_hierarchical_vocabulary")
 def hierarchy(spark, sf_dir):
-    return v.hierarchy(descriptors(spark, sf_dir), k=4, levels=2, least=20, rounds=5, epsilon=0.05)
+    return v.hierarchy(descriptors(spark, sf_dir), k=10, levels=2, least=15, rounds=15, epsilon=0.05)

@@ -242,3 +242,11 @@ def test_registered_runs_end_by_their_stop_rule(spark, monkeypatch, name):
     registry.QUERIES[name](spark, "/root/testdata/sf0.001")
     history = states[-1][1].history
     assert history[-1] - history[-2] <= 1e-3 * abs(history[-1])
+
+
+def test_registered_hierarchy_has_the_references_branches(spark):
+    from brindle.plans import registry
+
+    registry.load()
+    rows = registry.QUERIES["c2_hierarchical_vocabulary"](spark, "/root/testdata/sf0.001")
+    assert rows.where("level = 1").select("cid").distinct().count() > 4
