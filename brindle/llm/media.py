@@ -1,19 +1,22 @@
 """Media columns: payloads stored losslessly as 8-bit samples in archives, read back by a Spark data source.
 
-``write_media`` has every task write its payloads as PNG members (8-bit grey, 64 samples a row, deflated) of one
-zip archive that stores them as they are, in a folder that all executors share. A task writes under a name of its own and
-renames it at the end, so a task that is repeated replaces its archive whole.
+``write_media`` has every task write its payloads as PNG members (8-bit grey, 64 samples a row, deflated) of
+zip archives that store them as they are, in a folder that all executors share. An archive of ``ARCHIVE_BYTES`` is closed and
+the next one begun, so that no central directory grows with the task. A task writes under names of its own and
+renames them at the end, so a task that is repeated replaces its archives whole; a task without rows leaves none.
 
 The data source ``media`` plans partitions of byte ranges over the archives from their lengths alone. A task reads the
 archive's central directory and takes the members whose header starts within its range, so each member is
 read once, wherever the ranges fall. It yields Arrow batches of bounded bytes. A member is fetched by its own offset and
 checked by length and CRC; if that fails it is fetched again, by itself, up to ``retries`` times. A member that stays
-unreadable is a row with null media and the reason in ``error``; the others go on.
+unreadable is a row with null media and the reason in ``error``; the others go on. Reading the directory is repeated
+likewise; if it stays unreadable the task fails, as its members aren't known. Archives without members have no rows.
 
 Paths go through pyarrow's filesystems (file, s3, gs, hdfs), by URI.
 
 Defined results: a null text counts as empty; the payload of an empty text is 64 zero bytes. doc_id may be null.
-Repeated rows are members of their own. An empty table gives an empty archive folder and no rows.
+Repeated rows are members of their own. An empty table, or partition, gives no archive and no rows. A very long text is one member, held
+whole by the task that writes or reads it. Other columns of the input, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -38,6 +41,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from brindle.llm.common import scratch, slices
 
 BLOCK, LEVEL, SIGNATURE = 64, 1, b"\x89PNG\r\n\x1a\n"
+ARCHIVE_BYTES = 256 << 20
+#: The shortest zip archive, one without members.
+NO_MEMBERS = 22
 MEMBERS = "member string, doc_id long, n_bytes long, media binary, error string"
 
 
@@ -90,8 +96,8 @@ def features(data: bytes) -> str:
     return f"mean={total / n:.4f};std={max(0.0, square / n - (total / n) ** 2) ** 0.5:.4f};crossings={crossings / n:.6f};mode={int(counts.argmax())}"
 
 
-def write_media(df: DataFrame, folder: str, text_col: str = "text", id_col: str = "doc_id") -> int:
-    """Writes one archive for each task into ``folder`` (a URI); returns the number of members."""
+def write_media(df: DataFrame, folder: str, text_col: str = "text", id_col: str = "doc_id", archive_bytes: int = ARCHIVE_BYTES) -> int:
+    """Writes the archives of each task into ``folder`` (a URI); returns the number of members."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -99,16 +105,19 @@ def write_media(df: DataFrame, folder: str, text_col: str = "text", id_col: str
         task = TaskContext.get()
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
-        own = f"{root}/_{task.partitionId():06d}-{task.taskAttemptId()}"
-        n = 0
-        with store.open_output_stream(own) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_STORED, allowZip64=True) as archive:
-            for batch in batches:
-                for part in slices(batch, "__text"):
-                    for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                        data, length = payload(text)
-                        archive.writestr(zipfile.ZipInfo(f"{n:09d}.{'' if key is None else key}.{length}.png"), to_png(data))
-                        n += 1
-        store.move(own, f"{root}/part-{task.partitionId():06d}.zip")
+        members = (x for batch in batches for part in slices(batch, "__text") for x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True))
+        n, written, ahead = 0, [], next(members, None)
+        while ahead:
+            own, size = f"{root}/_{task.partitionId():06d}-{len(written):04d}-{task.taskAttemptId()}", 0
+            with store.open_output_stream(own) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_STORED, allowZip64=True) as archive:
+                while ahead and size < archive_bytes:
+                    data, length = payload(ahead[1])
+                    image = to_png(data)
+                    archive.writestr(zipfile.ZipInfo(f"{n:09d}.{'' if ahead[0] is None else ahead[0]}.{length}.png"), image)
+                    n, size, ahead = n + 1, size + len(image), next(members, None)
+            written.append((own, f"{root}/part-{task.partitionId():06d}-{len(written):04d}.zip"))
+        for own, final in written:
+            store.move(own, final)
         yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
 
     return df.select(F.col(id_col).cast("long"), F.col(text_col).alias("__text")).mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
@@ -129,7 +138,7 @@ class MediaReader(DataSourceReader):
     def partitions(self) -> list[ByteRange]:
         store, root = fs.FileSystem.from_uri(self.folder)
         found = store.get_file_info(fs.FileSelector(root, allow_not_found=True))
-        files = sorted((f.path, f.size) for f in found if os.path.basename(f.path).startswith("part-"))
+        files = sorted((f.path, f.size) for f in found if os.path.basename(f.path).startswith("part-") and f.size > NO_MEMBERS)
         return [ByteRange(p, a, min(size, a + self.range_bytes)) for p, size in files for a in range(0, size, self.range_bytes)] or [ByteRange("", 0, 0)]
 
     def fetch(self, store, path: str, info: zipfile.ZipInfo) -> bytes:
@@ -146,23 +155,32 @@ class MediaReader(DataSourceReader):
             raise OSError("length or CRC differs")
         return data
 
-    def member(self, store, path: str, info: zipfile.ZipInfo) -> tuple[bytes | None, str | None]:
+    def again(self, f, *args):
+        """``f``'s result, tried anew up to ``retries`` times; then its error is raised."""
         for k in range(self.retries + 1):
             try:
-                return self.fetch(store, path, info), None
-            except OSError as e:
-                reason = str(e)
+                return f(*args)
+            except (OSError, ValueError, zipfile.BadZipFile):
+                if k == self.retries:
+                    raise
                 time.sleep(0.05 * k)
-        return None, reason
+
+    def member(self, store, path: str, info: zipfile.ZipInfo) -> tuple[bytes | None, str | None]:
+        try:
+            return self.again(self.fetch, store, path, info), None
+        except (OSError, ValueError) as e:
+            return None, str(e)
+
+    def directory(self, store, path: str) -> list[zipfile.ZipInfo]:
+        with store.open_input_file(path) as f:
+            return zipfile.ZipFile(io.BufferedReader(f)).infolist()
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         if not partition.path:
             return
         store, _ = fs.FileSystem.from_uri(self.folder)
-        with store.open_input_file(partition.path) as f:
-            infos = zipfile.ZipFile(io.BufferedReader(f)).infolist()
         rows, held = [], 0
-        for info in infos:
+        for info in self.again(self.directory, store, partition.path):
             if partition.start <= info.header_offset < partition.end:
                 media, error = self.member(store, partition.path, info)
                 _, key, length, _ = info.filename.split(".")

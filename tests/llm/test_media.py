@@ -40,12 +40,55 @@ def test_image():
 def test_ranges_read_each_member_once(docs, spark):
     folder = scratch(spark, "media")
     assert media.write_media(docs, folder) == len(TEXTS)
-    for size in (1, 77, 10**9):
-        reader = media.MediaReader({"path": folder, "range_bytes": max(size, 5000)})
+    for size in (1, 77, 5000, 10**9):
+        reader = media.MediaReader({"path": folder, "range_bytes": size})
         names = [n for p in reader.partitions() for b in reader.read(p) for n in b.column(0).to_pylist()]
         assert len(names) == len(set(names)) == len(TEXTS)
 
 
+def test_partitions_without_rows(docs, spark, tmp_path):
+    few = docs.where("doc_id IN (5, 6)").coalesce(1).repartitionByRange(8, "doc_id")
+    assert sorted(r.doc_id for r in media.digests(media.store_and_read(few)).collect()) == [5, 6]
+    docs.where("doc_id > 99").write.parquet(f"{tmp_path}/none")
+    assert media.digests(media.store_and_read(spark.read.parquet(f"{tmp_path}/none"))).count() == 0
+    docs.coalesce(1).write.parquet(f"{tmp_path}/one")  # one row group, most tasks of the scan have no rows
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        read = spark.read.parquet(f"{tmp_path}/one")
+        assert read.rdd.getNumPartitions() > 4
+        assert media.digests(media.store_and_read(read)).count() == len(TEXTS)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_archives_are_rolled_over(docs, spark):
+    folder = scratch(spark, "media")
+    assert media.write_media(docs.coalesce(1), folder, archive_bytes=100) == len(TEXTS)
+    reader = media.MediaReader({"path": folder})
+    assert 4 <= len(reader.partitions()) < len(TEXTS)
+    assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == len(TEXTS)
+
+
+def test_directory_is_read_again(docs, spark):
+    folder = scratch(spark, "media")
+    media.write_media(docs, folder)
+    reader, calls = media.MediaReader({"path": folder, "retries": 2}), []
+    true = reader.directory
+
+    def flaky(store, path):
+        calls.append(path)
+        if calls.count(path) < 3:
+            raise OSError("lost")
+        return true(store, path)
+
+    reader.directory = flaky
+    assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == len(TEXTS) and len(calls) == 9
+    reader.retries = 1
+    calls.clear()
+    with pytest.raises(OSError, match="lost"):
+        list(reader.read(reader.partitions()[0]))
+
+
 def test_members_are_retried_by_themselves(docs, spark):
     folder = scratch(spark, "media")
     media.write_media(docs, folder)
