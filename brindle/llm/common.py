@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,9 +41,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def one_of_each(df: DataFrame, kept: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """One row of ``df`` for each (id, text_key) of ``kept``; text_key is the xxhash64 of the text, and a null id is like any other."""
-    first = Window.partitionBy(id_col, "__key").orderBy(id_col)
-    kept = kept.select(F.col("id").alias("__id"), F.col("text_key").alias("__kept"))
-    found = df.withColumn("__key", F.xxhash64(text_col)).join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__kept")), "left_semi")
-    return found.withColumn("__k", F.row_number().over(first)).where("__k = 1").drop("__k", "__key")
+def one_of_each(df: DataFrame, kept: DataFrame, text_col: str, id_col: str, how: str = "left_semi") -> DataFrame:
+    """One row of ``df`` for each (id, text_key) of ``kept``; text_key is the xxhash64 of the text, and a null id is like any other.
+
+    Joined by ``how``; repeated rows are merged before and after the shuffle, so that none of them gathers in a task.
+    """
+    keys = [F.col("id").isNull().alias("__n"), F.coalesce("id", F.lit(0)).alias("__i"), F.col("text_key").alias("__k")]
+    kept = kept.select(*keys, *[c for c in kept.columns if c not in ("id", "text_key")])
+    own = df.withColumns({"__n": F.col(id_col).isNull(), "__i": F.coalesce(id_col, F.lit(0)), "__k": F.xxhash64(text_col)})
+    on = ["__n", "__i", "__k"]
+    return own.join(kept, on, how).dropDuplicates(on).drop(*on)

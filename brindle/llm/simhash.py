@@ -5,11 +5,13 @@ six blocks untouched, so they share one of the twenty keys made of three blocks
 buckets small at billions of fingerprints). Equal fingerprints are one entry. A bucket's entries are compared
 by Hamming distance in arrays and leave a spanning forest of their links, never all pairs. A bucket of over
 ``bucket`` entries is dealt into parts of about that size, and every pair of parts is a task's work of its own, so no
-link is lost and no bucket sits in one task.
+link is lost and no bucket sits in one task. The texts of a fingerprint, the fingerprints of a bucket and of a component
+may be a third of all: they are joined by ``spread_join``.
 
 Defined results: a text without words (null, empty, white space) has fingerprint zero and links like any
 other. Rows without a doc_id take part; a component whose rows all lack one has a null component_id. Repeated rows give repeated
-rows. An empty table gives an empty result.
+rows. An empty table gives an empty result. Very long texts are hashed whole, a megabyte at a time. Other columns are ignored by
+``near_duplicates`` and pass through ``near_dedup``.
 """
 
 from __future__ import annotations
@@ -19,12 +21,13 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.common import cut, slices
+from brindle.llm.common import cut, one_of_each, slices
 from brindle.llm.components import components
+from brindle.operators.joins import spread_join
 
 SEED = 42
 BLOCKS, SHARED = 6, 3
@@ -66,16 +69,16 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 
 def fingerprints(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id_col, fp): fp is the fingerprint as a signed long."""
-    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("fp", T.LongType(), False)])
+    """(id_col, text_key, fp): the xxhash64 of the text, and its fingerprint as a signed long."""
+    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType)]).add("text_key", "long").add("fp", T.LongType(), False)
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "__text"):
                 fp = np.array([fingerprint(t) for t in part.column("__text").to_pylist()], "uint64").view("int64")
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(fp)], names=schema.names)
 
-    return df.select(id_col, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return df.select(id_col, F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("__text")).mapInArrow(run, schema)
 
 
 def block_masks() -> list[int]:
@@ -115,7 +118,7 @@ def bucket_links(values: np.ndarray, distance: int, forest: Forest) -> None:
 
 
 def links(fps: DataFrame, distance: int = 3, bucket: int = 2048) -> DataFrame:
-    """(u, v): edges that connect the distinct fingerprints (column fp) that are linked, directly or by a path."""
+    """(u, v): edges that connect the distinct fingerprints (column fp) that are linked, directly or by a path. ``fps`` is read several times."""
     if distance != BLOCKS - SHARED:
         raise ValueError(f"the blocks are made for a distance of {BLOCKS - SHARED}")
     signed = lambda m: m - (1 << 64) if m >> 63 else m
@@ -124,7 +127,7 @@ def links(fps: DataFrame, distance: int = 3, bucket: int = 2048) -> DataFrame:
     sizes = keyed.groupBy("combo", "part").agg(F.count("*").alias("n")).where("n > 1")
     parts = F.ceil(F.col("n") / F.lit(bucket)).cast("int")
     dealt = (
-        keyed.join(sizes, ["combo", "part"])
+        spread_join(keyed, sizes, ["combo", "part"], "n", len(block_masks()) * fps.count())
         .withColumn("own", F.pmod(F.xxhash64("fp"), parts).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
         .select("combo", "part", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp")
@@ -157,33 +160,31 @@ def links(fps: DataFrame, distance: int = 3, bucket: int = 2048) -> DataFrame:
 
 
 def near_groups(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", distance: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(id_col, fp) of every row, and (fp, root, component_id) of every distinct fingerprint."""
+    """(id_col, text_key, fp) of every row, and (fp, root, component_id, row) of every distinct fingerprint.
+
+    row is (nameless, id, text_key) of the fingerprint's least row, those without an id last.
+    """
     rows = cut(fingerprints(df, text_col, id_col))
-    distinct = rows.groupBy("fp").agg(F.min(id_col).alias("least_id"))
+    row = F.struct(F.col(id_col).isNull().alias("nameless"), F.col(id_col).alias("id"), "text_key")
+    distinct = cut(rows.groupBy("fp").agg(F.min(id_col).alias("least_id"), F.min(row).alias("row")))
     roots = components(links(distinct.select("fp"), distance))
-    placed = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    least = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return rows, placed.join(least, "root").select("fp", "root", "component_id")
+    placed = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least_id", "row", F.coalesce("root", "fp").alias("root"))
+    least = placed.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("n"))
+    return rows, spread_join(placed, least, ["root"], "n", distinct.count()).select("fp", "root", "component_id", "row")
 
 
 def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", distance: int = 3) -> DataFrame:
     """(id_col, fingerprint, component_id) for every row of ``df``."""
     rows, groups = near_groups(df, text_col, id_col, distance)
-    return rows.join(groups, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    total, per_fp = rows.count(), rows.groupBy("fp").agg(F.count("*").alias("n"))
+    found = spread_join(rows, groups.join(per_fp, "fp").select("fp", "component_id", "n"), ["fp"], "n", total)
+    return found.select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def near_dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", distance: int = 3) -> DataFrame:
-    """One row of ``df`` for each near-duplicate group: that of the least id, and of repeated ids one.
+    """One row of ``df`` for each near-duplicate group: that of the least id, and of its texts that of the least hash.
 
-    Of a group without any id, one row stays.
+    Of a group without any id, one row stays. ``wide_simhash`` has the like for a set similarity.
     """
-    _, groups = near_groups(df, text_col, id_col, distance)
-    kept = groups.where("component_id IS NOT NULL").select(F.col("component_id").alias("__kept"))
-    first = Window.partitionBy(id_col).orderBy(id_col)
-    named = df.join(kept, df[id_col] == kept["__kept"], "left_semi").withColumn("__k", F.row_number().over(first)).where("__k = 1").drop("__k")
-    nameless = df.where(F.col(id_col).isNull())
-    own = fingerprints(nameless.withColumn(id_col, F.xxhash64(text_col)), text_col, id_col).select(F.col(id_col).alias("__text_key"), "fp").distinct()
-    free = own.join(groups.where("component_id IS NULL"), "fp").groupBy("root").agg(F.min("__text_key").alias("__text_key"))
-    first = Window.partitionBy("__key").orderBy("__key")
-    others = nameless.withColumn("__key", F.xxhash64(text_col)).join(free, F.col("__key") == F.col("__text_key"), "left_semi").withColumn("__k", F.row_number().over(first)).where("__k = 1").drop("__k", "__key")
-    return named.unionByName(others)
+    kept = near_groups(df, text_col, id_col, distance)[1].groupBy("root").agg(F.min("row").alias("row"))
+    return one_of_each(df, kept.select("row.id", "row.text_key"), text_col, id_col)

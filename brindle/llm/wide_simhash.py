@@ -1,13 +1,22 @@
-"""Near-duplicates by the Jaccard similarity of their sets of word shingles.
+"""SimHash near-duplicates down to a set similarity: wide fingerprints for texts further apart than a few bits.
 
-MinHash bands find candidates: texts that share a band are joined to the least of its bucket, and the components of these
-links hold every pair worth a look. In each component the shingle sets themselves decide: pairs are compared unless a path
-joins them already, and a component of many or long texts is dealt into parts, every pair of parts a task's work of its own. With
-24 bands of 5 rows a pair of similarity 0.8 shares no band with a chance of 1 in 13,000, one of 0.9 with less than 1 in 10^9; it is
-still found if a path of candidates joins the two. Texts with equal sets are one entry.
+Texts whose sets of five-word shingles have a Jaccard similarity of 0.8 differ in about 10 of a SimHash's 64 bits, one in ten thousand such
+pairs in more than 20: no split of 64 bits leaves such pairs a block that still tells texts apart. So the fingerprint is wide, ``BLOCKS``
+blocks of 64 bits, and each block is the SimHash (bit by bit the majority) of ``DRAWN`` shingles, each the least of the set under an order of its own.
+Then the steps are those of the plain fingerprint: texts that share a block meet (a block is equal if its five shingles are),
+a far Hamming distance of the whole fingerprints rules pairs out, and what is left is decided by the sets of shingles themselves.
+
+Two sets of similarity 0.8 draw the same shingle with a chance of 0.8 and share a block with 0.33, none of 24 with 1 in 13,000; at 0.9 with
+less than 1 in 10^9. Their distance is 237 of 1536 bits with a deviation of 40 (simulated), so ``FAR`` is five deviations off. A
+pair missed is still found if a path of others joins the two.
+
+Blocks join their texts to the least of the bucket; the components of these links hold every pair worth a look. In each component pairs
+are compared unless a path joins them already. A component of many or long texts is dealt into parts, every pair of parts a
+task's work of its own. Texts with equal sets are one entry.
 
 Defined results: a text of fewer words than a shingle has one shingle, all its words; texts without words (null, empty,
-white space) are alike. Rows without an id take part; of a group without any id, one row stays.
+white space) are alike. Rows without an id take part; of a group without any id, one row stays. Of repeated rows one stays. An empty
+table gives an empty one. Very long texts are hashed whole, a megabyte at a time. Extra columns pass through, whatever their names but ``__i``, ``__n``, ``__k``.
 """
 
 from __future__ import annotations
@@ -21,12 +30,13 @@ from pyspark.sql import types as T
 from brindle.llm.common import cut, one_of_each, slices
 from brindle.llm.components import components
 from brindle.llm.simhash import SEED, Forest, _word_runs
+from brindle.operators.joins import spread_join
 
-BANDS, ROWS = 24, 5
+BLOCKS, DRAWN, FAR = 24, 5, 440
 _RNG = np.random.default_rng(SEED)
-_FACTORS = _RNG.integers(0, 1 << 63, BANDS * ROWS, "uint64") * np.uint64(2) + np.uint64(1)
-_MASKS = _RNG.integers(0, 1 << 63, BANDS * ROWS, "uint64")
-_MIX = _RNG.integers(0, 1 << 63, ROWS, "uint64") * np.uint64(2) + np.uint64(1)
+_FACTORS = _RNG.integers(0, 1 << 63, BLOCKS * DRAWN, "uint64") * np.uint64(2) + np.uint64(1)
+_MASKS = _RNG.integers(0, 1 << 63, BLOCKS * DRAWN, "uint64")
+_MIX = _RNG.integers(0, 1 << 63, 2, "uint64") * np.uint64(2) + np.uint64(1)
 
 
 def shingles(text: str | None, width: int = 5) -> np.ndarray:
@@ -48,15 +58,23 @@ def shingles(text: str | None, width: int = 5) -> np.ndarray:
     return found[0] if len(found) == 1 else np.unique(np.concatenate(found))
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """A key for each band of the set's MinHash signature; none for the empty set."""
+def majority(a, b, c, d, e):
+    """Bit by bit the value that three of five words or more have."""
+    first, second = a ^ b ^ c, (a & b) | (c & (a ^ b))
+    last, third = first ^ d ^ e, (first & d) | (e & (first ^ d))
+    return (second & third) | ((second ^ third) & last)
+
+
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """The blocks of a set of shingle hashes; none for the empty set."""
     if not len(hashes):
         return np.zeros(0, "uint64")
-    least = np.full(BANDS * ROWS, np.iinfo("uint64").max)
+    least = np.full(BLOCKS * DRAWN, np.iinfo("uint64").max)
     for i in range(0, len(hashes), 2048):
         least = np.minimum(least, ((hashes[i : i + 2048] ^ _MASKS[:, None]) * _FACTORS[:, None]).min(axis=1))
-    rows = least.reshape(BANDS, ROWS)
-    return ((rows ^ rows >> np.uint64(31)) * _MIX).sum(axis=1, dtype="uint64")
+    for k in (0, 1):  # the least values are small: their bits are spread again
+        least = (least ^ least >> np.uint64(30)) * _MIX[k]
+    return majority(*(least ^ least >> np.uint64(31)).reshape(BLOCKS, DRAWN).T)
 
 
 def alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
@@ -71,10 +89,10 @@ def alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
 
 
 def sketches(df: DataFrame, text_col: str, id_col: str, width: int) -> DataFrame:
-    """(id_col, text_key, node, size, bands) of every row; node stands for the set of shingles."""
+    """(id_col, text_key, node, size, fp) of every row; node stands for the set of shingles, fp is its wide fingerprint."""
     import xxhash
 
-    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType)]).add("text_key", "long").add("node", "long").add("size", "long").add("bands", T.ArrayType(T.LongType()))
+    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType)]).add("text_key", "long").add("node", "long").add("size", "long").add("fp", T.ArrayType(T.LongType()))
 
     def run(batches):
         for batch in batches:
@@ -82,39 +100,50 @@ def sketches(df: DataFrame, text_col: str, id_col: str, width: int) -> DataFrame
                 sets = [shingles(t, width) for t in part.column("__text").to_pylist()]
                 node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], "uint64").view("int64")
                 size = pa.array([len(s) for s in sets], pa.int64())
-                keys = pa.array([bands(s).view("int64") for s in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(node), size, keys], names=schema.names)
+                fp = pa.array([wide_fingerprint(s).view("int64") for s in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(node), size, fp], names=schema.names)
 
     return df.select(id_col, F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("__text")).mapInArrow(run, schema)
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
-    """(u, v): every node (node, bands) of a bucket and the bucket's least."""
-    keyed = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    least = keyed.groupBy("band", "key").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return keyed.join(least, ["band", "key"]).where("node <> v").select(F.col("node").alias("u"), "v").distinct()
-
-
-def set_links(sets: list[tuple[int, int, np.ndarray]], least: float, forest: Forest) -> None:
-    """Joins nodes (node, part, hashes) whose sets are alike: those of one part, or those of two parts with each other."""
-    sets = sorted({s[0]: s for s in sets}.values(), key=lambda s: (len(s[2]), s[0]))
-    two = len({p for _, p, _ in sets}) > 1
-    for i, (u, p, a) in enumerate(sets):
-        for v, q, b in sets[i + 1 :]:
-            if len(a) < least * len(b) - 1e-9:
-                break
-            if not (two and p == q) and forest.find(u) != forest.find(v) and alike(a, b, least):
+    """(u, v): every node (node, fp) that shares a block, and the least of those that have it. ``nodes`` is read several times."""
+    keyed = nodes.select("node", F.posexplode("fp").alias("block", "key"))
+    least = keyed.groupBy("block", "key").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1")
+    found = spread_join(keyed, least, ["block", "key"], "n", BLOCKS * nodes.count())
+    return found.where("node <> v").select(F.col("node").alias("u"), "v").distinct()
+
+
+def set_links(sets: list[tuple[int, int, np.ndarray, np.ndarray]], least: float, forest: Forest) -> None:
+    """Joins nodes (node, part, fp, hashes) whose sets are alike: those of one part, or those of two parts with each other."""
+    sets = sorted({s[0]: s for s in sets}.values(), key=lambda s: (len(s[3]), s[0]))
+    if len(sets) < 2:
+        return
+    part, sizes = np.array([s[1] for s in sets]), np.array([len(s[3]) for s in sets])
+    fps, two = np.stack([s[2] for s in sets]), len(np.unique(part)) > 1
+    for i, (u, p, _, a) in enumerate(sets):
+        end = int(np.searchsorted(sizes, len(a) / least + 1e-9, side="right"))
+        near = np.bitwise_count(fps[i + 1 : end] ^ fps[i]).sum(axis=1) <= FAR
+        if two:
+            near &= part[i + 1 : end] != p
+        for j in (np.flatnonzero(near) + i + 1).tolist():
+            v, b = sets[j][0], sets[j][3]
+            if forest.find(u) != forest.find(v) and alike(a, b, least):
                 forest.link(u, v)
 
 
 def links(sets: DataFrame, least: float, part: int = 512, hashes: int = 1 << 20) -> DataFrame:
-    """(u, v): edges that connect the nodes (root, node, size, hashes) of equal root whose sets are alike, directly or by a path."""
-    sizes = sets.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / F.lit(part), F.sum("size") / F.lit(hashes))).cast("int").alias("parts"))
+    """(u, v): edges that connect the nodes (root, node, size, fp, hashes) of equal root whose sets are alike, directly or by a path.
+
+    ``sets`` is read several times.
+    """
+    n_parts = F.ceil(F.greatest(F.count("*") / F.lit(part), F.sum("size") / F.lit(hashes))).cast("int").alias("parts")
+    sizes = sets.groupBy("root").agg(n_parts, F.count("*").alias("n"))
     dealt = (
-        sets.join(sizes, "root")
+        spread_join(sets, sizes, ["root"], "n", sets.count())
         .withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "own", "hashes")
+        .select("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "own", "fp", "hashes")
     )
     ordered = dealt.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi")
 
@@ -126,7 +155,7 @@ def links(sets: DataFrame, least: float, part: int = 512, hashes: int = 1 << 20)
                 if (now := (root[i], lo[i], hi[i])) != key:
                     set_links(held, least, forest)
                     held, key = [], now
-                held.append((node[i], own[i], batch.column(5)[i].values.to_numpy(zero_copy_only=False).view("uint64")))
+                held.append((node[i], own[i], *(batch.column(k)[i].values.to_numpy(zero_copy_only=False).view("uint64") for k in (5, 6))))
         set_links(held, least, forest)
         pairs = np.array([(x, r) for x in list(forest.up) if (r := forest.find(x)) != x], "int64").reshape(-1, 2)
         for i in range(0, len(pairs), 65_536):
@@ -139,19 +168,18 @@ def near_groups(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", l
     """(node, root, row) of every distinct set; row is (nameless, id, text_key) of its least row, those without an id last."""
     row = F.struct(F.col(id_col).isNull().alias("nameless"), F.col(id_col).alias("id"), "text_key")
     rows = sketches(df, text_col, id_col, width)
-    nodes = cut(rows.groupBy("node").agg(F.min(row).alias("row"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+    nodes = cut(rows.groupBy("node").agg(F.min(row).alias("row"), F.first("size").alias("size"), F.first("fp").alias("fp")))
     near = components(candidates(nodes))
-    wanted = near.join(nodes, "node").select("root", "node", "size", F.col("row.id").alias("__id"), F.col("row.text_key").alias("__key"))
-    texts = df.select(F.col(id_col).alias("own_id"), F.xxhash64(text_col).alias("own_key"), F.col(text_col).alias("__text"))
-    texts = texts.join(wanted, F.col("own_id").eqNullSafe(F.col("__id")) & (F.col("own_key") == F.col("__key"))).select("root", "node", "size", "__text")
+    wanted = near.join(nodes, "node").select("root", "node", "size", "fp", F.col("row.id").alias("id"), F.col("row.text_key").alias("text_key"))
+    texts = one_of_each(df.select(F.col(id_col).alias("own"), F.col(text_col).alias("__text")), wanted, "__text", "own", "inner").select("root", "node", "size", "fp", "__text")
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "__text"):
                 sets = pa.array([shingles(t, width).view("int64") for t in part.column("__text").to_pylist()], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], sets], names=["root", "node", "size", "hashes"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], sets], names=["root", "node", "size", "fp", "hashes"])
 
-    sets = cut(texts.mapInArrow(run, "root long, node long, size long, hashes array<long>"))
+    sets = cut(texts.mapInArrow(run, "root long, node long, size long, fp array<long>, hashes array<long>"))
     found = components(links(sets, least))
     return nodes.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "row")
 

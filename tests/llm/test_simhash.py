@@ -95,3 +95,18 @@ def test_blocks_cover_three_bits():
             for c in range(0, 64, 7):
                 x = (1 << a) | (1 << b) | (1 << c)
                 assert any(not x & m for m in masks)
+
+
+def test_one_row_of_each_component(spark):
+    rows = [(5, "a b c d e f"), (5, "quite another text of seven words"), (6, "A b c d  e f"), (6, "something longer that is no copy of the others at all"), (6, "something longer that is no copy of the others at all"), (None, ""), (None, None)]
+    got = simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == [(0, ""), (5, "a b c d e f"), (5, "quite another text of seven words"), (6, rows[3][1])]
+
+
+def test_star_of_many_leaves(spark):
+    from brindle.llm.components import components
+
+    n = 100_000
+    star = spark.range(1, n).selectExpr("0 AS u", "id AS v").unionByName(spark.range(n + 1, n + 500).selectExpr("id AS u", "id + 1 AS v")).unionByName(spark.range(1).selectExpr("id AS u", "id AS v"))
+    got = components(star).groupBy("root").count().collect()
+    assert sorted((r.root, r["count"]) for r in got) == [(0, n), (n + 1, 500)]

@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 import corpus_pipeline as cp
-from brindle.llm import resemblance
+from brindle.llm import wide_simhash
 
 
 def plain(text):
@@ -49,10 +49,29 @@ def test_one_row_a_group(spark):
     base = [f"w{i}" for i in range(200)]
     near, other = " ".join([*base[:100], "edit", *base[101:]]), "a text of its own with more than five words"
     rows = [(1, " ".join(base)), (2, near), (2, other), (2, other), (3, other + " "), (None, near), (None, "lone"), (None, "lone")]
-    got = resemblance.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = wide_simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, "lone"), (1, " ".join(base)), (2, other)]
 
 
+def test_wide_fingerprint():
+    rng = np.random.default_rng(2)
+    bits = rng.integers(0, 2, (5, 64))
+    words = [int("".join(map(str, b)), 2) for b in bits]
+    want = int("".join(str(int(c >= 3)) for c in bits.sum(0)), 2)
+    assert wide_simhash.majority(*np.array(words, "uint64")[:, None])[0] == want
+    base = rng.integers(0, 1 << 62, 8000, "uint64")
+    assert len(wide_simhash.wide_fingerprint(base[:0])) == 0 and len(set(wide_simhash.wide_fingerprint(base).tolist())) == wide_simhash.BLOCKS
+    apart, shared = [], 0
+    for i in range(150):  # 80 of 90 elements in common: similarity 0.8
+        own = base[i * 50 : i * 50 + 100]
+        a, b = (wide_simhash.wide_fingerprint(np.sort(x)) for x in (own[:90], own[10:]))
+        apart.append(int(np.bitwise_count(a ^ b).sum()))
+        shared += (a == b).any()
+    assert shared == 150 and max(apart) <= wide_simhash.FAR and 180 < np.mean(apart) < 300
+    far = [int(np.bitwise_count(wide_simhash.wide_fingerprint(base[i : i + 90]) ^ wide_simhash.wide_fingerprint(base[i + 90 : i + 180])).sum()) for i in range(0, 3000, 90)]
+    assert min(far) > wide_simhash.FAR
+
+
 def test_parts_lose_no_link(spark):
     rng = np.random.default_rng(4)
     sets, base = {}, rng.integers(0, 1 << 62, 100)
@@ -61,13 +80,14 @@ def test_parts_lose_no_link(spark):
         own = base.copy()
         own[rng.integers(0, 100, 6)] = rng.integers(0, 1 << 62, 6)
         sets[i] = np.unique(own)
-    df = spark.createDataFrame([(0, i, len(s), s.tolist()) for i, s in sets.items()], "root long, node long, size long, hashes array<long>")
-    forest = resemblance.Forest()
+    rows = [(0, i, len(s), wide_simhash.wide_fingerprint(s.view("uint64")).view("int64").tolist(), s.tolist()) for i, s in sets.items()]
+    df = spark.createDataFrame(rows, "root long, node long, size long, fp array<long>, hashes array<long>")
+    forest = wide_simhash.Forest()
     for i, a in sets.items():
         for j in range(i):
             if similarity(set(a.tolist()), set(sets[j].tolist())) >= 0.8:
                 forest.link(i, j)
-    got = resemblance.Forest()
-    for r in resemblance.links(df, 0.8, part=20).collect():
+    got = wide_simhash.Forest()
+    for r in wide_simhash.links(df, 0.8, part=20).collect():
         got.link(r.u, r.v)
     assert [got.find(i) for i in sets] == [forest.find(i) for i in sets] and len({got.find(i) for i in sets}) > 5
