@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import mixing, pieces, quality, resemblance, toxicity
+from brindle.llm import mixing, pieces, quality, toxicity, wide_simhash
 from brindle.llm.common import documents, scratch, table
 
 
@@ -24,8 +24,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each group of near-duplicates: five-word shingles, Jaccard similarity 0.8."""
-    return resemblance.near_dedup(docs)
+    """The document of the least id of each group of near-duplicates: wide SimHash of five-word shingles, Jaccard similarity 0.8."""
+    return wide_simhash.near_dedup(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
