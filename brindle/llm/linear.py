@@ -6,6 +6,9 @@ and the punctuation it ends with); the square root of the share of words equal t
 
 Models are fitted on the driver on a sample of labelled rows, ``SAMPLE`` at most, the first by a hash of doc_id. Only their
 hashed features get there.
+
+Of the hashed word features a model uses ``CHOSEN``, the best by chi-square on its training rows. This is a parameter of every fit (``most``): with more
+of them held-out loss grows, as labelled rows are few (README).
 """
 
 from __future__ import annotations
@@ -142,28 +145,30 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _choose(sample: Sample, rows: np.ndarray, grade: np.ndarray, classes: int) -> np.ndarray:
-    """Word features by chi-square against the grades, and shares, that at least three of the rows have."""
+def _choose(sample: Sample, rows: np.ndarray, grade: np.ndarray, classes: int, most: int | None) -> np.ndarray:
+    """Word features, the ``most`` best by chi-square against the grades or all, and shares, that at least three of the rows have."""
     use = rows[sample.word_row]
     counts = np.stack([np.bincount(sample.word[use & (grade[sample.word_row] == k)], minlength=DIMENSIONS) for k in range(classes)]).astype(float)
     total = counts.sum(0)
     size = np.array([np.sum(rows & (grade == k)) for k in range(classes)], float)
     want = np.outer(size / max(1, size.sum()), total)
     chi = np.where(total >= 3, np.divide((counts - want) ** 2, want, out=np.zeros_like(want), where=want > 0).sum(0), 0)
-    best = np.argpartition(-chi, CHOSEN)[:CHOSEN]
+    best = np.flatnonzero(chi > 0) if most is None or most >= DIMENSIONS else np.argpartition(-chi, most)[:most]
     n = np.bincount(sample.share[rows[sample.share_row]], minlength=DIMENSIONS)
     return np.unique(np.concatenate([best[chi[best] > 0], np.flatnonzero(n >= 3)]))
 
 
-def fit(sample: Sample, grade: np.ndarray, classes: int, rows: np.ndarray | None = None, extra: np.ndarray | None = None, steps: int = 300, decay: float = 5e-5) -> Model:
+def fit(sample: Sample, grade: np.ndarray, classes: int, rows: np.ndarray | None = None, extra: np.ndarray | None = None, steps: int = 300, decay: float = 5e-5, most: int | None = CHOSEN) -> Model:
     """Maximum likelihood with an L2 penalty by Adam, over the sample's ``rows``.
 
+    ``most`` bounds the word features (None: all that three rows have), the best by chi-square; shares are always used.
+
     Grades that don't occur keep thresholds from smoothed shares; without any row all grades are as likely.
     """
     n = len(sample)
     rows = np.ones(n, bool) if rows is None else rows
     extra = np.zeros((n, 0)) if extra is None else extra
-    chosen = _choose(sample, rows, grade, classes) if rows.any() else np.zeros(0, int)
+    chosen = _choose(sample, rows, grade, classes, most) if rows.any() else np.zeros(0, int)
     place = np.full(DIMENSIONS, -1)
     place[chosen] = np.arange(len(chosen))
     row = np.concatenate([sample.word_row, sample.share_row]).astype(int)

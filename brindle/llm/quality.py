@@ -7,7 +7,8 @@ P(grade >= ``least``), by which documents are selected.
 Of the labels at hand, the grades are 0 (quality 0), 1 (good but toxic) and 2 (good).
 
 Defined results: a null text counts as empty and is scored like any text. A null doc_id passes through. Without labels
-every document is kept. Repeated rows get equal results, an empty table an empty one.
+every document is kept. Repeated rows get equal results, an empty table an empty one. A very long text is scored whole. Kept columns
+that clash with an output column are replaced by it.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brindle.llm.common import slices, with_fields
-from brindle.llm.linear import Extractor, Model, fit, labelled
+from brindle.llm.linear import CHOSEN, Extractor, Model, fit, labelled
 
 GRADES, LEAST, THRESHOLD = 3, 1, 0.4
 
@@ -29,16 +30,16 @@ def grades(labels: np.ndarray) -> np.ndarray:
     return np.where(labels[:, 0] == 0, 0, np.where(labels[:, 1] != 0, 1, 2))
 
 
-def fit_grades(df: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Model | None:
-    """The model from a bounded sample of labelled rows; None if there are none."""
+def fit_grades(df: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", most: int | None = CHOSEN) -> Model | None:
+    """The model from a bounded sample of labelled rows; None if there are none. ``most`` as in ``linear.fit``."""
     sample = labelled(df, labels, ["quality", "toxic"], text_col, id_col)
-    return fit(sample, grades(sample.labels), GRADES) if len(sample) else None
+    return fit(sample, grades(sample.labels), GRADES, most=most) if len(sample) else None
 
 
-def quality(df: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", keep: list[str] | None = None, least: int = LEAST, threshold: float = THRESHOLD) -> DataFrame:
+def quality(df: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", keep: list[str] | None = None, least: int = LEAST, threshold: float = THRESHOLD, most: int | None = CHOSEN) -> DataFrame:
     """``keep`` (all columns unless given) with expected_grade, p_tail and selected (p_tail is at least the threshold)."""
     keep = df.columns if keep is None else keep
-    model = fit_grades(df, labels, text_col, id_col)
+    model = fit_grades(df, labels, text_col, id_col, most)
     new = [T.StructField("expected_grade", T.DoubleType(), False), T.StructField("p_tail", T.DoubleType(), False), T.StructField("selected", T.BooleanType(), False)]
     schema, through = with_fields(df, keep, new)
 

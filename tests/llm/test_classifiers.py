@@ -1,4 +1,6 @@
+import math
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -91,3 +93,107 @@ def test_ordinal_gradient():
 def test_shapes():
     assert [linear.shape(w) for w in ("word", "Word.", "WORD!!", "|", "a%%%", "É", "")] == ["l", "l.", "U!!", "|", "l%%%", "l", ""]
     assert linear.word_features("...") == () and set(linear.word_features("(Abcdefg)")) == set(linear.word_features("abcdefg"))
+
+
+# A plain version: no tables of known words, no sparse arrays, one text at a time.
+
+
+def plain_features(text):
+    words = (text or "").split()
+    bucket = lambda kind, value: zlib.crc32(f"{kind}:{value}".encode()) % (1 << 20)
+    present, shapes = set(), {}
+    for word in words:
+        core = word.lower()
+        while core and not core[0].isalnum():
+            core = core[1:]
+        while core and not core[-1].isalnum():
+            core = core[:-1]
+        if core:
+            present |= {bucket("w", core)} | {bucket(f"p{k}", core[:k]) for k in (4, 5) if len(core) >= k}
+        stem = word
+        while stem and not stem[-1].isalnum():
+            stem = stem[:-1]
+        shape = ("U" if len(stem) > 1 and stem.isupper() else "l" if stem else "") + word[len(stem) :][:3]
+        shapes[bucket("s", shape)] = shapes.get(bucket("s", shape), 0) + 1
+    repeats = sum(a == b for a, b in zip(words, words[1:], strict=False))
+    if repeats:
+        shapes[zlib.crc32(b"repeats") % (1 << 20)] = repeats
+    return present, {k: math.sqrt(n / len(words)) for k, n in shapes.items()}
+
+
+def plain_score(model, text, before=()):
+    present, shares = plain_features(text)
+    total = math.fsum(model.weights.get(i, 0) for i in present) + math.fsum(model.weights.get(i, 0) * v for i, v in shares.items())
+    return total + math.fsum(a * b for a, b in zip(model.extra, before, strict=True))
+
+
+def plain_sigmoid(x):
+    return 1 / (1 + math.exp(-x))
+
+
+def documents_and_labels(spark):
+    sf = "/root/testdata/sf0.001"
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")
+
+
+def test_quality_against_a_plain_version(spark):
+    docs, labels = documents_and_labels(spark)
+    model = quality.fit_grades(docs, labels)
+    got = {r.doc_id: r for r in quality.quality(docs, labels).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows) >= 200
+    for r in rows:
+        tails = [plain_sigmoid(plain_score(model, r.text) - t) for t in model.thresholds]
+        assert got[r.doc_id].p_tail == pytest.approx(tails[0], abs=1e-9) and got[r.doc_id].expected_grade == pytest.approx(sum(tails), abs=1e-9)
+        assert got[r.doc_id].selected == (got[r.doc_id].p_tail >= quality.THRESHOLD)
+
+
+def test_chain_against_a_plain_version(spark):
+    docs, labels = documents_and_labels(spark)
+    sample = linear.labelled(docs, labels, toxicity.LABELS)
+    models = toxicity.fit_chain(sample, toxicity.categories(sample.labels))
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, labels).collect()}
+    for r in docs.collect():
+        before, want = [], []
+        for m in models:
+            odds = plain_score(m, r.text, before) - m.thresholds[0]
+            want.append(plain_sigmoid(odds))
+            before.append(max(-8, min(8, odds)))
+        assert [got[r.doc_id][f"p_{c}"] for c in toxicity.CHAIN] == pytest.approx(want, abs=1e-9)
+        assert got[r.doc_id].is_toxic == (max(want[1:]) >= toxicity.THRESHOLD)
+
+
+def test_fit_is_the_plain_minimum():
+    """The fitted model's loss is that of a plain gradient descent on the same features, run long."""
+    rng = np.random.default_rng(8)
+    n, m = 200, 12
+    x = rng.random((n, m)) < 0.3
+    grade = np.clip((x @ rng.normal(0, 2, m) + rng.logistic(0, 1, n)).round().astype(int) + 1, 0, 2)
+    row, column = np.nonzero(x)
+    sample = linear.Sample(grade[:, None], (row, column), (np.zeros(0, int), np.zeros(0, int), np.zeros(0)), np.zeros(n, int))
+    model = linear.fit(sample, grade, 3, steps=2000, decay=1e-2, most=None)
+
+    def loss(w, t):
+        s = x @ w
+        up = np.column_stack([1 / (1 + np.exp(s - t[0])), 1 / (1 + np.exp(s - t[1])), np.ones(n)])
+        p = np.diff(np.column_stack([np.zeros(n), up]), axis=1)[np.arange(n), grade]
+        return -np.log(p).mean() + 0.5 * 1e-2 * (w @ w)
+
+    w, t = np.zeros(m), np.array([-1.0, 1.0])
+    for _ in range(3000):
+        g = np.array([(loss(w + d, t) - loss(w - d, t)) / 2e-5 for d in 1e-5 * np.eye(m)])
+        h = np.array([(loss(w, t + d) - loss(w, t - d)) / 2e-5 for d in 1e-5 * np.eye(2)])
+        w, t = w - 0.5 * g, t - 0.5 * h
+    fitted = np.array([model.weights.get(i, 0) for i in range(m)])
+    assert loss(fitted, np.array(model.thresholds)) == pytest.approx(loss(w, t), abs=1e-3)
+
+
+def test_every_link_has_positives_in_the_pipeline(spark, monkeypatch):
+    import corpus_pipeline as cp
+
+    sf, seen, true = "/root/testdata/sf0.01", [], toxicity.fit_chain
+    monkeypatch.setattr(toxicity, "fit_chain", lambda sample, targets, **o: seen.append([int(y.sum()) for y in targets]) or true(sample, targets, **o))
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = cp.select_quality(spark, docs, sf)
+    cp.drop_toxic(spark, kept, sf)
+    assert len(seen) == 1 and min(seen[0]) > 30 and len(set(seen[0])) == 3
