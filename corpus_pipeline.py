@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again for the next.
 All but the last return the columns of ``documents``. ``run`` keeps the stages' tables in a folder of its own below the shared one.
+
+Defined results: a null text counts as empty in every stage, a null id or source is a value like any other; null language and n_chars pass
+through. Empty and very long texts are judged, compared, mixed and encoded whole. Documents alike in text (ties and repeated rows) are judged alike;
+of a group of near-duplicates one row stays, that of the least id, then of the least text hash. The mix may take a row several times, and each copy
+is encoded. An empty table gives empty stages; without labels the first two stages keep every row. Extra columns pass
+through up to the mix, whatever their names but those that begin with two underscores; the encoding keeps doc_id alone.
 """
 
 from __future__ import annotations
@@ -19,8 +25,11 @@ def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain doesn't call toxic."""
-    return toxicity.clean(docs, table(spark, sf_dir, "labels"))
+    """Documents that the classifier chain doesn't call toxic.
+
+    The chain learns from the labelled rows of the source documents: the quality stage has removed the junk, one of its categories.
+    """
+    return toxicity.clean(docs, table(spark, sf_dir, "labels"), source=documents(spark, sf_dir))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
