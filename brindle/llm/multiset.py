@@ -1,28 +1,35 @@
 """Document fingerprints by a homomorphic multiset hash of paragraphs.
 
-The fingerprint of a text is the sum, lane by lane modulo 2^32, of a vector for each of its paragraphs (the
+The fingerprint of a text is the sum, lane by lane modulo 2^32, of a wide vector for each of its paragraphs (the
 lines that aren't empty). Sums don't depend on order; a paragraph is inserted by adding its vector and deleted by
-subtracting it. The vector is 64 lanes wide: the paragraph's hash picks one of 16 groups of 4 lanes and fills
-it with 128 bits; the other lanes are 0. So texts with different paragraphs differ in some group with near
-certainty, and the share of equal groups, of those that either uses, is a likeness: 1 for equal multisets,
-falling with the number of paragraphs changed.
+subtracting it. The vector has two parts:
 
-The printed form is the 64 lanes as 512 hexadecimal digits, so printed fingerprints can be added and compared.
+- ``EQUAL`` lanes hold 512 bits of the paragraph's hash. Texts with different multisets of paragraphs differ here with near certainty.
+- ``LIKE`` lanes hold the sum, over the paragraph's sentences, of a vector of signs (1 or -1) from the sentence's hash. The
+  product of two texts' lanes is, on average, the product of their sentence counts, so lanes tell how alike texts are.
+
+``likeness`` is 1 for equal fingerprints, else twice the product of the LIKE lanes by the sum of their squares (the Dice coefficient of
+the counts of sentences), with an error of about 1 / sqrt(``LIKE``). What lies below two such errors can't be told from texts that have nothing in
+common, and is 0. A text of one changed sentence has likeness 0 to the text before.
+
+The printed form is the lanes as hexadecimal digits, so printed fingerprints can be added and compared.
 
 ``with_edited`` fingerprints each document and its edited text, which takes code points from the next document.
 The documents are dealt once, whole, into ranges of doc_id of about ``RANGE_ROWS`` rows (more where that would make over
-``RANGES`` ranges), whose bounds are quantiles; each range is
+``RANGES`` ranges, so that the driver's list of them is bounded), whose bounds are quantiles; an id of many rows is a range of its own, dealt further by the hash of the text. Each range is
 sorted and read as a stream that holds two documents. The first document of a range is dealt to the range
 before as well (the first of all to the last range), a number of rows bounded by the ranges.
 
 Defined results: a null text counts as empty, with the zero fingerprint; likeness of two zero fingerprints is 1. Rows of
-equal doc_id follow each other in the order of their text's hash. Null doc_ids come first. The next of a single document is itself. An empty table
-gives an empty result.
+equal doc_id follow each other in the order of their text's hash. Null doc_ids come first. The next of a single document is itself. Repeated rows are
+each other's next. An empty table gives an empty result. A very long text is held whole, with the next one. ``with_edited`` ignores other columns;
+in ``fingerprints`` a kept column named fingerprint is replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -32,27 +39,28 @@ from pyspark.sql import types as T
 
 from brindle.llm.common import slices, with_fields
 
-GROUPS, WIDTH = 16, 4
+EQUAL, LIKE = 16, 128
+LANES = EQUAL + LIKE
 #: Documents in a range, and ranges at most.
 RANGE_ROWS, RANGES = 256, 65_536
-LANES = GROUPS * WIDTH
-
-
-def paragraph_vectors(paragraphs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """For each paragraph its group and the four lanes it adds there."""
-    raw = b"".join([hashlib.blake2b(p.encode(), digest_size=4 * WIDTH + 4).digest() for p in paragraphs])
-    words = np.frombuffer(raw, "<u4").reshape(-1, WIDTH + 1)
-    return words[:, 0] % GROUPS, words[:, 1:]
+_SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
 def fingerprint(text: str | None) -> np.ndarray:
-    """The 64 lanes of a text."""
-    out = np.zeros((GROUPS, WIDTH), "uint32")
+    """The lanes of a text, unsigned words of 32 bits."""
+    import xxhash
+
+    digest = xxhash.xxh128_digest
+    equal, like = np.zeros(EQUAL, "uint64"), np.zeros(LIKE, "int64")
     paragraphs = list(filter(None, (text or "").split("\n")))
-    for i in range(0, len(paragraphs), 65_536):
-        group, lanes = paragraph_vectors(paragraphs[i : i + 65_536])
-        np.add.at(out, group, lanes)
-    return out.reshape(-1)
+    for i in range(0, len(paragraphs), 4096):
+        some = paragraphs[i : i + 4096]
+        raw = b"".join([hashlib.blake2b(p.encode(), digest_size=4 * EQUAL).digest() for p in some])
+        equal += np.frombuffer(raw, "<u4").reshape(-1, EQUAL).sum(0, dtype="uint64")
+        signs = b"".join([digest(s.encode()) for p in some for s in _SENTENCE.split(p)])
+        bits = np.unpackbits(np.frombuffer(signs, "u1").reshape(-1, LIKE // 8), axis=1)
+        like += 2 * bits.sum(0, dtype="int64") - len(bits)
+    return np.concatenate([equal, like.view("uint64")]).astype("uint32")
 
 
 def insert(fp: np.ndarray, paragraph: str) -> np.ndarray:
@@ -72,11 +80,13 @@ def from_text(form: str) -> np.ndarray:
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Share of equal groups among those that are not zero in both."""
-    a, b = a.reshape(GROUPS, WIDTH), b.reshape(GROUPS, WIDTH)
-    used = a.any(axis=1) | b.any(axis=1)
-    n = int(used.sum())
-    return float(((a == b).all(axis=1) & used).sum() / n) if n else 1.0
+    """1 for equal fingerprints, else the estimated Dice coefficient of the sentences."""
+    if (a == b).all():
+        return 1.0
+    x, y = (f[EQUAL:].view("int32").astype("float64") for f in (a, b))
+    size = float(x @ x + y @ y)
+    found = 2 * float(x @ y) / size if size else 0.0
+    return min(found, 1.0) if found >= 2 / LIKE**0.5 else 0.0
 
 
 def edited(text: str, following: str) -> str:
@@ -109,30 +119,51 @@ def _bounds(ids: DataFrame, ranges: int) -> list[int]:
 
 def with_edited(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", ranges: int | None = None) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of every document."""
-    lowest = -(1 << 63)
-    source = df.select(F.col(id_col).cast("long").alias(id_col), F.coalesce(F.col(id_col).cast("long"), F.lit(lowest)).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    ranges = ranges or max(1, min(RANGES, source.count() // RANGE_ROWS))
-    bounds = _bounds(source.select("__id"), ranges)
+    lowest, text = -(1 << 63), F.coalesce(F.col(text_col), F.lit(""))
+    source = df.select(F.col(id_col).cast("long").alias(id_col), F.coalesce(F.col(id_col).cast("long"), F.lit(lowest)).alias("__id"), F.xxhash64(text).alias("__hash"), text.alias("__text"))
+    total = source.count()
+    ranges = ranges or max(1, min(RANGES, total // RANGE_ROWS))
+    rows_each = max(1, -(-total // ranges))
+    # Ids of more rows than two ranges: fewer than ``ranges``.
+    heavy = {r[0]: -(-r[1] // rows_each) for r in source.groupBy("__id").agg(F.count("*").alias("n")).where(F.col("n") > 2 * rows_each).collect()}
+    bounds = sorted({*_bounds(source.select("__id"), ranges), *heavy, *(x + 1 for x in heavy if x < -lowest - 1)})
+
+    def places(batch: pa.RecordBatch) -> np.ndarray:
+        """The range of each row, rising with (__id, __hash)."""
+        ids, hashes = (batch.column(batch.schema.names.index(c)).to_numpy() for c in ("__id", "__hash"))
+        place = np.searchsorted(np.array(bounds, "int64"), ids, side="right").astype("int64") << 32
+        for x, parts in heavy.items():
+            own = ids == x
+            if own.any():
+                place[own] += np.minimum((hashes[own] / 2.0**64 + 0.5) * parts, parts - 1).astype("int64")
+        return place
 
     def deal(batches):
-        marks = np.array(bounds, "int64")
         for batch in batches:
-            place = np.searchsorted(marks, batch.column(1).to_numpy(), side="right").astype("int32")
-            yield pa.RecordBatch.from_arrays([pa.array(place), *batch.columns], names=["__range", *batch.schema.names])
+            yield pa.RecordBatch.from_arrays([pa.array(places(batch)), *batch.columns], names=["__range", *batch.schema.names])
 
-    placed = source.mapInArrow(deal, T.StructType([T.StructField("__range", T.IntegerType()), *source.schema]))
-    firsts = [(r[0], r[1]) for r in source.select("__id").mapInArrow(lambda it: _range_firsts(it, bounds), "__range int, __id long").groupBy("__range").agg(F.min("__id")).collect()]
-    firsts.sort()
-    heads = [(first, firsts[k - 1][0]) for k, (_, first) in enumerate(firsts)]
+    def firsts(batches):
+        """The least (id, hash) of each range among a task's rows."""
+        least: dict[int, tuple[int, int]] = {}
+        for batch in batches:
+            place, ids, hashes = places(batch), batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            order = np.lexsort((hashes, ids))
+            at = order[np.flatnonzero(np.diff(place[order], prepend=-1))]
+            for p, x in zip(place[at].tolist(), zip(ids[at].tolist(), hashes[at].tolist(), strict=True), strict=True):
+                least[p] = min(x, least.get(p, x))
+        arrays = [pa.array(list(least), pa.int64()), *(pa.array([x[k] for x in least.values()], pa.int64()) for k in (0, 1))]
+        yield pa.RecordBatch.from_arrays(arrays, names=["__range", "__id", "__hash"])
+
+    placed = source.mapInArrow(deal, T.StructType([T.StructField("__range", T.LongType()), *source.schema])).withColumn("__copy", F.lit(0))
+    per_range = source.select("__id", "__hash").mapInArrow(firsts, "__range long, __id long, __hash long").groupBy("__range").agg(F.min(F.struct("__id", "__hash")).alias("x"))
+    heads = sorted((r[0], r[1][0], r[1][1]) for r in per_range.collect())
     # A range's first document also goes, marked 1, to the range before; the very first, marked 2, to the last range.
-    copies = df.sparkSession.createDataFrame([(first, to, 2 if first == firsts[0][1] else 1) for first, to in heads], "__head long, __to int, __copy int") if heads else None
-    if copies is None:
-        rows = placed.withColumn("__copy", F.lit(0))
-    else:
-        # At most ``ranges`` rows are broadcast.
-        extra = source.join(F.broadcast(copies), source["__id"] == copies["__head"]).select(F.col("__to").alias("__range"), id_col, "__id", "__text", "__copy")
-        rows = placed.withColumn("__copy", F.lit(0)).unionByName(extra)
-    ordered = rows.repartition("__range").sortWithinPartitions("__range", "__copy", "__id", F.xxhash64("__text"))
+    if heads:
+        copies = df.sparkSession.createDataFrame([(x, h, heads[k - 1][0], 1 if k else 2) for k, (_, x, h) in enumerate(heads)], "__x long, __h long, __to long, __copy int")
+        # At most about twice ``ranges`` rows are broadcast.
+        extra = source.join(F.broadcast(copies), (source["__id"] == copies["__x"]) & (source["__hash"] == copies["__h"]))
+        placed = placed.unionByName(extra.select(F.col("__to").alias("__range"), id_col, "__id", "__hash", "__text", "__copy"))
+    ordered = placed.repartition("__range").sortWithinPartitions("__range", "__copy", "__id", "__hash")
     schema = f"`{id_col}` long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
     def pair(batches):
@@ -159,15 +190,3 @@ def with_edited(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", r
             raise RuntimeError("a range has no document after its last")
 
     return ordered.mapInArrow(pair, schema)
-
-
-def _range_firsts(batches, bounds: list[int]):
-    """The least id of each range among a task's rows."""
-    marks, least = np.array(bounds, "int64"), {}
-    for batch in batches:
-        ids = np.sort(batch.column(0).to_numpy())
-        place = np.searchsorted(marks, ids, side="right")
-        at = np.flatnonzero(np.diff(place, prepend=-1))
-        for p, x in zip(place[at].tolist(), ids[at].tolist(), strict=True):
-            least[p] = min(x, least.get(p, x))
-    yield pa.RecordBatch.from_pydict({"__range": pa.array(list(least), pa.int32()), "__id": pa.array(list(least.values()), pa.int64())})
