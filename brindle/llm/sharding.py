@@ -3,7 +3,7 @@
 Packing goes by decreasing size into the bin with the least remaining capacity that still fits. ``Bins`` keeps
 the bins in a balanced tree (AA tree) by remaining capacity. One sorted pass over all groups can't be shared out, so it is done twice:
 
-1. The groups are dealt to tasks by hash. Each task packs its own, largest first, into small boxes of a fixed
+1. The groups are dealt to tasks by hash, as many as keep a task's groups below ``TASK_GROUPS``. Each task packs its own, largest first, into small boxes of a fixed
    capacity, a set fraction of the total. Groups larger than a box become boxes of their own. At most one box
    of a task is half full or less, so there are at most 2 x ``BOXES`` boxes and one for each task, whatever the number of documents
    (with a fixed capacity: about 1024 x the number of shards).
@@ -12,12 +12,13 @@ the bins in a balanced tree (AA tree) by remaining capacity. One sorted pass ove
    with as few shards as it needs.
 
 A group larger than an even share gets a shard for itself; the others share out the rest.
-The slot of a row is its box's start in the shard plus its part's start in the box plus its number in the part; boxes are split into
-``PARTS`` parts by hash of doc_id, so that a large group isn't numbered by one task.
+The slot of a row is its box's start in the shard plus its part's start in the box plus its number in the part; boxes are split by
+hash of doc_id into parts of about ``PART_ROWS`` rows, so that a large group isn't numbered by one task. Nor is it joined by one: ``spread_join``
+leaves the rows of groups that hold a large share of all where they are.
 
-Defined results: a null text counts as empty (size 1, CRC 0) and forms a group with the empty texts. Repeated rows are rows
-of one group, in any order among themselves. An empty table gives an empty result. Columns in ``keep`` pass through; an output column replaces a kept one of
-its name.
+Defined results: a null text counts as empty (size 1, CRC 0) and forms a group with the empty texts. Rows without an id are
+split at random, once. Repeated rows are rows of one group, in any order among themselves. A very long text is a group like any other; over an even share it has a
+shard to itself. An empty table gives an empty result. Columns in ``keep`` pass through; an output column replaces a kept one of its name.
 """
 
 from __future__ import annotations
@@ -28,8 +29,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.common import cut
+from brindle.operators.joins import spread_join
 
-BOXES, PARTS = 4096, 32
+BOXES = 4096
+#: Groups that a task packs, and rows that a task numbers, at most (about); the tasks' number follows from the table.
+TASK_GROUPS, PART_ROWS, SALTS = 1_000_000, 65_536, 1 << 40
 
 
 class Bins:
@@ -167,48 +171,58 @@ def shard(df: DataFrame, shards: int | None = 8, capacity: int | None = None, te
     keep = [c for c in df.columns if c != text_col] if keep is None else keep
     keep = [c for c in keep if c not in ("size", "text_crc32", "shard", "slot")]
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    rows = df.select(
-        *keep,
-        (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(text).alias("text_crc32"),
-        F.unhex(F.sha2(text, 256)).alias("__group"),
-        F.pmod(F.xxhash64(F.col(id_col)), F.lit(PARTS)).cast("int").alias("__part"),
+    # The texts are read once. Rows without an id get a random salt, which stays as it is written.
+    salt = F.when(F.col(id_col).isNull(), F.floor(F.rand(17) * SALTS)).otherwise(F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS)))
+    rows = cut(
+        df.select(
+            *keep,
+            F.col(id_col).alias("__id"),
+            (F.octet_length(text) + 1).cast("long").alias("size"),
+            F.crc32(text).alias("text_crc32"),
+            F.unhex(F.sha2(text, 256)).alias("__group"),
+            salt.cast("long").alias("__salt"),
+        )
     )
-    groups = rows.groupBy("__group").agg(F.sum("size").alias("bytes"))
-    total = rows.agg(F.sum("size")).first()[0] or 0
+    groups = cut(rows.groupBy("__group").agg(F.sum("size").alias("bytes"), F.count("*").alias("__n")))
+    n_groups, n_rows, total = groups.agg(F.count("*"), F.coalesce(F.sum("__n"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     most = -(-total // BOXES) if capacity is None else max(1, capacity // (BOXES // 8))
+    tasks = max(1, min(df.sparkSession.sparkContext.defaultParallelism, n_groups // 20_000), -(-n_groups // TASK_GROUPS))
 
     def boxes(batches):
-        sets = [(batch.column(0), batch.column(1).to_numpy()) for batch in batches]
-        if not sets or not sum(len(b) for _, b in sets):
+        sets = [(batch.column(0), batch.column(1).to_numpy(), batch.column(2).to_numpy()) for batch in batches]
+        if not sets or not sum(len(b) for _, b, _ in sets):
             return
-        keys, sizes = pa.concat_arrays([k for k, _ in sets]), np.concatenate([b for _, b in sets])
+        keys, sizes, counts = pa.concat_arrays([k for k, _, _ in sets]), *(np.concatenate([x[i] for x in sets]) for i in (1, 2))
         own = sets[0][0][0].as_py().hex()
         box = best_fit(sizes, most)
         for i in range(0, len(box), 10_000):
-            yield pa.RecordBatch.from_arrays([keys[i : i + 10_000], pa.array(sizes[i : i + 10_000]), pa.array([f"{own}-{b}" for b in box[i : i + 10_000]])], names=["__group", "bytes", "__box"])
+            j = i + 10_000
+            yield pa.RecordBatch.from_arrays([keys[i:j], pa.array(sizes[i:j]), pa.array(counts[i:j]), pa.array([f"{own}-{b}" for b in box[i:j]])], names=["__group", "bytes", "__n", "__box"])
 
-    spread = groups.repartition("__group").sortWithinPartitions(F.col("bytes").desc(), "__group")
-    boxed = cut(spread.mapInArrow(boxes, "__group binary, bytes long, __box string"))
-    few = boxed.groupBy("__box").agg(F.sum("bytes").alias("bytes"))
+    spread = groups.repartition(tasks, "__group").sortWithinPartitions(F.col("bytes").desc(), "__group")
+    boxed = cut(spread.mapInArrow(boxes, "__group binary, bytes long, __n long, __box string"))
+    few = boxed.groupBy("__box").agg(F.sum("bytes").alias("bytes"), F.sum("__n").alias("in_box"))
 
     def final(batches):
-        boxes = [(-b, x) for batch in batches for x, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        boxes = [(-b, x, n) for batch in batches for x, b, n in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
         boxes.sort()
-        sizes = [-b for b, _ in boxes]
+        sizes = [-b for b, _, _ in boxes]
         place = pack_shards(sizes, shards) if capacity is None else best_fit(sizes, capacity)
         if boxes:
-            yield pa.RecordBatch.from_arrays([pa.array([x for _, x in boxes]), pa.array(place, pa.int32())], names=["__box", "shard"])
+            parts = [-(-n // PART_ROWS) for _, _, n in boxes]
+            yield pa.RecordBatch.from_arrays([pa.array([x for _, x, _ in boxes]), pa.array(place, pa.int32()), pa.array(parts, pa.int64())], names=["__box", "shard", "__parts"])
 
-    placed = cut(few.repartition(1).mapInArrow(final, "__box string, shard int"))
-    numbered = rows.join(boxed.join(placed, "__box").select("__group", "__box", "shard"), "__group").drop("__group")
+    placed = cut(few.repartition(1).mapInArrow(final, "__box string, shard int, __parts long"))
+    # For a fixed number of shards there are at most 2 x BOXES boxes and one for each task.
+    per_group = boxed.join(F.broadcast(placed) if capacity is None else placed, "__box").drop("bytes")
+    numbered = cut(spread_join(rows, per_group, ["__group"], "__n", n_rows).withColumn("__part", F.pmod("__salt", "__parts")).drop("__group", "__salt", "__parts", "__n"))
     counts = numbered.groupBy("shard", "__box", "__part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("__box", "__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("__box", "__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    own = Window.partitionBy("__box", "__part").orderBy(F.col(id_col).asc_nulls_last(), "text_crc32")
+    starts = counts.select("__box", "__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
+    own = Window.partitionBy("__box", "__part").orderBy(F.col("__id").asc_nulls_last(), "text_crc32")
     return (
         numbered.withColumn("slot", F.row_number().over(own) - 1)
         .join(starts, ["__box", "__part"])
-        .withColumn("slot", F.col("slot") + F.col("start"))
+        .withColumn("slot", F.col("slot") + F.col("__start"))
         .select(*keep, "size", "text_crc32", "shard", "slot")
     )

@@ -85,3 +85,16 @@ def test_rows(spark, options):
     else:
         assert max(loads.values()) <= max(3000, 46 * 300) and len(loads) <= 2 * sum(loads.values()) // 3000
     assert sharding.shard(df.limit(0), **options).count() == 0
+
+
+def test_one_group_of_most_rows(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PART_ROWS", 50)
+    monkeypatch.setattr(sharding, "TASK_GROUPS", 20)
+    rows = [(None if i % 3 else i, "") for i in range(900)] + [(i, f"text {i}") for i in range(100)] + [(7, "again")] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sharding.shard(df).collect()
+    slots = {}
+    for r in got:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert len(got) == len(rows) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert len({r.shard for r in got if r["size"] == 1}) == 1
