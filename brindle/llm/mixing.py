@@ -5,13 +5,15 @@ order of the source's documents the expected copies are summed, one offset is ad
 taken once for every integer that the sum crosses at it. Documents go by size, so the words taken stay
 close to the target.
 
-No source is ever ordered in one task. Its documents fall into ranges of sizes, the ranges into equal sizes and
-(by doc_id) ``SALTS`` parts of each; only counts of these are summed by windows, and the rows of one part are
-numbered among themselves.
-
-Defined results: size is the number of words, 0 for null and empty texts. A null source is a source of
-its own, the last. A source without words has target 0 and is never taken. Rows of equal order (repeated
-rows) are numbered in any order; as they are equal in size and key, the copies as a whole are the same. Columns
+No source is ever ordered in one task. Its documents fall into ranges of sizes, the ranges into equal sizes and these
+(by doc_id) into ``SALTS`` parts. A window orders only the ranges of a source, the sizes of a range, the parts of a size
+or the rows of a part; each level's starts are joined to the next one's, so a join never gathers a source either. Only the
+targets are windows over all sources, one row each.
+
+Defined results: size is the number of words, 0 for null and empty texts; very long texts are counted whole. A null source is a source of
+its own, the last. A source without words has target 0 and is never taken. Rows without an id are parted by a hash of
+the whole row. Rows of equal order (repeated rows) are numbered in any order; as they are equal in size and key, the copies as a whole are the same. An
+empty table gives an empty result. Columns
 other than those named pass through ``mix`` unless they clash with one of its output columns, which replace them.
 """
 
@@ -20,8 +22,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.llm.common import cut
+
 WEIGHTS = (3.0, 1.0, 2.0)
-SHARE, CAP, SEED, SALTS = 1.5, 2.0, 20_240_229, 64
+SHARE, CAP, SEED, SALTS = 1.5, 2.0, 20_240_229, 65_536
 _OUT = ("size", "source_size", "target", "taken", "copies")
 
 
@@ -60,26 +64,38 @@ def targets(sizes: DataFrame, share: float = SHARE, cap: float = CAP, weights: t
     )
 
 
-def mix(df: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", **options) -> DataFrame:
-    """The columns of ``df`` with size, source_size, target, copies (how often the mix takes the document) and taken (its words)."""
-    clear = df.drop(*[c for c in _OUT if c not in (text_col, source_col, id_col)])
-    salt = F.coalesce(F.pmod(F.col(id_col), F.lit(SALTS)), F.lit(0)).cast("int")
+def mix(df: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", keep: list[str] | None = None, **options) -> DataFrame:
+    """``keep`` (all columns unless given) with size, source_size, target, copies (how often the mix takes the document) and taken (its words).
+
+    The texts are read once if they aren't kept, else twice.
+    """
+    keep = [c for c in (df.columns if keep is None else keep) if c not in _OUT or c in (text_col, source_col, id_col)]
+    salt = F.coalesce(F.pmod(F.col(id_col), F.lit(SALTS)), F.pmod(F.xxhash64(*df.columns), F.lit(SALTS))).cast("int")
     # A key that is never null and orders like the source: joins on it keep the partitioning of the window over it.
     key = F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("t"))
-    sized = clear.withColumns({"size": words(F.col(text_col)), "__salt": salt, "__key": key})
-    parts = sized.groupBy("__key", "size", "__salt").agg(F.count("*").alias("n")).withColumn("__range", F.floor(F.log2(F.col("size") + 1) * 8).cast("int"))
-    ranges = parts.groupBy("__key", "__range").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("size")).alias("words"))
+    rows = df.select(*keep, F.col(id_col).alias("__id"), words(F.col(text_col)).alias("size"), salt.alias("__salt"), key.alias("__key"))
+    if text_col not in keep:
+        rows = cut(rows)
+    parts = cut(rows.groupBy("__key", "size", "__salt").agg(F.count("*").alias("n")))
+    sizes = parts.groupBy("__key", "size").agg(F.sum("n").alias("n")).withColumn("__range", F.floor(F.log2(F.col("size") + 1) * 8).cast("int"))
+    ranges = sizes.groupBy("__key", "__range").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("size")).alias("words"))
     goals = targets(ranges.groupBy(F.col("__key").alias("source")).agg(F.sum("words").alias("source_size")), **options).withColumnRenamed("source", "__key")
-    earlier = lambda *cols: Window.partitionBy(*cols).rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranges.withColumn("base", F.coalesce(F.sum("n").over(earlier("__key").orderBy("__range")), F.lit(0))).drop("n", "words")
-    within = parts.withColumn("within", F.coalesce(F.sum("n").over(earlier("__key", "__range").orderBy("size", "__salt")), F.lit(0)))
-    placed = within.join(starts, ["__key", "__range"]).join(goals, "__key").withColumn("__before", F.col("base") + F.col("within")).drop("__range", "n", "base", "within")
-    number = Window.partitionBy("__key", "size", "__salt").orderBy(F.col(id_col).asc_nulls_last())
-    joined = sized.withColumn("__number", F.row_number().over(number)).join(placed, ["__key", "size", "__salt"])
+
+    def starts(level: DataFrame, within: list[str], by: str, above: DataFrame) -> DataFrame:
+        """The rows before each entry: those before it ``within`` the entry above, and those before that."""
+        window = Window.partitionBy(*within).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+        own = level.withColumn("__own", F.coalesce(F.sum("n").over(window), F.lit(0))).drop("n", "words")
+        return own.join(above, within).withColumn("__before", F.col("__own") + F.col("__before")).drop("__own")
+
+    by_range = starts(ranges, ["__key"], "__range", goals.withColumn("__before", F.lit(0).cast("long")))
+    by_size = starts(sizes, ["__key", "__range"], "size", by_range).drop("__range")
+    placed = starts(parts, ["__key", "size"], "__salt", by_size)
+    number = Window.partitionBy("__key", "size", "__salt").orderBy(F.col("__id").asc_nulls_last())
+    joined = rows.withColumn("__number", F.row_number().over(number)).join(placed, ["__key", "size", "__salt"])
     rank = F.col("__before") + F.col("__number")
     rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
     copies = (F.floor(F.col("offset") + rank * rate) - F.floor(F.col("offset") + (rank - 1) * rate)).cast("long")
-    return joined.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).drop("__key", "__salt", "__before", "__number", "offset")
+    return joined.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).select(*keep, *_OUT)
 
 
 def take(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

@@ -77,3 +77,13 @@ def test_take(docs):
 def test_plan_is_native(docs, capsys):
     mixing.mix(docs).explain()
     assert not any(w in capsys.readouterr().out for w in ("Python", "Pandas", "ArrowEval"))
+
+
+def test_most_rows_without_an_id(spark):
+    rows = [(None, "w " * (i % 3), "a") for i in range(900)] + [(i, "w " * (i % 5), "b") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = mixing.mix(df, keep=["doc_id", "source"]).collect()
+    taken = {s: sum(r.taken for r in got if r.source == s) for s in "ab"}
+    target = {r.source: r.target for r in got}
+    assert len(got) == len(rows) and all(abs(taken[s] - target[s]) <= 4 for s in "ab")
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(df, keep=["doc_id", "source"]).collect()))
