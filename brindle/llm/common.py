@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,3 +51,15 @@ def one_of_each(df: DataFrame, kept: DataFrame, text_col: str, id_col: str, how:
     own = df.withColumns({"__n": F.col(id_col).isNull(), "__i": F.coalesce(id_col, F.lit(0)), "__k": F.xxhash64(text_col)})
     on = ["__n", "__i", "__k"]
     return own.join(kept, on, how).dropDuplicates(on).drop(*on)
+
+
+def starts(level: DataFrame, within: list[str], by: list[str], above: DataFrame | None = None) -> DataFrame:
+    """``level`` with __before for its count n: the rows before an entry, those of earlier entries ``within`` the one above and those before that one.
+
+    ``above`` has ``within`` and its own __before; without it there is nothing before.
+    """
+    window = Window.partitionBy(*within).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    own = level.withColumn("__own", F.coalesce(F.sum("n").over(window), F.lit(0))).drop("n")
+    if above is None:
+        return own.withColumnRenamed("__own", "__before")
+    return own.join(above, within).withColumn("__before", F.col("__own") + F.col("__before")).drop("__own")

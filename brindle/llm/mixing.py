@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import cut
+from brindle.llm.common import cut, starts
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, CAP, SEED, SALTS = 1.5, 2.0, 20_240_229, 65_536
@@ -81,15 +81,9 @@ def mix(df: DataFrame, text_col: str = "text", source_col: str = "source", id_co
     ranges = sizes.groupBy("__key", "__range").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("size")).alias("words"))
     goals = targets(ranges.groupBy(F.col("__key").alias("source")).agg(F.sum("words").alias("source_size")), **options).withColumnRenamed("source", "__key")
 
-    def starts(level: DataFrame, within: list[str], by: str, above: DataFrame) -> DataFrame:
-        """The rows before each entry: those before it ``within`` the entry above, and those before that."""
-        window = Window.partitionBy(*within).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
-        own = level.withColumn("__own", F.coalesce(F.sum("n").over(window), F.lit(0))).drop("n", "words")
-        return own.join(above, within).withColumn("__before", F.col("__own") + F.col("__before")).drop("__own")
-
-    by_range = starts(ranges, ["__key"], "__range", goals.withColumn("__before", F.lit(0).cast("long")))
-    by_size = starts(sizes, ["__key", "__range"], "size", by_range).drop("__range")
-    placed = starts(parts, ["__key", "size"], "__salt", by_size)
+    by_range = starts(ranges.drop("words"), ["__key"], ["__range"], goals.withColumn("__before", F.lit(0).cast("long")))
+    by_size = starts(sizes, ["__key", "__range"], ["size"], by_range).drop("__range")
+    placed = starts(parts, ["__key", "size"], ["__salt"], by_size)
     number = Window.partitionBy("__key", "size", "__salt").orderBy(F.col("__id").asc_nulls_last())
     joined = rows.withColumn("__number", F.row_number().over(number)).join(placed, ["__key", "size", "__salt"])
     rank = F.col("__before") + F.col("__number")
