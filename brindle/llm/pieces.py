@@ -7,13 +7,15 @@ What is left over maps to ids, unknown symbols to their UTF-8 bytes.
 
 A text falls into segments that no merge can cross: where no piece holds the word mark after another
 character, every run of word marks starts a segment; a character that no longer piece contains is a
-segment by itself. Segments repeat, so each worker remembers their ids in a bounded table. Before a
-segment enters this table, its ids are checked against the sentencepiece library, for all new segments of
-a slice of the Arrow batch at once; were they to differ, the library's ids would be taken.
+segment by itself; with byte fallback, a segment of over ``LONG`` characters is also cut between two that stand side by side in no
+piece. Segments repeat, so each worker remembers their ids in a bounded table, long ones excepted. The ids of
+all new segments of a slice of the Arrow batch are checked against the sentencepiece library at once; where they
+differ, the library's are taken and the row says so (``repaired_col``, the number of its segments for which they were).
 
 Defined results: a null text counts as empty; an empty text has no ids and decodes to the empty text. Rows are
 independent of each other, so repeated rows, ties and empty tables need no rule; columns in ``keep`` pass
-through, and an output column replaces a kept one of the same name. Rows hold whole texts of any length.
+through, and an output column replaces a kept one of the same name. Rows hold whole texts of any length; a stretch that can't be cut takes
+about 100 bytes a character while it is encoded.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from pyspark.sql import types as T
 from brindle.llm.common import slices, with_fields
 
 MARK = "▁"
+LONG = 64
 
 
 class MergeCodec:
@@ -59,7 +62,9 @@ class MergeCodec:
         self.splits = not any(MARK in piece.lstrip(MARK) for piece in self.ids)
         merged = set().union(*self.rank) if self.rank else set()
         self.alone = next((c for c in "\n\t\r\x01" if c not in merged), None)
-        self.remember, self.check, self.repaired = remember, check, 0
+        self.inside = {a + b for piece in self.ids for a, b in zip(piece, piece[1:], strict=False)}
+        self.remember, self.check = remember, check
+        self.repaired: set[str] = set()
         # Two generations: a segment found in the older one moves to the newer, so frequent ones are kept.
         self.known: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
@@ -74,13 +79,21 @@ class MergeCodec:
     def segments(self, text: str) -> list[str]:
         """The pieces of a normalised text that merges can't cross, in order."""
         if not self.splits or " " in text:
-            return [text] if text else []
+            return self.cut(text) if text else []
         s = text.replace(MARK, " " + MARK)
         while f"{MARK} {MARK}" in s:
             s = s.replace(f"{MARK} {MARK}", MARK + MARK)
         if self.alone:
             s = s.replace(self.alone, f" {self.alone} ")
-        return list(filter(None, s.split(" ")))
+        found = list(filter(None, s.split(" ")))
+        return found if max(map(len, found), default=0) <= LONG else list(chain.from_iterable(map(self.cut, found)))
+
+    def cut(self, segment: str) -> list[str]:
+        """A long segment cut where no piece, and so no merge, joins two characters."""
+        if len(segment) <= LONG or not self.bytes:
+            return [segment]
+        at = [0, *(i for i in range(1, len(segment)) if segment[i - 1 : i + 1] not in self.inside), len(segment)]
+        return [segment[a:b] for a, b in zip(at, at[1:], strict=False)]
 
     def agenda(self, text: str) -> tuple[int, ...]:
         """Ids of a normalised text by score-ordered merges of adjacent symbols."""
@@ -130,8 +143,8 @@ class MergeCodec:
     def _library_ids(self, texts: list[str]) -> list[list[int]]:
         return self.library.encode(texts, num_threads=1)
 
-    def learn(self, segments: set[str]) -> None:
-        """Adds segments to the table after comparing the agenda's ids with the library's."""
+    def learn(self, segments: set[str]) -> dict[str, tuple[int, ...]]:
+        """The agenda's ids of new segments, compared with the library's."""
         new = sorted(segments)
         got = [self.agenda(s) for s in new]
         if self.check and self.plain and self.prefix:
@@ -143,21 +156,27 @@ class MergeCodec:
                 if new[i] == MARK:
                     continue  # an empty text has no ids in the library
                 if want != got[i]:
-                    got[i], self.repaired = want, self.repaired + 1
-        self.known.update(zip(new, got, strict=True))
+                    got[i] = want
+                    self.repaired.add(new[i])
+        return dict(zip(new, got, strict=True))
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text, as the library's ``encode`` gives them."""
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[int]]:
+        """Ids of each text, as the library's ``encode`` gives them, and the number of its segments whose ids had to be the library's."""
         parts = [self.segments(self.normalise(t)) for t in texts]
         if len(self.known) > self.remember // 2:
             self.known, self.older = {}, self.known
         need = set(chain.from_iterable(parts)).difference(self.known)
         again = need.intersection(self.older)
         self.known.update((s, self.older[s]) for s in again)
+        long: dict[str, tuple[int, ...]] = {}
         if need := need.difference(again):
-            self.learn(need)
-        find = self.known.__getitem__
-        return [list(chain.from_iterable(map(find, p))) for p in parts]
+            for s, ids in self.learn(need).items():
+                (self.known if len(s) <= LONG else long)[s] = ids
+        self.known.update(long)
+        ids = [list(chain.from_iterable(map(self.known.__getitem__, p))) for p in parts]
+        for s in long:
+            del self.known[s]
+        return ids, [sum(s in self.repaired for s in p) for p in parts] if self.repaired else [0] * len(parts)
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.library.decode(ids, num_threads=1) if ids else []
@@ -174,10 +193,10 @@ def codec(model_path: str, **options) -> MergeCodec:
     return _codecs[key]
 
 
-def encode_decode(df: DataFrame, model_path: str, text_col: str = "text", keep: list[str] | None = None, ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
-    """``keep`` (all columns but the text unless given) with the ids of the text and what they decode to."""
+def encode_decode(df: DataFrame, model_path: str, text_col: str = "text", keep: list[str] | None = None, ids_col: str = "ids", decoded_col: str = "decoded", repaired_col: str = "n_repaired") -> DataFrame:
+    """``keep`` (all columns but the text unless given) with the ids of the text, what they decode to, and the number of repaired segments."""
     keep = [c for c in df.columns if c != text_col] if keep is None else keep
-    schema, through = with_fields(df, keep, [T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False), T.StructField(decoded_col, T.StringType(), False)])
+    schema, through = with_fields(df, keep, [T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False), T.StructField(decoded_col, T.StringType(), False), T.StructField(repaired_col, T.LongType(), False)])
     source = df.select(*through, F.col(text_col).alias("__text"))
 
     def run(batches):
@@ -185,11 +204,11 @@ def encode_decode(df: DataFrame, model_path: str, text_col: str = "text", keep:
         for batch in batches:
             for part in slices(batch, "__text", 1 << 20):
                 texts = [t or "" for t in part.column("__text").to_pylist()]
-                ids = own.encode(texts)
+                ids, repaired = own.encode(texts)
                 ends = np.zeros(len(ids) + 1, "int32")
                 np.cumsum([len(x) for x in ids], out=ends[1:])
                 flat = np.fromiter(chain.from_iterable(ids), "int32", int(ends[-1]))
-                arrays = [*part.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(own.decode(ids), pa.string())]
+                arrays = [*part.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(own.decode(ids), pa.string()), pa.array(repaired, pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return source.mapInArrow(run, schema)

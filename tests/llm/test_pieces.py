@@ -17,18 +17,16 @@ def codec():
 
 
 def test_agenda_equals_library(codec):
-    assert codec.encode(ODD) == codec.library.encode(ODD)
-    assert codec.repaired == 0
+    assert codec.encode(ODD) == (codec.library.encode(ODD), [0] * len(ODD))
 
 
 @settings(max_examples=150, deadline=None)
 @given(st.text(st.one_of(st.characters(blacklist_categories=["Cs"]), st.sampled_from(" \n▁aetn")), max_size=60))
 def test_any_text(codec, text):
-    ids = codec.encode([text])
-    assert ids == codec.library.encode([text])
+    ids, repaired = codec.encode([text])
+    assert repaired == [0] and ids == codec.library.encode([text])
     assert [i for s in codec.segments(codec.normalise(text)) for i in codec.agenda(s)] == ids[0]
     assert codec.segments(codec.normalise(text)) == pieces.splits_at(codec.normalise(text))
-    assert codec.repaired == 0
 
 
 def test_other_types_are_refused(tmp_path):
@@ -46,3 +44,25 @@ def test_rows(spark, codec):
         assert got[i].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert got[i].decoded_sha256 == hashlib.sha256(codec.library.decode(ids).encode()).hexdigest()
     assert pieces.encode_decode(df.limit(0), MODEL).count() == 0
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(st.sampled_from("aetn▁qxzéß日本🤷 "), min_size=65, max_size=400))
+def test_long_segments_are_cut_where_no_merge_joins(codec, text):
+    assert codec.encode([text]) == ([codec.library.encode(text)], [0])
+    assert "".join(codec.segments(codec.normalise(text))) == codec.normalise(text)
+
+
+def test_long_segments_are_not_remembered():
+    codec = pieces.MergeCodec(MODEL)
+    long = "e" * 5000 + "日" * 300 + "qxzj" * 50
+    assert codec.encode([long, "short text"])[0] == codec.library.encode([long, "short text"])
+    assert codec.known and max(map(len, codec.known)) <= pieces.LONG
+
+
+def test_a_difference_from_the_library_shows(monkeypatch):
+    codec = pieces.MergeCodec(MODEL)
+    true = codec.agenda
+    monkeypatch.setattr(codec, "agenda", lambda s: (7,) if "wrong" in s else true(s))
+    texts = ["all right", "wrong and wrong", "not wrongly"]
+    assert codec.encode(texts) == (codec.library.encode(texts), [0, 2, 1])
