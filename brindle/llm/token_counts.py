@@ -8,14 +8,14 @@ must have white space before it within the right chunk too, as the chunk's own s
 has no such position, it is widened twofold, at last up to the end of the text, which is exact.
 
 Other texts need no splice. They repeat words, so they are cut at the same kind of stable position, and each
-worker remembers the count of each word, in a bounded table.
+worker remembers the count of each word, in a bounded table, words of over 64 characters excepted. ``huge`` changes the way, never the count.
 
 ``stable_splits`` checks that a tokenizer file is of a kind for which the argument holds: BPE without
 dropout, white space removed by its pattern, and known normalisers. For other kinds, every text is encoded whole.
 
 Defined results: null counts as empty, empty has 0 tokens. Columns in ``keep`` pass through; an
 output column replaces a kept one of the same name. Rows are independent: ties, repeated rows and empty tables need no
-rule.
+rule. A very long text is counted whole, chunk by chunk; if it has no stable position its chunks grow up to the whole text.
 """
 
 from __future__ import annotations
@@ -63,8 +63,11 @@ class Counter:
         new = sorted(set().union(*parts).difference(self.known)) if parts else []
         for i in range(0, len(new), 5000):
             self.known.update(zip(new[i : i + 5000], self.whole(new[i : i + 5000]), strict=True))
-        find = self.known.__getitem__
-        return [sum(map(find, p)) for p in parts]
+        counts = [sum(map(self.known.__getitem__, p)) for p in parts]
+        for w in new:
+            if len(w) > 64:
+                del self.known[w]
+        return counts
 
     def offsets(self, text: str) -> list[tuple[int, int]]:
         return self.tokenizer.encode(text, add_special_tokens=False).offsets

@@ -53,3 +53,20 @@ def test_rows(spark):
         assert (got[i].n_bytes, got[i].n_tokens) == (len((t or "").encode()), own.whole([t or ""])[0])
         assert got[i].over_limit == (got[i].n_tokens > 2048)
     assert tc.token_counts(df.limit(0), PATH).count() == 0
+
+
+def test_contract_with_overlaps_everywhere(spark):
+    """The query's rows for every document, with nearly all texts counted by overlap splicing, against the library on whole texts."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    own = tc.Counter(PATH)
+    rows = docs.collect()
+    want = {r.doc_id: n for r, n in zip(rows, own.whole([r.text or "" for r in rows]), strict=True)}
+    for options in ({}, {"huge": 100, "chunk": 200, "overlap": 16}):
+        got = tc.token_counts(docs, PATH, **options).collect()
+        assert {r.doc_id: r.n_tokens for r in got} == want
+    assert sum(len(r.text or "") > 100 for r in rows) > 0.9 * len(rows)
+
+
+def test_long_words_are_not_remembered():
+    own = tc.Counter(PATH)
+    assert own.count(["x" * 900 + " a b", "y" * 65]) == own.whole(["x" * 900 + " a b", "y" * 65]) and set(own.known) == {"a", "b"}
