@@ -2,6 +2,10 @@
 
 A posting is one occurrence (fid, word). Weights are constant within (fid, word), so everything is summed to
 (fid, word, n) before the word join: the join is over distinct words of an image, not over pairs of occurrences.
+
+The index lies by image. A query set of up to ``QUERY_ROWS`` rows is broadcast to it, so that an image's matches are summed where its rows are
+and no pair of images is shuffled; a larger one is joined by word, the images of frequent words being dealt into parts. Every query
+meets every image that shares a word with it: the work is the number of such pairs, whichever way it is shared out.
 """
 
 from __future__ import annotations
@@ -9,6 +13,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a query set that is broadcast (about 64 MB).
+QUERY_ROWS = 1_000_000
+
 
 def term_counts(postings: DataFrame) -> DataFrame:
     """(fid, word, n)"""
@@ -29,9 +36,9 @@ def inverse_frequency(counts: DataFrame) -> DataFrame:
 
 
 def weights(counts: DataFrame) -> DataFrame:
-    """(fid, word, n, nk, tf, idf, tfidf)"""
-    joined = counts.join(image_sizes(counts), "fid").join(inverse_frequency(counts), "word")
-    return joined.withColumn("tf", F.col("n").cast("double") / F.col("nk")).withColumn("tfidf", F.col("tf") * F.col("idf")).select("fid", "word", "n", "nk", "tf", "idf", "tfidf")
+    """(fid, word, n, nk, tf, idf, tfidf), by image."""
+    own = counts.join(inverse_frequency(counts), "word").withColumn("nk", F.sum("n").over(Window.partitionBy("fid")))
+    return own.withColumn("tf", F.col("n").cast("double") / F.col("nk")).withColumn("tfidf", F.col("tf") * F.col("idf")).select("fid", "word", "n", "nk", "tf", "idf", "tfidf")
 
 
 def augmented_weights(counts: DataFrame, idf: DataFrame) -> DataFrame:
@@ -45,18 +52,30 @@ def factors(weighted: DataFrame) -> DataFrame:
     return weighted.groupBy("fid").agg(F.sqrt(F.sum(F.col("n") * F.col("tfidf") * F.col("tfidf"))).alias("factor"))
 
 
-def similarities(query: DataFrame, weighted: DataFrame, norms: DataFrame) -> DataFrame:
+def matches(query: DataFrame, index: DataFrame, rows: int = QUERY_ROWS, part: int = 100_000) -> DataFrame:
+    """Rows of ``query`` (qfid, word, ...) and ``index`` (fid, word, ...) of equal words. ``query`` is read twice."""
+    if query.limit(rows + 1).count() <= rows:
+        return index.join(F.broadcast(query), "word")
+    # A word of many images is dealt into parts of about ``part`` images; its query rows go to each.
+    parts = index.groupBy("word").agg(F.ceil(F.count("*") / F.lit(part)).cast("int").alias("__parts")).where("__parts > 1")
+    known = lambda df: df.join(parts, "word", "left").withColumn("__parts", F.coalesce("__parts", F.lit(1)))
+    own = known(query).withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts")
+    dealt = known(index).withColumn("__part", F.pmod(F.xxhash64("fid"), "__parts").cast("int")).drop("__parts")
+    return dealt.join(own, ["word", "__part"]).drop("__part")
+
+
+def similarities(query: DataFrame, weighted: DataFrame, norms: DataFrame, **options) -> DataFrame:
     """(qfid, fid, sim): the sum over matched pairs, divided by the matched image's norm only; an image whose norm is 0 is left out."""
     q = query.select(F.col("fid").alias("qfid"), "word", (F.col("n") * F.col("tfidf")).alias("wq"))
     m = weighted.select("fid", "word", (F.col("n") * F.col("tfidf")).alias("wm"))
-    pairs = q.join(m, "word").groupBy("qfid", "fid").agg(F.sum(F.col("wq") * F.col("wm")).alias("dot"))
+    pairs = matches(q, m, **options).groupBy("fid", "qfid").agg(F.sum(F.col("wq") * F.col("wm")).alias("dot"))
     return pairs.join(norms, "fid").where("factor > 0").select("qfid", "fid", F.round(F.col("dot") / F.col("factor"), 6).alias("sim"))
 
 
-def votes(query: DataFrame, counts: DataFrame) -> DataFrame:
+def votes(query: DataFrame, counts: DataFrame, **options) -> DataFrame:
     """(qfid, fid, n): matched pairs of occurrences."""
     q = query.select(F.col("fid").alias("qfid"), "word", F.col("n").alias("nq"))
-    return q.join(counts, "word").groupBy("qfid", "fid").agg(F.sum(F.col("nq") * F.col("n")).alias("n"))
+    return matches(q, counts, **options).groupBy("fid", "qfid").agg(F.sum(F.col("nq") * F.col("n")).alias("n")).select("qfid", "fid", "n")
 
 
 def top(scored: DataFrame, k: int, score: str = "sim", larger_id_first: bool = True, group: str = "qfid", item: str = "fid") -> DataFrame:

@@ -250,3 +250,15 @@ def test_registered_hierarchy_has_the_references_branches(spark):
     registry.load()
     rows = registry.QUERIES["c2_hierarchical_vocabulary"](spark, "/root/testdata/sf0.001")
     assert rows.where("level = 1").select("cid").distinct().count() > 4
+
+
+def test_large_query_sets_are_joined_in_parts(spark):
+    """A query set over the limit, and words of more images than a part, give the same rows as a broadcast."""
+    rows = [(f, w) for f in range(40) for w in {0, f % 3, f % 7, f % 11 + 20} for _ in range(w % 2 + 1)]
+    counts = bow.term_counts(spark.createDataFrame(rows, "fid long, word long"))
+    weighted = bow.weights(counts)
+    asked, norms = weighted.where("fid < 9"), bow.factors(weighted)
+    few, many = bow.similarities(asked, weighted, norms), bow.similarities(asked, weighted, norms, rows=3, part=4)
+    assert {(r.qfid, r.fid): r.sim for r in few.collect()} == pytest.approx({(r.qfid, r.fid): r.sim for r in many.collect()}, abs=2e-6)
+    votes = [sorted(map(tuple, bow.votes(counts.where("fid < 9"), counts, **o).collect())) for o in ({}, {"rows": 3, "part": 4})]
+    assert votes[0] == votes[1] and len(votes[0]) == 9 * 40
