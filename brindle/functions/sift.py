@@ -204,12 +204,13 @@ def descriptor(point: Keypoint, size: np.ndarray, angle: np.ndarray) -> np.ndarr
             for k in (0, 1):
                 share = np.abs(1 - i - (rb - r0)) * np.abs(1 - j - (cb - c0)) * np.abs(1 - k - (turn - d0))
                 np.add.at(h, (r0 + i + 1, c0 + j + 1, (d0 + k) % DIRECTIONS), mass * share)
-    v = h[1:-1, 1:-1].reshape(-1)
-    for _ in range(2):
-        norm = np.linalg.norm(v)
-        v = np.minimum(v / norm, CLIP) if norm else v
-    norm = np.linalg.norm(v)
-    return np.minimum(255, (SCALE * v / norm if norm else v).astype(int))
+    return whole_numbers(h[1:-1, 1:-1].reshape(-1))
+
+
+def whole_numbers(v: np.ndarray) -> np.ndarray:
+    """A histogram of unit length, clipped, of unit length again, as whole numbers up to 255."""
+    unit = lambda v: v / (np.linalg.norm(v) or 1)
+    return np.minimum(255, (SCALE * unit(np.minimum(unit(v), CLIP))).astype(int))
 
 
 def gradient_patch(point: Keypoint, image: np.ndarray) -> np.ndarray:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyarrow import fs
+import pandas as pd
 from pyspark.sql import functions as F
 
 from brindle.operators import bow
@@ -13,15 +13,6 @@ from brindle.sources import records, text
 from brindle.sources.shared import cut, scratch
 
 
-def put(uri: str, name: str, data: str) -> str:
-    """Writes one small file into a folder and returns its path."""
-    store, root = fs.FileSystem.from_uri(uri)
-    store.create_dir(root, recursive=True)
-    with store.open_output_stream(f"{root}/{name}") as out:
-        out.write(data.encode())
-    return f"{uri}/{name}"
-
-
 @query("s3_s4_vector_file", f"WITH {DESCRIPTORS} SELECT row_number() OVER (ORDER BY kp_id) - 1 AS kp_id, [round(CAST(CAST(x AS FLOAT) AS DOUBLE), 6) for x in vec] AS vec FROM descriptors")
 def vector_file(spark, sf_dir):
     folder = scratch(spark, "vectors")
@@ -61,22 +52,8 @@ def result_detail(spark, sf_dir):
     return text.result_detail(spark, path).select("qfid", F.col("rank").cast("int").alias("rank"), "fid", "sim")
 
 
-@query("s13_sparse_matrix", f"WITH {INDEX}, w AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS word_id FROM (SELECT DISTINCT word FROM counts WHERE length(word) = 2)) SELECT fid AS doc_id, word_id, n::DOUBLE AS val FROM counts JOIN w USING (word)")
+@query("s13_sparse_matrix", f"WITH {INDEX}, w AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS word_id FROM (SELECT DISTINCT word FROM counts)) SELECT fid AS doc_id, word_id, n::DOUBLE AS val FROM counts JOIN w USING (word)")
 def sparse(spark, sf_dir):
-    """The matrix of two-letter words, whose number has a bound (676), by documents."""
-    counts = bow.term_counts(postings(spark, sf_dir)).where(F.length("word") == 2)
-    words = sorted(r[0] for r in counts.select("word").distinct().collect())
-    table = spark.createDataFrame(list(enumerate(words)), "word_id long, word string") if words else spark.createDataFrame([], "word_id long, word string")
-    cells = counts.join(F.broadcast(table), "word").select("fid", "word_id", "n")
-    uri = scratch(spark, "matrix")
-    n_docs = (cells.agg(F.max("fid")).first()[0] or 0) + 1
-    for name, data in text.format_sparse_matrix([tuple(r) for r in cells.toLocalIterator()], len(words), n_docs).items():
-        put(uri, f"m_{name}", data)
-    return text.sparse_matrix(spark, f"{uri}/m")
-
-
-@query("s13_whole_sparse_matrix", f"WITH {INDEX}, w AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS word_id FROM (SELECT DISTINCT word FROM counts)) SELECT fid AS doc_id, word_id, n::DOUBLE AS val FROM counts JOIN w USING (word)")
-def whole_sparse(spark, sf_dir):
     """The matrix of all words by documents, written in ordered parts."""
     counts = cut(bow.term_counts(postings(spark, sf_dir)))
     words = cut(text.numbered(counts.select("word").distinct(), "word", "word_id"))
@@ -84,3 +61,84 @@ def whole_sparse(spark, sf_dir):
     prefix = scratch(spark, "matrix")
     text.write_sparse_matrix(cells, words.count(), prefix)
     return text.sparse_matrix(spark, prefix)
+
+
+def lines(*columns):
+    """Lines of a positional file: the columns side by side."""
+    return F.concat_ws(" ", *[F.col(c).cast("string") if isinstance(c, str) else c for c in columns]).alias("line")
+
+
+@query("s13_dense_matrix", f"WITH {DESCRIPTORS} SELECT row_number() OVER (ORDER BY kp_id) - 1 AS doc_id, [round(x, 6) for x in vec] AS vec FROM descriptors")
+def dense(spark, sf_dir):
+    """A matrix file of the descriptors, read back by rows."""
+    d, path = descriptors(spark, sf_dir), scratch(spark, "dense")
+    head = d.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("vec")), F.lit(0)).alias("width")).select(F.lit(0).alias("k"), F.lit(None).cast("long").alias("kp_id"), lines("n", "width"))
+    body = d.select(F.lit(1).alias("k"), "kp_id", F.array_join(F.col("vec").cast("array<string>"), " ").alias("line"))
+    text.write_positional(head.unionByName(body), path, "k", "kp_id")
+    return text.dense_matrix(spark, path).select("doc_id", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
+
+
+@query("s13_labels", "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS doc_id, label::DOUBLE AS label FROM embeddings")
+def labels(spark, sf_dir):
+    """A label file (seedings and priors have the same form)."""
+    e, path = read(spark, sf_dir, "embeddings"), scratch(spark, "labels")
+    head = e.agg(F.count("*").alias("n")).select(F.lit(0).alias("k"), F.lit(None).cast("long").alias("vec_id"), lines("n", F.lit("1")))
+    text.write_positional(head.unionByName(e.select(F.lit(1).alias("k"), "vec_id", lines("label"))), path, "k", "vec_id")
+    return text.value_column(spark, path)
+
+
+@query("s10_level_file", f"""WITH {DESCRIPTORS}, sizes AS (SELECT category, count(*) AS n FROM descriptors GROUP BY category)
+    SELECT 'edge' AS kind, category % 3 AS a, count(*) AS b FROM sizes GROUP BY ALL UNION ALL SELECT 'size', category, n FROM sizes
+    UNION ALL SELECT 'point', row_number() OVER (ORDER BY kp_id) - 1, category FROM descriptors""")
+def level_file(spark, sf_dir):
+    """A level of a hierarchy: categories under three parents, each descriptor in its category."""
+    d, path = descriptors(spark, sf_dir), scratch(spark, "level")
+    sizes = d.groupBy("category").agg(F.count("*").alias("n"))
+    edges = sizes.groupBy((F.col("category") % 3).alias("parent")).agg(F.count("*").alias("n"))
+    part = lambda df, k, at, line: df.select(F.lit(k).alias("k"), at.cast("long").alias("at"), line)
+    counted = lambda df, k: part(df.agg(F.count("*").alias("n")), k, F.lit(0), lines("n"))
+    rows = [counted(edges, 0), part(edges, 1, F.col("parent"), lines("parent", "n")), counted(sizes, 2), part(sizes, 3, F.col("category"), lines("category", "n")), part(d, 4, F.col("kp_id"), lines("category"))]
+    text.write_positional(rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3]).unionByName(rows[4]), path, "k", "at")
+    return text.read_level_file(spark, path)
+
+
+@query("s7_s8_words_file", f"""WITH {DESCRIPTORS}, m AS (SELECT category, i, avg(vec[i]) AS x FROM descriptors, unnest(range(1, 65)) AS r(i) GROUP BY ALL), c AS (SELECT category, list(round(x, 6) ORDER BY i) AS center FROM m GROUP BY category),
+     n AS (SELECT category, list(kp_id ORDER BY kp_id) AS sons FROM descriptors GROUP BY category)
+    SELECT category::BIGINT AS node_id, true AS is_leaf, len(sons) AS npoints, sons, center FROM n JOIN c USING (category)""")
+def words_file(spark, sf_dir):
+    """A tree of one level: the categories as words, with their descriptors and centers."""
+    d, path = descriptors(spark, sf_dir), scratch(spark, "words")
+    means = d.select("category", F.posexplode("vec").alias("i", "x")).groupBy("category", "i").agg(F.avg("x").alias("x"))
+    centers = means.groupBy("category").agg(F.sort_array(F.collect_list(F.struct("i", F.format_string("%.6f", "x").alias("x")))).alias("c"))
+    leaves = d.groupBy("category").agg(F.sort_array(F.collect_list("kp_id")).alias("sons")).join(centers, "category")
+    n = F.size("sons").cast("string")
+    body = leaves.select(F.lit(1).alias("k"), F.col("category").cast("long").alias("at"), lines("category", n, n, F.array_join(F.col("sons").cast("array<string>"), " "), F.array_join("c.x", " ")))
+    top = leaves.agg(F.coalesce(F.sum(F.size("sons")), F.lit(0)).alias("points"), F.count("*").alias("nodes"), F.coalesce(F.max(F.size("c")), F.lit(0)).alias("dim"))
+    text.write_positional(top.select(F.lit(0).alias("k"), F.lit(0).cast("long").alias("at"), lines("points", "nodes", "nodes", "dim")).unionByName(body), path, "k", "at")
+    got = text.read_words_file(spark, path)
+    return got.select("node_id", "is_leaf", "npoints", "sons", F.transform("center", lambda x: F.round(x, 6)).alias("center"))
+
+
+def _feature_files(spark, sf_dir, kind):
+    """A feature file for each image, read back."""
+    e, path = descriptors(spark, sf_dir), scratch(spark, kind)
+    rows = e.select("fid", "kp_id", (F.col("kp_id") % 640).alias("x"), (F.col("kp_id") % 480).alias("y"), "vec")
+
+    def run(f):
+        f = f.sort_values("kp_id")
+        made = [(r.x, r.y, 2.5, 0.25, 1.5, 0.5, 1.0, [int(abs(v) * 255) for v in r.vec] if kind == "lowe" else list(r.vec)) for r in f.itertuples()]
+        return pd.DataFrame({"fid": [f["fid"].iloc[0]], "value": [text.format_features(made, kind)]})
+
+    rows.groupBy("fid").applyInPandas(run, "fid long, value string").write.partitionBy("fid").text(path)
+    found = text.read_features(spark, path, kind)
+    return found.select(F.col("fid").cast("long").alias("fid"), "x", "y", "scl", "ori", "a", "b", "c", F.transform("vec", lambda v: F.round(v, 6)).alias("vec"))
+
+
+@query("s14_lowe_features", f"WITH {DESCRIPTORS} SELECT fid, (kp_id % 640)::DOUBLE AS x, (kp_id % 480)::DOUBLE AS y, 2.5::DOUBLE AS scl, 0.25::DOUBLE AS ori, 0::DOUBLE AS a, 0::DOUBLE AS b, 0::DOUBLE AS c, [floor(abs(v) * 255)::DOUBLE for v in vec] AS vec FROM descriptors")
+def lowe(spark, sf_dir):
+    return _feature_files(spark, sf_dir, "lowe")
+
+
+@query("s14_oxford_features", f"WITH {DESCRIPTORS} SELECT fid, (kp_id % 640)::DOUBLE AS x, (kp_id % 480)::DOUBLE AS y, 0::DOUBLE AS scl, 0::DOUBLE AS ori, 1.5::DOUBLE AS a, 0.5::DOUBLE AS b, 1::DOUBLE AS c, [round(v, 6) for v in vec] AS vec FROM descriptors")
+def oxford(spark, sf_dir):
+    return _feature_files(spark, sf_dir, "oxford")

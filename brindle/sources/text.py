@@ -73,15 +73,23 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def _whole(spark: SparkSession, path: str, parse, schema: str) -> DataFrame:
-    """Rows that ``parse`` makes of each file's text."""
+    """Rows that ``parse`` makes of each file's text, after the columns of the folders it lies in (``fid=3``), as strings."""
+    files = spark.read.text(path, wholetext=True)
+    folders = [c for c in files.columns if c != "value"]
+    names = folders + [c.split()[0] for c in schema.split(", ")]
 
     def run(frames):
         for f in frames:
-            for text in f["value"]:
-                rows = list(parse(text))
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")]) if rows else pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
+            for text, *own in zip(f["value"], *(f[c] for c in folders), strict=True):
+                yield pd.DataFrame([(*own, *row) for row in parse(text)], columns=names)
 
-    return spark.read.text(path, wholetext=True).mapInPandas(run, schema)
+    files = files.select("value", *[F.col(c).cast("string") for c in folders])
+    return files.mapInPandas(run, ", ".join([f"`{c}` string" for c in folders] + [schema]))
+
+
+def write_positional(lines: DataFrame, path: str, *by: str) -> None:
+    """A file whose meaning depends on the position: column ``line`` in the order of ``by``, written by one task as a stream."""
+    lines.select("line", *by).coalesce(1).sortWithinPartitions(*by).select("line").write.text(path)
 
 
 def level_file(text: str) -> Iterator[tuple]:
