@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from brindle.sources.shared import cut
 
 KINDS = ("spherical", "euclidean", "kl", "diametric")
+#: The high bits of a multiplicative hash of an id and a seed, in SQL.
+RANDOM_LABELS = "((({0} % 2147483648 + 2147483648) % 2147483648 * 2654435761 + {1} * 40503) % 4294967296) // 65536"
 
 
 def prepare(x: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
@@ -155,8 +157,8 @@ def update(assigned: DataFrame, k: int, kind: str, old: np.ndarray | None = None
     return State(kind, centers, sums, weights, total - omega * k)
 
 
-def farthest_first(points: DataFrame, k: int, kind: str) -> np.ndarray:
-    """k seeds: the point least like the mean of all, then each time the point with the least sum of gains to those chosen; of equal ones the lowest id."""
+def farthest_documents(points: DataFrame, k: int, kind: str) -> tuple[list[int], np.ndarray]:
+    """k seeds, their ids and vectors: the point least like the mean of all, then each time the point with the least sum of gains to those chosen; of equal ones the lowest id."""
     everything = update(points.withColumn("cluster", F.lit(0)), 1, kind)
     chosen: list[tuple[int, np.ndarray]] = []
 
@@ -184,11 +186,12 @@ def farthest_first(points: DataFrame, k: int, kind: str) -> np.ndarray:
         if row is None:
             break
         chosen.append((row["doc_id"], np.array(row["vec"])))
-    return np.stack([v for _, v in chosen])
+    return [d for d, _ in chosen], np.stack([v for _, v in chosen])
 
 
 def random_labels(points: DataFrame, k: int, seed: int) -> DataFrame:
-    return points.withColumn("cluster", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(k)).cast("int"))
+    """Clusters by a multiplicative hash of the id."""
+    return points.withColumn("cluster", F.pmod(F.expr(RANDOM_LABELS.format("doc_id", seed).replace("//", "div")), F.lit(k)).cast("int"))
 
 
 def start(points: DataFrame, k: int, kind: str, init: str | DataFrame = "separated", seed: int = 1) -> np.ndarray:
@@ -196,7 +199,7 @@ def start(points: DataFrame, k: int, kind: str, init: str | DataFrame = "separat
     if isinstance(init, DataFrame):
         return update(points.join(init.select("doc_id", F.col("cluster").cast("int").alias("cluster")), "doc_id"), k, kind).centers
     if init == "separated":
-        return farthest_first(points, k, kind)
+        return farthest_documents(points, k, kind)[1]
     if init == "random":
         return update(random_labels(points, k, seed), k, kind).centers
     if init == "perturbed":

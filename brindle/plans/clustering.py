@@ -21,6 +21,37 @@ DOT = "list_sum([p.vec[i] * c.center[i] for i in range(1, 65)])"
 SQ = "list_sum([(p.vec[i] - c.center[i]) * (p.vec[i] - c.center[i]) for i in range(1, 65)])"
 
 
+def run_sql(kind, k, seeds=False):
+    """SQL for a whole run to its stop rule: seeds one after another, then rounds over one row of centers; with ``seeds`` the seeds alone."""
+    logs = "[CASE WHEN x > 0 THEN x * log2(x) ELSE 0 END for x in {}]"
+    vec, weight, own, gain, center, part, scale = {
+        "spherical": ("[x / sqrt(list_dot_product(vec, vec)) for x in vec]", "1::DOUBLE", "0::DOUBLE", "list_dot_product(p.vec, c)", "[x / sqrt(list_dot_product(s, s)) for x in s]", "sqrt(list_dot_product(s, s))", "obj"),
+        "euclidean": ("vec", "1::DOUBLE", "list_dot_product(vec, vec)", "2 * list_dot_product(p.vec, c) - list_dot_product(c, c) - p.own", "[x / weight for x in s]", "list_dot_product(s, s) / weight - own", "least"),
+        "kl": ("[abs(x) / list_sum([abs(y) for y in vec]) for x in vec]", "list_sum([abs(y) for y in vec])", f"list_sum({logs.format('vec')})", "list_dot_product(p.vec, [log2((x + 1e-9::DOUBLE / 64) / (1 + 1e-9::DOUBLE)) for x in c]) - p.own", "[x / weight for x in s]", f"weight * list_sum({logs.format('center')}) - own", "obj"),
+    }[kind]
+    base = f"""WITH RECURSIVE {DESCRIPTORS}, raw AS (SELECT kp_id AS doc_id, {vec} AS vec, {weight} AS w FROM descriptors),
+ points AS MATERIALIZED (SELECT doc_id, vec, w, {own} AS own FROM raw),
+ total AS (SELECT list(s ORDER BY i) AS s, max(weight) AS weight, 0::DOUBLE AS own FROM (SELECT i, sum(w * vec[i]) AS s, sum(w) AS weight FROM points, unnest(range(1, 65)) AS r(i) GROUP BY i)),
+ seeds AS (SELECT 0 AS n, []::BIGINT[] AS ids, [{center}] AS against FROM total
+   UNION ALL
+   SELECT n + 1, list_append(ids, doc_id), CASE WHEN n = 0 THEN [vec] ELSE list_append(against, vec) END FROM (SELECT q.*, p.doc_id, p.vec, list_sum([{gain} for c in q.against]) AS g FROM seeds q, points p WHERE q.n < {k} AND NOT list_contains(q.ids, p.doc_id))
+   QUALIFY row_number() OVER (ORDER BY round(g, 9), doc_id) = 1)"""
+    if seeds:
+        return f"{base} SELECT unnest(range(0, {k}))::INT AS place, unnest(ids) AS doc_id FROM seeds WHERE n = {k}"
+    return f"""{base},
+ run AS (SELECT 0 AS it, against AS centers, NULL::DOUBLE AS obj, NULL::DOUBLE AS head, false AS done FROM seeds WHERE n = {k}
+   UNION ALL
+   SELECT it + 1, centers, obj, coalesce(head, obj), coalesce(obj - before <= 1e-3::DOUBLE * abs({'coalesce(head, obj)' if kind == 'euclidean' else 'obj'}), false)
+   FROM (SELECT it, before, head, list(center ORDER BY place) AS centers, sum({part}) AS obj
+     FROM (SELECT *, {center} AS center
+       FROM (SELECT it, before, head, place, list(v ORDER BY i) AS s, max(weight) AS weight, max(own) AS own
+         FROM (SELECT it, obj AS before, head, place, i, sum(w * vec[i]) AS v, sum(w) AS weight, sum(w * own) AS own
+           FROM (SELECT r.it, r.obj, r.head, p.vec, p.w, p.own, list_transform(r.centers, lambda c: {gain}) AS g, list_position(g, list_max(g)) AS place FROM run r, points p WHERE NOT r.done), unnest(range(1, 65)) AS d(i)
+           GROUP BY ALL) GROUP BY it, before, head, place)) GROUP BY it, before, head)),
+ last AS (SELECT arg_max(centers, it) AS centers FROM run)
+ SELECT doc_id, (list_position(g, list_max(g)) - 1)::INT AS cluster FROM (SELECT p.doc_id, list_transform(l.centers, lambda c: {gain}) AS g FROM last l, points p)"""
+
+
 def points(spark, sf_dir):
     """Descriptors with a fixed clustering; the vectors are of unit length."""
     return descriptors(spark, sf_dir).select(F.col("kp_id").alias("doc_id"), "vec", (F.col("kp_id") % K).cast("int").alias("cluster"))
@@ -85,18 +116,73 @@ def c10_euclidean(spark, sf_dir):
     return table.withColumn("gain", F.round("gain", 5) + 0.0)
 
 
+@query(
+    "c10_kl_moves",
+    f"""WITH {DESCRIPTORS}, p AS (SELECT kp_id AS doc_id, kp_id % {K} AS cluster, [abs(x) for x in vec] AS a FROM descriptors),
+     s AS (SELECT cluster AS c, list(x ORDER BY i) AS s FROM (SELECT cluster, i, sum(a[i]) AS x FROM p, unnest(range(1, 65)) AS r(i) GROUP BY ALL) GROUP BY cluster),
+     q AS (SELECT c, s, list_sum(s) AS w, list_sum([x * log2(x / list_sum(s)) for x in s]) AS q FROM s),
+     t AS (SELECT doc_id, cluster, c, q, list_transform(range(1, 65), lambda i: s[i] + a[i]) AS more, list_transform(range(1, 65), lambda i: greatest(s[i] - a[i], 0)) AS less FROM p, q),
+     g AS (SELECT doc_id, cluster, c, list_sum([CASE WHEN x > 0 THEN x * log2(x / list_sum(more)) ELSE 0 END for x in more]) - q AS enter, list_sum([CASE WHEN x > 0 THEN x * log2(x / list_sum(less)) ELSE 0 END for x in less]) - q AS leave FROM t)
+    SELECT a.doc_id, a.cluster::INT AS cluster, a.c::INT AS target, round(o.leave + a.enter, 5) + 0.0 AS gain FROM g a JOIN g o ON o.doc_id = a.doc_id AND o.c = a.cluster WHERE a.c <> a.cluster""",
+)
+def c10_kl(spark, sf_dir):
+    p = points(spark, sf_dir)
+    table = clustering.move_table(p, clustering.update(p, K, "kl"), clustering._counts(p, K))
+    return table.withColumn("gain", F.round("gain", 5) + 0.0)
+
+
+@query("c10_diametric_moves")
+def c10_diametric(spark, sf_dir):
+    """Every move's gain by power iterations; tested against eigenvalues."""
+    p = points(spark, sf_dir)
+    table = clustering.move_table(p, clustering.update(p, K, "diametric"), clustering._counts(p, K))
+    return table.withColumn("gain", F.round("gain", 3) + 0.0)
+
+
 @query("t8_worst_vector", f"WITH {UNIT} SELECT doc_id FROM points p JOIN centers c ON c.c = p.cluster ORDER BY round({DOT}, 9), doc_id LIMIT 1")
 def t8(spark, sf_dir):
     p = points(spark, sf_dir)
     return spark.createDataFrame([(clustering.worst(p, clustering.update(p, K, "spherical")),)], "doc_id long")
 
 
-@query("c12_first_seed", f"WITH {UNIT_BASE}, s AS (SELECT i, sum(vec[i]) AS s FROM points, unnest(range(1, 65)) AS r(i) GROUP BY i), c AS (SELECT list(s / (SELECT sqrt(sum(s * s)) FROM s) ORDER BY i) AS center FROM s) SELECT round(min({DOT}), 6) AS similarity FROM points p, c")
-def c12(spark, sf_dir):
+def _seeds(kind):
+    def seeds(spark, sf_dir):
+        ids, _ = clustering.farthest_documents(points(spark, sf_dir), K, kind)
+        return spark.createDataFrame(list(enumerate(ids)), "place int, doc_id long")
+
+    return seeds
+
+
+for kind in ("spherical", "euclidean", "kl"):
+    query(f"c12_{kind}_seeds", run_sql(kind, K, seeds=True))(_seeds(kind))
+
+
+def _centers(spark, found):
+    return spark.createDataFrame([(c, i, round(float(x), 6) + 0.0) for c, row in enumerate(found) for i, x in enumerate(row)], "cluster int, i int, x double")
+
+
+CENTERS = "SELECT cluster::INT AS cluster, (i - 1)::INT AS i, round(s / norm, 6) + 0.0 AS x FROM sums JOIN norms USING (cluster)"
+
+
+@query("c12_seeding_file", f"WITH {UNIT} {CENTERS}")
+def c12_file(spark, sf_dir):
+    """Centers of given clusters."""
     p = points(spark, sf_dir)
-    mean = clustering.update(p.withColumn("cluster", F.lit(0)), 1, "spherical").centers[0]
-    seed = clustering.farthest_first(p, 1, "spherical")[0]
-    return spark.createDataFrame([(round(float(mean @ seed), 6),)], "similarity double")
+    return _centers(spark, clustering.start(p.drop("cluster"), K, "spherical", p.select("doc_id", "cluster")))
+
+
+RANDOM = UNIT.replace(f"kp_id % {K} AS cluster", f"({clustering.RANDOM_LABELS.format('kp_id', 7)}) % {K} AS cluster")
+
+
+@query("c12_random_labels", f"WITH {RANDOM} {CENTERS}")
+def c12_random(spark, sf_dir):
+    return _centers(spark, clustering.start(points(spark, sf_dir).drop("cluster"), K, "spherical", "random", seed=7))
+
+
+@query("c12_perturbed_centers")
+def c12_perturbed(spark, sf_dir):
+    """The mean with noise: tested for its distance from the mean, as SQL doesn't have the noise."""
+    return _centers(spark, clustering.start(points(spark, sf_dir).drop("cluster"), K, "spherical", "perturbed", seed=7))
 
 
 @query("c13_word_clusters", f"WITH {INDEX}, a AS (SELECT doc_id, doc_id % 4 AS cluster FROM documents), z AS (SELECT cluster, count(*) AS size FROM a GROUP BY cluster), s AS (SELECT cluster, word, sum(tf) / max(size) AS m FROM weights JOIN a ON a.doc_id = fid JOIN z USING (cluster) GROUP BY cluster, word) SELECT word, cluster FROM s QUALIFY row_number() OVER (PARTITION BY word ORDER BY round(m, 9) DESC, cluster) = 1")
@@ -107,10 +193,18 @@ def c13(spark, sf_dir):
     return clustering.word_clusters(cells, assigned)
 
 
-@query("x17_dominant_direction")
+@query(
+    "x17_dominant_direction",
+    f"""WITH RECURSIVE {UNIT_BASE}, cells AS (SELECT doc_id, i, vec[i] AS x FROM points, unnest(range(1, 65)) AS r(i)),
+     gram AS (SELECT list(r ORDER BY i) AS g FROM (SELECT i, list(s ORDER BY j) AS r FROM (SELECT a.i, b.i AS j, sum(a.x * b.x) AS s FROM cells a JOIN cells b USING (doc_id) GROUP BY ALL) GROUP BY i)),
+     step AS (SELECT 0 AS n, [1 / 8::DOUBLE for x in range(64)] AS v UNION ALL SELECT n + 1, [x / sqrt(list_dot_product(w, w)) for x in w] FROM (SELECT n, [list_dot_product(r, v) for r in g] AS w FROM step, gram WHERE n < 400))
+    SELECT unnest(range(64))::INT AS pos, unnest([round(x, 6) + 0.0 for x in v]) AS x FROM step WHERE n = 400""",
+)
 def x17(spark, sf_dir):
+    """400 steps of the power iteration, without its stop rule."""
     state = clustering.update(points(spark, sf_dir).withColumn("cluster", F.lit(0)), 1, "diametric")
-    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(state.centers[0])], "pos int, x double")
+    found, _ = clustering.power_iteration(state.sums[0], epsilon=-1.0, most=400)
+    return spark.createDataFrame([(i, round(float(x), 6) + 0.0) for i, x in enumerate(found)], "pos int, x double")
 
 
 def settled(spark, sf_dir, k, kind, most=1000):
@@ -129,9 +223,9 @@ def _run(kind):
     return run
 
 
-query("c4_spherical_kmeans")(_run("spherical"))
-query("c5_euclidean_kmeans")(_run("euclidean"))
-query("c6_kl_kmeans")(_run("kl"))
+query("c4_spherical_kmeans", run_sql("spherical", K))(_run("spherical"))
+query("c5_euclidean_kmeans", run_sql("euclidean", K))(_run("euclidean"))
+query("c6_kl_kmeans", run_sql("kl", K))(_run("kl"))
 
 
 @query("c8_diametric_kmeans")

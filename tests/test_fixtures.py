@@ -262,3 +262,15 @@ def test_large_query_sets_are_joined_in_parts(spark):
     assert {(r.qfid, r.fid): r.sim for r in few.collect()} == pytest.approx({(r.qfid, r.fid): r.sim for r in many.collect()}, abs=2e-6)
     votes = [sorted(map(tuple, bow.votes(counts.where("fid < 9"), counts, **o).collect())) for o in ({}, {"rows": 3, "part": 4})]
     assert votes[0] == votes[1] and len(votes[0]) == 9 * 40
+
+
+def test_perturbed_centers_lie_about_the_mean(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(1, 0.2, (60, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc_id long, vec array<double>")
+    found = clustering.start(df, 5, "spherical", "perturbed", seed=3)
+    mean = (x / np.linalg.norm(x, axis=1, keepdims=True)).mean(axis=0)
+    mean /= np.linalg.norm(mean)
+    assert found.shape == (5, 8) and len(np.unique(found.round(6), axis=0)) == 5
+    assert (found @ mean > 0.9).all() and np.allclose(np.linalg.norm(found, axis=1), 1)
+    assert np.allclose(found, clustering.start(df, 5, "spherical", "perturbed", seed=3))
