@@ -2,8 +2,8 @@
 
 ``MergeCodec`` merges adjacent symbols of a text in the order of an agenda: a heap of neighbouring pairs
 by score (best first; of equal scores the leftmost), over a linked list of symbols. A merge puts the two
-new neighbour pairs on the agenda; entries whose symbols have changed meanwhile are stale and skipped.
-What is left over maps to ids, unknown symbols to their UTF-8 bytes.
+new neighbour pairs on the agenda; entries whose symbols have changed meanwhile are stale and skipped. For up to ``SHORT`` characters the
+agenda is a plain list of the pairs' ranks, searched for its least. What is left over maps to ids, unknown symbols to their UTF-8 bytes.
 
 A text falls into segments that no merge can cross: where no piece holds the word mark after another
 character, every run of word marks starts a segment; a character that no longer piece contains is a
@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from brindle.llm.common import slices, with_fields
 
 MARK = "▁"
-LONG = 64
+SHORT, LONG = 24, 64
 
 
 class MergeCodec:
@@ -97,6 +97,23 @@ class MergeCodec:
 
     def agenda(self, text: str) -> tuple[int, ...]:
         """Ids of a normalised text by score-ordered merges of adjacent symbols."""
+        return self.ids_of(self.merged_short(text) if len(text) <= SHORT else self.merged(text))
+
+    def merged_short(self, text: str) -> list[str]:
+        find, none = self.rank.get, 1 << 30
+        symbols = list(text)
+        ranks = [find(a + b, none) for a, b in zip(text, text[1:], strict=False)]
+        while ranks and (best := min(ranks)) < none:
+            i = ranks.index(best)
+            both = symbols[i] = symbols[i] + symbols.pop(i + 1)
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = find(both + symbols[i + 1], none)
+            if i:
+                ranks[i - 1] = find(symbols[i - 1] + both, none)
+        return symbols
+
+    def merged(self, text: str) -> list[str]:
         find, n = self.rank.get, len(text)
         shift = n.bit_length()
         place = (1 << shift) - 1
@@ -129,15 +146,18 @@ class MergeCodec:
                 pair[h] = r = find(symbols[h] + both, -1)
                 if r >= 0:
                     push(heap, r << shift | h)
+        return [s for s in symbols if s is not None]
+
+    def ids_of(self, symbols: list[str]) -> tuple[int, ...]:
         out: list[int] = []
+        find = self.ids.get
         for s in symbols:
-            if s is not None:
-                if (i := self.ids.get(s)) is not None:
-                    out.append(i)
-                elif self.bytes:
-                    out += [self.bytes[b] for b in s.encode()]
-                elif not out or out[-1] != self.unknown:
-                    out.append(self.unknown)
+            if (i := find(s)) is not None:
+                out.append(i)
+            elif self.bytes:
+                out += [self.bytes[b] for b in s.encode()]
+            elif not out or out[-1] != self.unknown:
+                out.append(self.unknown)
         return tuple(out)
 
     def _library_ids(self, texts: list[str]) -> list[list[int]]:

@@ -66,3 +66,9 @@ def test_a_difference_from_the_library_shows(monkeypatch):
     monkeypatch.setattr(codec, "agenda", lambda s: (7,) if "wrong" in s else true(s))
     texts = ["all right", "wrong and wrong", "not wrongly"]
     assert codec.encode(texts) == (codec.library.encode(texts), [0, 2, 1])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.sampled_from("aetnior▁s ëß日"), min_size=1, max_size=pieces.SHORT))
+def test_both_agendas_agree(codec, text):
+    assert codec.merged_short(text) == codec.merged(text)
