@@ -20,6 +20,7 @@ about 100 bytes a character while it is encoded.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import re
 from itertools import chain
@@ -39,7 +40,7 @@ SHORT, LONG = 24, 64
 class MergeCodec:
     """Agenda encoder for one vocabulary; ``remember`` bounds the table of known segments."""
 
-    def __init__(self, model_path: str, remember: int = 400_000, check: bool = True):
+    def __init__(self, model_path: str, remember: int = 800_000, check: bool = True):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
 
@@ -66,8 +67,8 @@ class MergeCodec:
         self.remember, self.check = remember, check
         self.repaired: set[str] = set()
         # Two generations: a segment found in the older one moves to the newer, so frequent ones are kept.
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
         if self.alone:
             self.lead = self._library_ids([self.alone])[0]
 
@@ -95,7 +96,7 @@ class MergeCodec:
         at = [0, *(i for i in range(1, len(segment)) if segment[i - 1 : i + 1] not in self.inside), len(segment)]
         return [segment[a:b] for a, b in zip(at, at[1:], strict=False)]
 
-    def agenda(self, text: str) -> tuple[int, ...]:
+    def agenda(self, text: str) -> list[int]:
         """Ids of a normalised text by score-ordered merges of adjacent symbols."""
         return self.ids_of(self.merged_short(text) if len(text) <= SHORT else self.merged(text))
 
@@ -148,55 +149,66 @@ class MergeCodec:
                     push(heap, r << shift | h)
         return [s for s in symbols if s is not None]
 
-    def ids_of(self, symbols: list[str]) -> tuple[int, ...]:
-        out: list[int] = []
-        find = self.ids.get
+    def ids_of(self, symbols: list[str]) -> list[int]:
+        out = list(map(self.ids.get, symbols))
+        if None not in out:
+            return out
+        out = []
         for s in symbols:
-            if (i := find(s)) is not None:
+            if (i := self.ids.get(s)) is not None:
                 out.append(i)
             elif self.bytes:
                 out += [self.bytes[b] for b in s.encode()]
             elif not out or out[-1] != self.unknown:
                 out.append(self.unknown)
-        return tuple(out)
+        return out
 
     def _library_ids(self, texts: list[str]) -> list[list[int]]:
         return self.library.encode(texts, num_threads=1)
 
-    def learn(self, segments: set[str]) -> dict[str, tuple[int, ...]]:
+    def learn(self, segments: set[str]) -> dict[str, list[int]]:
         """The agenda's ids of new segments, compared with the library's."""
-        new = sorted(segments)
-        got = [self.agenda(s) for s in new]
+        found = {s: self.agenda(s) for s in segments}
         if self.check and self.plain and self.prefix:
-            marked = [i for i, s in enumerate(new) if s[0] == MARK]
-            bare = [i for i, s in enumerate(new) if s[0] != MARK] if self.alone else []
-            said = self._library_ids([new[i][1:] for i in marked] + [self.alone + new[i] for i in bare])
-            for i, ids in zip(marked + bare, said, strict=True):
-                want = tuple(ids if new[i][0] == MARK else ids[len(self.lead) :])
-                if new[i] == MARK:
-                    continue  # an empty text has no ids in the library
-                if want != got[i]:
-                    got[i] = want
-                    self.repaired.add(new[i])
-        return dict(zip(new, got, strict=True))
+            marked = [s for s in segments if s[0] == MARK and s != MARK]  # an empty text has no ids in the library
+            bare = [s for s in segments if s[0] != MARK] if self.alone else []
+            said = self._library_ids([s[1:] for s in marked] + [self.alone + s for s in bare])
+            said[len(marked) :] = [ids[len(self.lead) :] for ids in said[len(marked) :]]
+            if said != list(map(found.__getitem__, marked + bare)):
+                for s, ids in zip(marked + bare, said, strict=True):
+                    if found[s] != ids:
+                        found[s] = ids
+                        self.repaired.add(s)
+        return found
 
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[int]]:
         """Ids of each text, as the library's ``encode`` gives them, and the number of its segments whose ids had to be the library's."""
+        on = gc.isenabled()
+        gc.disable()  # the table's lists are in no cycles; walking them takes longer than the rest
+        try:
+            return self._encode(texts)
+        finally:
+            if on:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> tuple[list[list[int]], list[int]]:
         parts = [self.segments(self.normalise(t)) for t in texts]
         if len(self.known) > self.remember // 2:
             self.known, self.older = {}, self.known
-        need = set(chain.from_iterable(parts)).difference(self.known)
-        again = need.intersection(self.older)
-        self.known.update((s, self.older[s]) for s in again)
-        long: dict[str, tuple[int, ...]] = {}
-        if need := need.difference(again):
-            for s, ids in self.learn(need).items():
-                (self.known if len(s) <= LONG else long)[s] = ids
-        self.known.update(long)
-        ids = [list(chain.from_iterable(map(self.known.__getitem__, p))) for p in parts]
-        for s in long:
-            del self.known[s]
-        return ids, [sum(s in self.repaired for s in p) for p in parts] if self.repaired else [0] * len(parts)
+        found = [list(map(self.known.get, p)) for p in parts]
+        lacking = [None in f for f in found]
+        need = {s for p, f, lacks in zip(parts, found, lacking, strict=True) if lacks for s, ids in zip(p, f, strict=True) if ids is None}
+        if need:
+            again = need.intersection(self.older)
+            self.known.update((s, self.older[s]) for s in again)
+            need -= again
+            self.known.update(self.learn(need))
+            found = [list(map(self.known.__getitem__, p)) if lacks else f for p, f, lacks in zip(parts, found, lacking, strict=True)]
+            for s in need:
+                if len(s) > LONG:
+                    del self.known[s]
+        repaired = [sum(s in self.repaired for s in p) for p in parts] if self.repaired else [0] * len(parts)
+        return [list(chain.from_iterable(f)) for f in found], repaired
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.library.decode(ids, num_threads=1) if ids else []

@@ -63,7 +63,7 @@ def test_long_segments_are_not_remembered():
 def test_a_difference_from_the_library_shows(monkeypatch):
     codec = pieces.MergeCodec(MODEL)
     true = codec.agenda
-    monkeypatch.setattr(codec, "agenda", lambda s: (7,) if "wrong" in s else true(s))
+    monkeypatch.setattr(codec, "agenda", lambda s: [7] if "wrong" in s else true(s))
     texts = ["all right", "wrong and wrong", "not wrongly"]
     assert codec.encode(texts) == (codec.library.encode(texts), [0, 2, 1])
 
