@@ -31,10 +31,24 @@ def nearest(spark, sf_dir):
     return knn.nearest(d.where("kp_id % 100 = 0"), d, K).select("q_kp", "kp_id", "fid", "dist", F.col("rank").cast("long").alias("rank"))
 
 
+LSH = {"width": 0.25, "tables": 20, "hashes": 2}
+
+
 @query("j4_lsh_neighbours")
 def lsh(spark, sf_dir):
     d = descriptors(spark, sf_dir)
-    return knn.nearest_lsh(d.where("kp_id % 100 = 0"), d, K, width=2.0)
+    return knn.nearest_lsh(d.where("kp_id % 100 = 0"), d, K, **LSH)
+
+
+@query("j4_lsh_recall_and_share")
+def lsh_recall(spark, sf_dir):
+    """What the buckets are worth: the share of the true neighbours found, and the share of all descriptors looked at for it."""
+    d = descriptors(spark, sf_dir)
+    q = d.where("kp_id % 100 = 0")
+    pairs = cut(knn.lsh_pairs(q, d, **LSH).select("q_kp", "kp_id"))
+    true = cut(knn.nearest(q, d, K).select("q_kp", "kp_id"))
+    hits = pairs.join(true, ["q_kp", "kp_id"]).count()
+    return spark.createDataFrame([(hits / max(1, true.count()), pairs.count() / max(1, q.count() * d.count()))], "recall double, share double")
 
 
 @query("p5_distance_limit", f"WITH {KNN} SELECT q_kp, kp_id, dist FROM knn WHERE dist <= 1.3")
@@ -57,7 +71,7 @@ def a6(spark, sf_dir):
 def a17(spark, sf_dir):
     d = descriptors(spark, sf_dir)
     n = d.count()
-    shares = knn.probed_share(knn.nearest(d.where("kp_id % 100 = 0"), d, n, 1.4), n)
+    shares = knn.probed_share(knn.seen_within(d.where("kp_id % 100 = 0"), d, 1.4), n)
     return shares.select(F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation"))
 
 

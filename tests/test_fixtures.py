@@ -117,7 +117,7 @@ def test_neighbours_against_brute_force(spark):
     for q in (0, 30, 60):
         want = np.lexsort((np.arange(90), np.round(np.sqrt(((x - x[q]) ** 2).sum(1)), 6)))[:7]
         assert [got[q, k + 1] for k in range(7)] == want.tolist()
-    found = {(r.q_kp, r.kp_id) for r in knn.nearest_lsh(df.where("kp_id % 30 = 0"), df, 7, width=4.0, tables=10).collect()}
+    found = {(r.q_kp, r.kp_id) for r in knn.nearest_lsh(df.where("kp_id % 30 = 0"), df, 7, width=4.0, tables=10, hashes=1).collect()}
     exact = {(q, k) for (q, _), k in got.items()}
     assert len(found & exact) >= 0.9 * len(exact)
     votes = {r.fid: r.n for r in knn.image_votes(knn.nearest(df.where("kp_id = 0"), df, 90).withColumn("qid", F.lit(0)), once=True).collect()}
@@ -274,3 +274,18 @@ def test_perturbed_centers_lie_about_the_mean(spark):
     assert found.shape == (5, 8) and len(np.unique(found.round(6), axis=0)) == 5
     assert (found @ mean > 0.9).all() and np.allclose(np.linalg.norm(found, axis=1), 1)
     assert np.allclose(found, clustering.start(df, 5, "spherical", "perturbed", seed=3))
+
+
+def test_lsh_filters_where_vectors_cluster(spark):
+    rng = np.random.default_rng(9)
+    centers = rng.normal(size=(40, 24))
+    x = np.repeat(centers, 25, axis=0) + rng.normal(0, 0.08, (1000, 24))
+    df = spark.createDataFrame([(i, i // 10, v.tolist()) for i, v in enumerate(x)], "kp_id long, fid long, vec array<double>")
+    q, options = df.where("kp_id % 20 = 0"), {"width": 1.0, "tables": 20, "hashes": 6}
+    pairs = knn.lsh_pairs(q, df, **options).select("q_kp", "kp_id").collect()
+    assert len(pairs) == len(set(pairs)) < 0.2 * 50 * 1000
+    true = {(r.q_kp, r.kp_id) for r in knn.nearest(q, df, 20).collect()}
+    found = {(r.q_kp, r.kp_id) for r in knn.nearest_lsh(q, df, 20, **options).collect()}
+    assert len(true & found) >= 0.9 * len(true)
+    seen = {r.q_kp: r.n for r in knn.seen_within(q, df, 1.0, block=64).collect()}
+    assert seen == {i: int((np.round(np.sqrt(((x - x[i]) ** 2).sum(1)), 6) <= 1.0).sum()) for i in range(0, 1000, 20)}
