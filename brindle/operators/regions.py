@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PI = 3.14159265
@@ -50,43 +50,43 @@ def region_pairs(queries: DataFrame, keypoints: DataFrame) -> DataFrame:
     return p.join(q, "word").withColumn("i", F.row_number().over(order) - 1).select(*GROUP, "i", "p", "q")
 
 
-def orientation_shift(pairs: DataFrame) -> DataFrame:
-    """Adds n and dori, the mean change of orientation weighted by mean scale; null where all scales are 0."""
-    whole = Window.partitionBy(*GROUP)
-    scale = (F.col("p.scl") + F.col("q.scl")) / 2
-    change = scale * (F.col("q.ori") - F.col("p.ori"))
-    return pairs.withColumn("n", F.count("*").over(whole)).withColumn("dori", F.round(F.try_divide(F.sum(change).over(whole), F.sum(scale).over(whole)), 9))
-
-
-def _descents(shifted: DataFrame, axis: str, mode: str) -> DataFrame:
-    """(group, m): minus the number of descents of labels along one axis of the matched side."""
-    cos, sin, x, y = F.cos("dori"), F.sin("dori"), F.col("p.x"), F.col("p.y")
-    turned = F.round(x * cos - y * sin if axis == "x" else x * sin + y * cos, 6)
-    group = Window.partitionBy(*GROUP)
-    ranked = shifted.select(
-        *GROUP, "i",
-        (F.row_number().over(group.orderBy(turned, "i")) - 1).alias("rp"),
-        (F.row_number().over(group.orderBy(F.col("q")[axis], "i")) - 1).alias("t"),
-    )
+def _descents(labels: Column) -> Column:
+    """Minus the number of entries of an array that are smaller than the one before."""
+    n = F.size(labels)
+    down = F.zip_with(F.slice(labels, 2, n), F.slice(labels, 1, n - 1), lambda now, before: (now < before).cast("int"))
+    return -F.aggregate(down, F.lit(0), lambda total, x: total + F.coalesce(x, F.lit(0)))
+
+
+def _order(turned: Column, place: str, mode: str) -> Column:
+    """The labels of a region pair's matches along one axis of the matched side; ``turned`` has (v, i) and ``place`` of each match.
+
+    As written, the match at position i has for its label the number of the match whose turned coordinate ranks i; intended is its own rank.
+    """
+    ranked = F.array_sort(turned)
     if mode == "intended":
-        labels = ranked.select(*GROUP, "t", F.col("rp").alias("label"))
-    else:
-        labels = ranked.select(*GROUP, "t", F.col("i").alias("at")).join(ranked.select(*GROUP, F.col("rp").alias("at"), F.col("i").alias("label")), [*GROUP, "at"])
-    steps = labels.withColumn("down", (F.col("label") < F.lag("label").over(group.orderBy("t"))).cast("int"))
-    return steps.groupBy(*GROUP).agg((-F.coalesce(F.sum("down"), F.lit(0))).alias("m"))
+        own = F.array_sort(F.transform(ranked, lambda m, k: F.struct(m[place], m["i"], k.alias("label"))))
+        return F.transform(own, lambda m: m["label"])
+    along = F.array_sort(F.transform(turned, lambda m: F.struct(m[place], m["i"])))
+    return F.transform(along, lambda m: F.get(ranked, m["i"])["i"])
 
 
 def consistency(pairs: DataFrame, limit: int = 2, lam: float = 2.0, piu: float = 1.0, mode: str = "as_written") -> DataFrame:
-    """(group, n, dori, mg, md, mall, tfidf) of region pairs with at least ``limit`` matched pairs."""
-    shifted = orientation_shift(pairs).where(F.col("n") >= limit)
-    spread = (F.col("q.ori") - F.col("p.ori")) / (4 * PI) - F.col("dori") / (4 * PI)
-    base = shifted.groupBy(*GROUP).agg(
-        F.first("n").alias("n"), F.first("dori").alias("dori"),
-        F.when(F.first("n") <= 1, 0.0).otherwise(-F.sqrt(F.sum(spread * spread) / F.first("n"))).alias("md"),
-        F.sum(F.col("p.tfidf") * F.col("q.tfidf")).alias("tfidf"),
-    )
-    across = _descents(shifted, "x", mode).withColumnRenamed("m", "mx").join(_descents(shifted, "y", mode).withColumnRenamed("m", "my"), GROUP)
-    both = base.join(across, GROUP).withColumn("mg", F.least("mx", "my")).drop("mx", "my")
+    """(group, n, dori, mg, md, mall, tfidf) of region pairs with at least ``limit`` matched pairs.
+
+    dori is the mean change of orientation weighted by mean scale; null where all scales are 0. Region pairs of fewer matches are dropped before their matches are
+    gathered; the matches of one region pair, the product of two regions' keypoints of equal words at most, are ordered as arrays of a row.
+    """
+    scale, change = (F.col("p.scl") + F.col("q.scl")) / 2, F.col("q.ori") - F.col("p.ori")
+    enough = pairs.groupBy(*GROUP).agg(
+        F.count("*").alias("n"), F.round(F.try_divide(F.sum(scale * change), F.sum(scale)), 9).alias("dori"), F.sum(F.col("p.tfidf") * F.col("q.tfidf")).alias("tfidf"),
+        F.collect_list(F.struct("i", F.col("p.x").alias("px"), F.col("p.y").alias("py"), F.col("q.x").alias("qx"), F.col("q.y").alias("qy"), change.alias("turn"))).alias("m"),
+    ).where(F.col("n") >= limit)
+    cos, sin, dori = F.cos("dori"), F.sin("dori"), F.col("dori")
+    match = lambda value: F.transform("m", lambda m: F.struct(F.round(value(m["px"], m["py"]), 6).alias("v"), m["i"].alias("i"), m["qx"].alias("qx"), m["qy"].alias("qy")))
+    across = _descents(_order(match(lambda x, y: x * cos - y * sin), "qx", mode))
+    down = _descents(_order(match(lambda x, y: x * sin + y * cos), "qy", mode))
+    squares = F.aggregate("m", F.lit(0.0), lambda total, m: total + (m["turn"] / (4 * PI) - dori / (4 * PI)) * (m["turn"] / (4 * PI) - dori / (4 * PI)))
+    both = enough.select(*GROUP, "n", "dori", F.when(F.col("n") <= 1, 0.0).otherwise(-F.sqrt(squares / F.col("n"))).alias("md"), "tfidf", F.least(across, down).alias("mg"))
     return both.withColumn("mall", F.greatest(F.lit(0.0), F.col("n") + F.lit(lam) * F.col("mg") + F.lit(piu) * F.col("n") * F.col("md")))
 
 
