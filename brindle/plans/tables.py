@@ -11,8 +11,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(fid, word): a row for each lower-case latin word of each document."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    """(fid, word): a row for each lower-case latin word of each document.
+
+    The texts are shuffled by document, which is less than their words would be; counts by (fid, word) then stay where they are.
+    """
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
     return docs.select(F.col("doc_id").alias("fid"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1)).alias("word"))
 
 
