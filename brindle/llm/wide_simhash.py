@@ -10,9 +10,11 @@ Two sets of similarity 0.8 draw the same shingle with a chance of 0.8 and share
 less than 1 in 10^9. Their distance is 237 of 1536 bits with a deviation of 40 (simulated), so ``FAR`` is five deviations off. A
 pair missed is still found if a path of others joins the two.
 
-Blocks join their texts to the least of the bucket; the components of these links hold every pair worth a look. In each component pairs
-are compared unless a path joins them already. A component of many or long texts is dealt into parts, every pair of parts a
-task's work of its own. Texts with equal sets are one entry.
+Blocks join their texts to the least of the bucket; the components of these links hold every pair worth a look. First every text is compared with the
+least of its buckets: what is alike forms classes, so a large group of near copies costs one comparison a copy and bucket. Then, in
+components of several classes, texts of different classes are compared unless a path joins them already. Stars and components of many or long texts
+are dealt into parts, each star's part and every pair of parts a task's work of its own; two parts of one class are no work. Texts with equal sets
+are one entry.
 
 Defined results: a text of fewer words than a shingle has one shingle, all its words; texts without words (null, empty,
 white space) are alike. Rows without an id take part; of a group without any id, one row stays. Of repeated rows one stays. An empty
@@ -114,52 +116,94 @@ def candidates(nodes: DataFrame) -> DataFrame:
     return found.where("node <> v").select(F.col("node").alias("u"), "v").distinct()
 
 
-def set_links(sets: list[tuple[int, int, np.ndarray, np.ndarray]], least: float, forest: Forest) -> None:
-    """Joins nodes (node, part, fp, hashes) whose sets are alike: those of one part, or those of two parts with each other."""
-    sets = sorted({s[0]: s for s in sets}.values(), key=lambda s: (len(s[3]), s[0]))
-    if len(sets) < 2:
+def set_links(members: list[tuple], least: float, forest: Forest) -> None:
+    """Joins nodes (node, part, class, fp, hashes) of different classes whose sets are alike: those of one part, or those of two parts with each other."""
+    members = sorted({m[0]: m for m in members}.values(), key=lambda m: (len(m[4]), m[0]))
+    if len(members) < 2:
         return
-    part, sizes = np.array([s[1] for s in sets]), np.array([len(s[3]) for s in sets])
-    fps, two = np.stack([s[2] for s in sets]), len(np.unique(part)) > 1
-    for i, (u, p, _, a) in enumerate(sets):
+    part, kind, sizes = (np.array(x) for x in ([m[1] for m in members], [m[2] for m in members], [len(m[4]) for m in members]))
+    fps, two = np.stack([m[3] for m in members]), len(np.unique(part)) > 1
+    for i, (u, p, c, _, a) in enumerate(members):
         end = int(np.searchsorted(sizes, len(a) / least + 1e-9, side="right"))
-        near = np.bitwise_count(fps[i + 1 : end] ^ fps[i]).sum(axis=1) <= FAR
+        near = (np.bitwise_count(fps[i + 1 : end] ^ fps[i]).sum(axis=1) <= FAR) & (kind[i + 1 : end] != c)
         if two:
             near &= part[i + 1 : end] != p
         for j in (np.flatnonzero(near) + i + 1).tolist():
-            v, b = sets[j][0], sets[j][3]
-            if forest.find(u) != forest.find(v) and alike(a, b, least):
+            v, b = members[j][0], members[j][4]
+            if forest.find(u) != forest.find(v) and forest.find(kind[j].item()) != forest.find(c) and alike(a, b, least):
                 forest.link(u, v)
+                forest.link(u, c)
+                forest.link(v, kind[j].item())
 
 
-def links(sets: DataFrame, least: float, part: int = 512, hashes: int = 1 << 20) -> DataFrame:
-    """(u, v): edges that connect the nodes (root, node, size, fp, hashes) of equal root whose sets are alike, directly or by a path.
+def _pairs(found: list[tuple[int, int]]):
+    pairs = np.array(found, "int64").reshape(-1, 2)
+    for i in range(0, len(pairs), 65_536):
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[i : i + 65_536, k])) for k in (0, 1)], names=["u", "v"])
 
-    ``sets`` is read several times.
+
+def _array(column, i: int) -> np.ndarray:
+    return column[i].values.to_numpy(zero_copy_only=False).view("uint64")
+
+
+def star_links(edges: DataFrame, sets: DataFrame, least: float, part: int = 256) -> DataFrame:
+    """The edges (u, v) whose sets (node, fp, hashes) are alike. A star's leaves are dealt into parts, its centre goes to each. Both are read several times."""
+    stars = edges.groupBy("v").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / F.lit(part)).cast("int"))
+    own = sets.select(F.col("node").alias("u"), "fp", "hashes")
+    leaves = spread_join(edges, stars, ["v"], "n", edges.count()).join(own, "u").select("v", F.pmod(F.xxhash64("u"), "parts").cast("int").alias("part"), F.lit(1).alias("leaf"), "u", "fp", "hashes")
+    centres = stars.join(own.withColumnRenamed("u", "v"), "v").select("v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("leaf"), F.col("v").alias("u"), "fp", "hashes")
+    ordered = centres.unionByName(leaves).repartition("v", "part").sortWithinPartitions("v", "part", "leaf")
+
+    def run(batches):
+        centre, fp, hashes = None, None, None
+        for batch in batches:
+            found = []
+            v, leaf, u = (batch.column(k).to_pylist() for k in (0, 2, 3))
+            for i in range(batch.num_rows):
+                if not leaf[i]:
+                    centre, fp, hashes = u[i], _array(batch.column(4), i).copy(), _array(batch.column(5), i).copy()
+                elif v[i] == centre and np.bitwise_count(_array(batch.column(4), i) ^ fp).sum() <= FAR and alike(_array(batch.column(5), i), hashes, least):
+                    found.append((u[i], centre))
+            yield from _pairs(found)
+
+    return ordered.mapInArrow(run, "u long, v long")
+
+
+def class_links(members: DataFrame, sets: DataFrame, least: float, part: int = 256, hashes: int = 1 << 20) -> DataFrame:
+    """(u, v): edges that connect members (root, node, class, size) of equal root and different classes whose sets (node, fp, hashes) are alike, directly or by a path.
+
+    Classes of over ``part`` members, or ``hashes`` hashes, have parts of their own; the others of a root share parts. ``members`` is read several times.
     """
-    n_parts = F.ceil(F.greatest(F.count("*") / F.lit(part), F.sum("size") / F.lit(hashes))).cast("int").alias("parts")
-    sizes = sets.groupBy("root").agg(n_parts, F.count("*").alias("n"))
-    dealt = (
-        spread_join(sets, sizes, ["root"], "n", sets.count())
-        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "own", "fp", "hashes")
-    )
+    n_parts = lambda n, size: F.ceil(F.greatest(n / F.lit(part), size / F.lit(hashes))).cast("int")
+    classes = members.groupBy("root", "class").agg(F.count("*").alias("n"), F.sum("size").alias("size")).withColumn("parts", n_parts(F.col("n"), F.col("size")))
+    large, small = F.col("parts") > 1, F.col("parts") <= 1
+    roots = classes.groupBy("root").agg(
+        F.sum("n").alias("n"),
+        F.sort_array(F.collect_list(F.when(large, F.struct("class", "parts")))).alias("large"),
+        F.coalesce(n_parts(F.sum(F.when(small, F.col("n"))), F.sum(F.when(small, F.col("size")))), F.lit(0)).alias("shared"),
+        F.count("*").alias("classes"),
+    ).where("classes > 1")
+    before = F.aggregate(F.filter("large", lambda c: c["class"] < F.col("class")), F.lit(0), lambda total, c: total + c["parts"])
+    mine = F.get(F.filter("large", lambda c: c["class"] == F.col("class")), F.lit(0))["parts"]
+    dealt = spread_join(members, roots, ["root"], "n", members.count()).withColumns({"mine": mine, "before": before, "all_large": F.aggregate("large", F.lit(0), lambda total, c: total + c["parts"])})
+    hashed = F.xxhash64("node")
+    dealt = dealt.withColumn("own", F.when(F.col("mine").isNotNull(), F.col("before") + F.pmod(hashed, "mine")).otherwise(F.col("all_large") + F.pmod(hashed, "shared")).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("all_large") + F.col("shared") - 1), lambda p: F.col("mine").isNull() | (p < F.col("before")) | (p >= F.col("before") + F.col("mine")))
+    dealt = dealt.select("root", "node", "class", "own", others.alias("others")).join(sets.select("node", "fp", "hashes"), "node").withColumn("other", F.explode("others"))
+    dealt = dealt.select("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "own", "class", "fp", "hashes")
     ordered = dealt.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi")
 
     def run(batches):
         forest, held, key = Forest(), [], None
         for batch in batches:
-            root, lo, hi, node, own = (batch.column(i).to_pylist() for i in range(5))
+            root, lo, hi, node, own, kind = (batch.column(i).to_pylist() for i in range(6))
             for i in range(batch.num_rows):
                 if (now := (root[i], lo[i], hi[i])) != key:
                     set_links(held, least, forest)
                     held, key = [], now
-                held.append((node[i], own[i], *(batch.column(k)[i].values.to_numpy(zero_copy_only=False).view("uint64") for k in (5, 6))))
+                held.append((node[i], own[i], kind[i], _array(batch.column(6), i), _array(batch.column(7), i)))
         set_links(held, least, forest)
-        pairs = np.array([(x, r) for x in list(forest.up) if (r := forest.find(x)) != x], "int64").reshape(-1, 2)
-        for i in range(0, len(pairs), 65_536):
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[i : i + 65_536, k])) for k in (0, 1)], names=["u", "v"])
+        yield from _pairs([(x, r) for x in list(forest.up) if (r := forest.find(x)) != x])
 
     return ordered.mapInArrow(run, "u long, v long")
 
@@ -169,18 +213,23 @@ def near_groups(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", l
     row = F.struct(F.col(id_col).isNull().alias("nameless"), F.col(id_col).alias("id"), "text_key")
     rows = sketches(df, text_col, id_col, width)
     nodes = cut(rows.groupBy("node").agg(F.min(row).alias("row"), F.first("size").alias("size"), F.first("fp").alias("fp")))
-    near = components(candidates(nodes))
-    wanted = near.join(nodes, "node").select("root", "node", "size", "fp", F.col("row.id").alias("id"), F.col("row.text_key").alias("text_key"))
-    texts = one_of_each(df.select(F.col(id_col).alias("own"), F.col(text_col).alias("__text")), wanted, "__text", "own", "inner").select("root", "node", "size", "fp", "__text")
+    edges = cut(candidates(nodes))
+    near = components(edges)
+    wanted = near.join(nodes, "node").select("node", "fp", F.col("row.id").alias("id"), F.col("row.text_key").alias("text_key"))
+    texts = one_of_each(df.select(F.col(id_col).alias("own"), F.col(text_col).alias("__text")), wanted, "__text", "own", "inner").select("node", "fp", "__text")
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "__text"):
                 sets = pa.array([shingles(t, width).view("int64") for t in part.column("__text").to_pylist()], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*part.columns[:4], sets], names=["root", "node", "size", "fp", "hashes"])
-
-    sets = cut(texts.mapInArrow(run, "root long, node long, size long, fp array<long>, hashes array<long>"))
-    found = components(links(sets, least))
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], sets], names=["node", "fp", "hashes"])
+
+    sets = cut(texts.mapInArrow(run, "node long, fp array<long>, hashes array<long>"))
+    alike_stars = cut(star_links(edges, sets, least))
+    classes = components(alike_stars)
+    members = near.join(classes.withColumnRenamed("root", "class"), "node", "left").join(nodes.select("node", "size"), "node")
+    members = cut(members.select("root", "node", F.coalesce("class", "node").alias("class"), "size"))
+    found = components(alike_stars.unionByName(class_links(members, sets, least)))
     return nodes.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "row")
 
 

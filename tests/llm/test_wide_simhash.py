@@ -72,22 +72,66 @@ def test_wide_fingerprint():
     assert min(far) > wide_simhash.FAR
 
 
-def test_parts_lose_no_link(spark):
-    rng = np.random.default_rng(4)
+def family(seed, n, changes):
+    rng = np.random.default_rng(seed)
     sets, base = {}, rng.integers(0, 1 << 62, 100)
-    for i in range(150):
+    for i in range(n):
         base = base if i % 10 else rng.integers(0, 1 << 62, 100)
         own = base.copy()
-        own[rng.integers(0, 100, 6)] = rng.integers(0, 1 << 62, 6)
+        own[rng.integers(0, 100, changes)] = rng.integers(0, 1 << 62, changes)
         sets[i] = np.unique(own)
-    rows = [(0, i, len(s), wide_simhash.wide_fingerprint(s.view("uint64")).view("int64").tolist(), s.tolist()) for i, s in sets.items()]
-    df = spark.createDataFrame(rows, "root long, node long, size long, fp array<long>, hashes array<long>")
     forest = wide_simhash.Forest()
     for i, a in sets.items():
         for j in range(i):
             if similarity(set(a.tolist()), set(sets[j].tolist())) >= 0.8:
                 forest.link(i, j)
+    return sets, [forest.find(i) for i in sets]
+
+
+def frame(spark, sets):
+    rows = [(i, wide_simhash.wide_fingerprint(s.view("uint64")).view("int64").tolist(), s.tolist()) for i, s in sets.items()]
+    return spark.createDataFrame(rows, "node long, fp array<long>, hashes array<long>")
+
+
+def joined(sets, *links):
     got = wide_simhash.Forest()
-    for r in wide_simhash.links(df, 0.8, part=20).collect():
-        got.link(r.u, r.v)
-    assert [got.find(i) for i in sets] == [forest.find(i) for i in sets] and len({got.find(i) for i in sets}) > 5
+    for found in links:
+        for r in found.collect():
+            got.link(r.u, r.v)
+    return [got.find(i) for i in sets]
+
+
+def test_parts_lose_no_link(spark):
+    """Classes of every size, dealt into parts of their own and shared ones, in one component."""
+    sets, want = family(4, 150, 6)
+    df = frame(spark, sets)
+    for classes in ({i: i for i in sets}, {i: want[i] if i < 70 else i for i in sets}, dict(enumerate(want))):
+        members = spark.createDataFrame([(0, i, c, len(sets[i])) for i, c in classes.items()], "root long, node long, class long, size long")
+        given = spark.createDataFrame([(i, c) for i, c in classes.items()], "u long, v long")
+        for part in (3, 20, 1000):
+            assert joined(sets, given, wide_simhash.class_links(members, df, 0.8, part=part)) == want
+    assert len(set(want)) > 5
+
+
+def test_stars_in_parts(spark):
+    sets, _ = family(5, 60, 5)
+    edges = [(i, i - i % 10) for i in sets if i % 10] + [(i, 0) for i in sets if i]
+    want = {(u, v) for u, v in edges if similarity(set(sets[u].tolist()), set(sets[v].tolist())) >= 0.8}
+    got = wide_simhash.star_links(spark.createDataFrame(edges, "u long, v long"), frame(spark, sets), 0.8, part=7).collect()
+    assert {(r.u, r.v) for r in got} == want and 10 < len(want) < len(edges) - 10
+
+
+def test_large_group_of_near_copies(spark):
+    """A third of all rows are copies of one text with a word or two changed; strays are alike to some of them only."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(300):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 3])):
+            words[rng.randrange(120)] = f"x{rng.randrange(9)}"
+        rows.append((i, " ".join(words)))
+    rows += [(300 + i, " ".join(f"v{rng.randrange(5000)}" for _ in range(60))) for i in range(300)]
+    want = sorted(set(brute(rows)))
+    got = wide_simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == want and 300 < len(want) < 400
