@@ -6,8 +6,8 @@ taken once for every integer that the sum crosses at it. Documents go by size, s
 close to the target.
 
 No source is ever ordered in one task. Its documents fall into ranges of sizes, the ranges into equal sizes and these
-(by doc_id) into ``SALTS`` parts. A window orders only the ranges of a source, the sizes of a range, the parts of a size
-or the rows of a part; each level's starts are joined to the next one's, so a join never gathers a source either. Only the
+(by doc_id) into ``SALTS`` parts, ``TOGETHER`` of them to a bundle. A window orders only the ranges of a source, the sizes of a range, the bundles of a size, the
+parts of a bundle or the rows of a part; each level's starts are joined to the next one's, so a join never gathers a source either. Only the
 targets are windows over all sources, one row each.
 
 Defined results: size is the number of words, 0 for null and empty texts; very long texts are counted whole. A null source is a source of
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from brindle.llm.common import cut, starts
 
 WEIGHTS = (3.0, 1.0, 2.0)
-SHARE, CAP, SEED, SALTS = 1.5, 2.0, 20_240_229, 65_536
+SHARE, CAP, SEED, SALTS, TOGETHER = 1.5, 2.0, 20_240_229, 65_536, 256
 _OUT = ("size", "source_size", "target", "taken", "copies")
 
 
@@ -77,13 +77,15 @@ def mix(df: DataFrame, text_col: str = "text", source_col: str = "source", id_co
     if text_col not in keep:
         rows = cut(rows)
     parts = cut(rows.groupBy("__key", "size", "__salt").agg(F.count("*").alias("n")))
-    sizes = parts.groupBy("__key", "size").agg(F.sum("n").alias("n")).withColumn("__range", F.floor(F.log2(F.col("size") + 1) * 8).cast("int"))
+    bundles = parts.groupBy("__key", "size", F.expr(f"__salt div {TOGETHER}").alias("__bundle")).agg(F.sum("n").alias("n"))
+    sizes = bundles.groupBy("__key", "size").agg(F.sum("n").alias("n")).withColumn("__range", F.floor(F.log2(F.col("size") + 1) * 8).cast("int"))
     ranges = sizes.groupBy("__key", "__range").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("size")).alias("words"))
     goals = targets(ranges.groupBy(F.col("__key").alias("source")).agg(F.sum("words").alias("source_size")), **options).withColumnRenamed("source", "__key")
 
     by_range = starts(ranges.drop("words"), ["__key"], ["__range"], goals.withColumn("__before", F.lit(0).cast("long")))
     by_size = starts(sizes, ["__key", "__range"], ["size"], by_range).drop("__range")
-    placed = starts(parts, ["__key", "size"], ["__salt"], by_size)
+    by_bundle = starts(bundles, ["__key", "size"], ["__bundle"], by_size)
+    placed = starts(parts.withColumn("__bundle", F.expr(f"__salt div {TOGETHER}")), ["__key", "size", "__bundle"], ["__salt"], by_bundle).drop("__bundle")
     number = Window.partitionBy("__key", "size", "__salt").orderBy(F.col("__id").asc_nulls_last())
     joined = rows.withColumn("__number", F.row_number().over(number)).join(placed, ["__key", "size", "__salt"])
     rank = F.col("__before") + F.col("__number")

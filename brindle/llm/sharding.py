@@ -33,7 +33,7 @@ from brindle.operators.joins import spread_join
 
 BOXES = 4096
 #: Groups that a task packs, and rows that a task numbers, at most (about); the tasks' number follows from the table.
-TASK_GROUPS, PART_ROWS, SALTS = 1_000_000, 65_536, 1 << 40
+TASK_GROUPS, PART_ROWS, SALTS = 1_000_000, 8192, 1 << 40
 
 
 class Bins:
