@@ -116,6 +116,20 @@ def c10_euclidean(spark, sf_dir):
     return table.withColumn("gain", F.round("gain", 5) + 0.0)
 
 
+@query(
+    "c8_diametric_update",
+    f"""WITH RECURSIVE {UNIT_BASE}, cells AS (SELECT doc_id, cluster, i, vec[i] AS x FROM points, unnest(range(1, 65)) AS r(i)),
+     gram AS (SELECT cluster, list(r ORDER BY i) AS g FROM (SELECT cluster, i, list(s ORDER BY j) AS r FROM (SELECT a.cluster, a.i, b.i AS j, sum(a.x * b.x) AS s FROM cells a JOIN cells b USING (doc_id) GROUP BY ALL) GROUP BY cluster, i) GROUP BY cluster),
+     step AS (SELECT cluster, 0 AS n, [1 / 8::DOUBLE for x in range(64)] AS v, 0::DOUBLE AS value FROM gram
+       UNION ALL SELECT cluster, n + 1, [x / sqrt(list_dot_product(w, w)) for x in w], sqrt(list_dot_product(w, w)) FROM (SELECT s.cluster, n, [list_dot_product(r, v) for r in g] AS w FROM step s JOIN gram USING (cluster) WHERE n < 600))
+    SELECT cluster::INT AS cluster, round(value, 2) AS quality FROM step WHERE n = 600""",
+)
+def c8_update(spark, sf_dir):
+    """The clusters' dominant eigenvalues."""
+    state = clustering.update(points(spark, sf_dir), K, "diametric")
+    return spark.createDataFrame([(c, round(float(v @ m @ v), 2)) for c, (v, m) in enumerate(zip(state.centers, state.sums, strict=True))], "cluster int, quality double")
+
+
 @query(
     "c10_kl_moves",
     f"""WITH {DESCRIPTORS}, p AS (SELECT kp_id AS doc_id, kp_id % {K} AS cluster, [abs(x) for x in vec] AS a FROM descriptors),

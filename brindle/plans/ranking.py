@@ -96,9 +96,9 @@ def j1(spark, sf_dir):
 
 @query("j2_word_matches", f"WITH {INDEX} SELECT q.fid AS qfid, m.fid, count(*) AS n_words FROM counts q JOIN counts m USING (word) WHERE q.fid % 100 = 0 GROUP BY ALL")
 def j2(spark, sf_dir):
-    counts = bow.term_counts(postings(spark, sf_dir))
+    counts = cut(bow.term_counts(postings(spark, sf_dir)).select("fid", "word"))
     asked = counts.where(ASKED).select(F.col("fid").alias("qfid"), "word")
-    return asked.join(counts.select("fid", "word"), "word").groupBy("qfid", "fid").agg(F.count("*").alias("n_words"))
+    return bow.matches(asked, counts).groupBy("fid", "qfid").agg(F.count("*").alias("n_words")).select("qfid", "fid", "n_words")
 
 
 @query("p8_orphan_postings", f"WITH {DESCRIPTORS}, {IMAGES} SELECT p.kp_id, p.word, fid, path FROM (SELECT kp_id * 2 AS kp_id, category AS word FROM descriptors) p JOIN descriptors d USING (kp_id) JOIN images USING (fid)")

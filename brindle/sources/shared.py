@@ -16,7 +16,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not found and (own := sc._jsc.sc().getCheckpointDir()).isDefined():
         found = os.path.dirname(own.get())
     if not found:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="brindle-shared-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
