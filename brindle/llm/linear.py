@@ -90,7 +90,9 @@ class Sample:
     """Sparse rows: word features at first, then shares, with a label matrix."""
 
     def __init__(self, labels: np.ndarray, words: tuple[np.ndarray, np.ndarray], shares: tuple[np.ndarray, np.ndarray, np.ndarray], fold: np.ndarray):
-        self.labels, (self.word_row, self.word), (self.share_row, self.share, self.value), self.fold = labels, words, shares, fold
+        small = lambda x: np.asarray(x).astype("int32", copy=False)
+        (word_row, word), (share_row, share, self.value) = words, shares
+        self.labels, self.fold, self.word_row, self.word, self.share_row, self.share = labels, fold, *map(small, (word_row, word, share_row, share))
 
     def __len__(self) -> int:
         return len(self.labels)
@@ -119,7 +121,7 @@ def labelled(df: DataFrame, labels: DataFrame, columns: list[str], text_col: str
     def flat(name):
         a = pa.concat_arrays(got.column(name).chunks) if got.num_rows else pa.array([], pa.list_(pa.int32()))
         sizes = a.value_lengths().to_numpy(zero_copy_only=False) if len(a) else np.zeros(0, "int64")
-        return np.repeat(np.arange(len(a)), sizes), a.flatten().to_numpy(zero_copy_only=False)
+        return np.repeat(np.arange(len(a), dtype="int32"), sizes), a.flatten().to_numpy(zero_copy_only=False)
 
     table = np.stack([got.column(n).to_numpy() for n in names], axis=1) if got.num_rows else np.zeros((0, len(names)), "int32")
     share_row, share = flat("share")
@@ -147,8 +149,8 @@ def _sigmoid(x):
 
 def _choose(sample: Sample, rows: np.ndarray, grade: np.ndarray, classes: int, most: int | None) -> np.ndarray:
     """Word features, the ``most`` best by chi-square against the grades or all, and shares, that at least three of the rows have."""
-    use = rows[sample.word_row]
-    counts = np.stack([np.bincount(sample.word[use & (grade[sample.word_row] == k)], minlength=DIMENSIONS) for k in range(classes)]).astype(float)
+    kinds = np.where(rows, grade, -1).astype("int8")[sample.word_row]
+    counts = np.stack([np.bincount(sample.word[kinds == k], minlength=DIMENSIONS) for k in range(classes)]).astype("float32")
     total = counts.sum(0)
     size = np.array([np.sum(rows & (grade == k)) for k in range(classes)], float)
     want = np.outer(size / max(1, size.sum()), total)
@@ -169,13 +171,13 @@ def fit(sample: Sample, grade: np.ndarray, classes: int, rows: np.ndarray | None
     rows = np.ones(n, bool) if rows is None else rows
     extra = np.zeros((n, 0)) if extra is None else extra
     chosen = _choose(sample, rows, grade, classes, most) if rows.any() else np.zeros(0, int)
-    place = np.full(DIMENSIONS, -1)
+    place = np.full(DIMENSIONS, -1, "int32")
     place[chosen] = np.arange(len(chosen))
-    row = np.concatenate([sample.word_row, sample.share_row]).astype(int)
-    column = place[np.concatenate([sample.word, sample.share]).astype(int)] if len(row) else np.zeros(0, int)
-    value = np.concatenate([np.ones(len(sample.word)), sample.value])
-    use = (column >= 0) & rows[row] if len(row) else np.zeros(0, bool)
-    row, column, value = row[use], column[use], value[use]
+    known = place >= 0
+    words, shares = known[sample.word] & rows[sample.word_row], known[sample.share] & rows[sample.share_row]
+    row = np.concatenate([sample.word_row[words], sample.share_row[shares]]).astype(int)
+    column = place[np.concatenate([sample.word[words], sample.share[shares]])]
+    value = np.concatenate([np.ones(int(words.sum())), sample.value[shares]])
     y, count, m = grade.astype(int), max(1, int(rows.sum())), len(chosen)
     share = np.cumsum([np.sum(rows & (y == k)) + 0.5 for k in range(classes)]) / (rows.sum() + 0.5 * classes)
     cuts = np.log(share[:-1] / (1 - share[:-1]))
@@ -204,5 +206,7 @@ def scores(sample: Sample, model: Model, extra: np.ndarray | None = None) -> np.
     """Scores of the sample's rows."""
     w = np.zeros(DIMENSIONS)
     w[list(model.weights)] = list(model.weights.values())
-    out = np.bincount(sample.word_row.astype(int), weights=w[sample.word], minlength=len(sample)) + np.bincount(sample.share_row.astype(int), weights=w[sample.share] * sample.value, minlength=len(sample))
+    words, shares = (w != 0)[sample.word], (w != 0)[sample.share]
+    out = np.bincount(sample.word_row[words], weights=w[sample.word[words]], minlength=len(sample))
+    out += np.bincount(sample.share_row[shares], weights=w[sample.share[shares]] * sample.value[shares], minlength=len(sample))
     return out if extra is None else out + extra @ np.array(model.extra)
