@@ -40,7 +40,7 @@ SHORT, LONG = 24, 64
 class MergeCodec:
     """Agenda encoder for one vocabulary; ``remember`` bounds the table of known segments."""
 
-    def __init__(self, model_path: str, remember: int = 400_000, check: bool = True):
+    def __init__(self, model_path: str, remember: int = 800_000, check: bool = True):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
 
@@ -199,10 +199,14 @@ class MergeCodec:
         lacking = [None in f for f in found]
         need = {s for p, f, lacks in zip(parts, found, lacking, strict=True) if lacks for s, ids in zip(p, f, strict=True) if ids is None}
         if need:
-            new = {s: self.older[s] for s in need.intersection(self.older)}
-            new |= self.learn(need.difference(new))
-            found = [[new[s] if ids is None else ids for s, ids in zip(p, f, strict=True)] if lacks else f for p, f, lacks in zip(parts, found, lacking, strict=True)]
-            self.known.update((s, ids) for s, ids in new.items() if len(s) <= LONG)
+            again = need.intersection(self.older)
+            self.known.update((s, self.older[s]) for s in again)
+            need -= again
+            self.known.update(self.learn(need))
+            found = [list(map(self.known.__getitem__, p)) if lacks else f for p, f, lacks in zip(parts, found, lacking, strict=True)]
+            for s in need:
+                if len(s) > LONG:
+                    del self.known[s]
         repaired = [sum(s in self.repaired for s in p) for p in parts] if self.repaired else [0] * len(parts)
         return [list(chain.from_iterable(f)) for f in found], repaired
 
