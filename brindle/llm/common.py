@@ -33,6 +33,17 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES):
         yield batch.slice(int(a), int(b - a))
 
 
+def release() -> None:
+    """Gives memory that a task has freed back to the system: Python workers live on, and an executor's memory counts theirs."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.common import slices, with_fields
+from brindle.llm.common import release, slices, with_fields
 
 MARK = "▁"
 SHORT, LONG = 24, 64
@@ -210,6 +210,10 @@ class MergeCodec:
         repaired = [sum(s in self.repaired for s in p) for p in parts] if self.repaired else [0] * len(parts)
         return [list(chain.from_iterable(f)) for f in found], repaired
 
+    def forget(self) -> None:
+        """Empties the table of known segments."""
+        self.known, self.older = {}, {}
+
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.library.decode(ids, num_threads=1) if ids else []
 
@@ -242,6 +246,8 @@ def encode_decode(df: DataFrame, model_path: str, text_col: str = "text", keep:
                 flat = np.fromiter(chain.from_iterable(ids), "int32", int(ends[-1]))
                 arrays = [*part.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(own.decode(ids), pa.string()), pa.array(repaired, pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+        own.forget()
+        release()
 
     return source.mapInArrow(run, schema)
 

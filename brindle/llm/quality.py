@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.common import slices, with_fields
+from brindle.llm.common import release, slices, with_fields
 from brindle.llm.linear import CHOSEN, Extractor, Model, fit, labelled
 
 GRADES, LEAST, THRESHOLD = 3, 1, 0.4
@@ -51,6 +51,8 @@ def quality(df: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
                 expected, tail = [sum(t) for t in got], [t[least - 1] for t in got]
                 columns = [pa.array(expected, pa.float64()), pa.array(tail, pa.float64()), pa.array([t >= threshold for t in tail], pa.bool_())]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns], names=schema.names)
+        own.known.clear()
+        release()
 
     return df.select(*through, F.col(text_col).alias("__text")).mapInArrow(run, schema)
 

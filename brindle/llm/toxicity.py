@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.common import slices, with_fields
+from brindle.llm.common import release, slices, with_fields
 from brindle.llm.linear import CHOSEN, Extractor, Model, Sample, fit, labelled, scores
 
 LABELS = ["quality", "toxic"]
@@ -83,6 +83,8 @@ def toxicity(df: DataFrame, labels: DataFrame, text_col: str = "text", id_col: s
                 columns = [pa.array(c, pa.float64()) for c in zip(*got, strict=True)]
                 toxic = pa.array([not empty and max(p[1:]) >= threshold for p in got], pa.bool_())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns, toxic], names=schema.names)
+        own.known.clear()
+        release()
 
     return df.select(*through, F.col(text_col).alias("__text")).mapInArrow(run, schema)
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.common import cut, one_of_each, slices
+from brindle.llm.common import cut, one_of_each, release, slices
 from brindle.llm.components import components
 from brindle.llm.simhash import SEED, Forest, _word_runs
 from brindle.operators.joins import spread_join
@@ -104,6 +104,7 @@ def sketches(df: DataFrame, text_col: str, id_col: str, width: int) -> DataFrame
                 size = pa.array([len(s) for s in sets], pa.int64())
                 fp = pa.array([wide_fingerprint(s).view("int64") for s in sets], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(node), size, fp], names=schema.names)
+        release()
 
     return df.select(id_col, F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("__text")).mapInArrow(run, schema)
 
@@ -165,6 +166,7 @@ def star_links(edges: DataFrame, sets: DataFrame, least: float, part: int = 256)
                 elif v[i] == centre and np.bitwise_count(_array(batch.column(4), i) ^ fp).sum() <= FAR and alike(_array(batch.column(5), i), hashes, least):
                     found.append((u[i], centre))
             yield from _pairs(found)
+        release()
 
     return ordered.mapInArrow(run, "u long, v long")
 
@@ -203,7 +205,9 @@ def class_links(members: DataFrame, sets: DataFrame, least: float, part: int = 2
                     held, key = [], now
                 held.append((node[i], own[i], kind[i], _array(batch.column(6), i), _array(batch.column(7), i)))
         set_links(held, least, forest)
+        held.clear()
         yield from _pairs([(x, r) for x in list(forest.up) if (r := forest.find(x)) != x])
+        release()
 
     return ordered.mapInArrow(run, "u long, v long")
 
@@ -223,6 +227,7 @@ def near_groups(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", l
             for part in slices(batch, "__text"):
                 sets = pa.array([shingles(t, width).view("int64") for t in part.column("__text").to_pylist()], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([*part.columns[:2], sets], names=["node", "fp", "hashes"])
+        release()
 
     sets = cut(texts.mapInArrow(run, "node long, fp array<long>, hashes array<long>"))
     alike_stars = cut(star_links(edges, sets, least))
