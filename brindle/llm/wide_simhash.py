@@ -10,8 +10,8 @@ Two sets of similarity 0.8 draw the same shingle with a chance of 0.8 and share
 less than 1 in 10^9. Their distance is 237 of 1536 bits with a deviation of 40 (simulated), so ``FAR`` is five deviations off. A
 pair missed is still found if a path of others joins the two.
 
-Blocks join their texts to the least of the bucket; the components of these links hold every pair worth a look. First every text is compared with the
-least of its buckets: what is alike forms classes, so a large group of near copies costs one comparison a copy and bucket. Then, in
+Blocks join their texts to the least of the bucket; the components of these links hold every pair worth a look. First every text is compared with one other, the
+least of all its buckets: what is alike forms classes, so a large group of near copies costs one comparison a copy. Then, in
 components of several classes, texts of different classes are compared unless a path joins them already. Stars and components of many or long texts
 are dealt into parts, each star's part and every pair of parts a task's work of its own; two parts of one class are no work. Texts with equal sets
 are one entry.
@@ -171,7 +171,7 @@ def star_links(edges: DataFrame, sets: DataFrame, least: float, part: int = 256)
     return ordered.mapInArrow(run, "u long, v long")
 
 
-def class_links(members: DataFrame, sets: DataFrame, least: float, part: int = 256, hashes: int = 1 << 20) -> DataFrame:
+def class_links(members: DataFrame, sets: DataFrame, least: float, part: int = 512, hashes: int = 1 << 20) -> DataFrame:
     """(u, v): edges that connect members (root, node, class, size) of equal root and different classes whose sets (node, fp, hashes) are alike, directly or by a path.
 
     Classes of over ``part`` members, or ``hashes`` hashes, have parts of their own; the others of a root share parts. ``members`` is read several times.
@@ -230,7 +230,7 @@ def near_groups(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", l
         release()
 
     sets = cut(texts.mapInArrow(run, "node long, fp array<long>, hashes array<long>"))
-    alike_stars = cut(star_links(edges, sets, least))
+    alike_stars = cut(star_links(edges.groupBy("u").agg(F.min("v").alias("v")), sets, least))
     classes = components(alike_stars)
     members = near.join(classes.withColumnRenamed("root", "class"), "node", "left").join(nodes.select("node", "size"), "node")
     members = cut(members.select("root", "node", F.coalesce("class", "node").alias("class"), "size"))
