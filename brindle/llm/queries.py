@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import chat, media, mixing, multiset, pieces, quality, sharding, simhash, token_counts, toxicity
+from brindle.llm import chat, exact, media, mixing, multiset, pieces, quality, sharding, simhash, token_counts, toxicity
 from brindle.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return quality.quality(docs, table(spark, sf_dir, "labels"), keep=["doc_id"])
+
+
+@query
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.mark(documents(spark, sf_dir).select("doc_id", "text"), keep=["doc_id"])
+
+
+ORACLES["op13_exact_dedup"] = exact.SQL
