@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import chat, exact, media, mixing, multiset, pieces, quality, sharding, simhash, token_counts, toxicity, whitening
+from brindle.llm import chat, exact, media, merkle, mixing, multiset, pieces, quality, sharding, simhash, token_counts, toxicity, whitening
 from brindle.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,11 @@ ORACLES["op13_exact_dedup"] = exact.SQL
 @query
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(documents(spark, sf_dir).select("doc_id", "source", "lang", "n_chars", "text"))
+
+
+ORACLES["op11_merkle_manifest"] = merkle.SQL
