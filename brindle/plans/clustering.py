@@ -5,9 +5,10 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from brindle.operators import bow, clustering
+from brindle.operators import bow, clustering, sparse
 from brindle.plans.registry import query
-from brindle.plans.tables import DESCRIPTORS, INDEX, descriptors, postings
+from brindle.plans.tables import DESCRIPTORS, INDEX, POSTINGS, descriptors, postings
+from brindle.sources import text
 from brindle.sources.shared import cut
 
 K = 6
@@ -257,3 +258,101 @@ def c7(spark, sf_dir):
 def c9(spark, sf_dir):
     found, _ = clustering.ping_pong(points(spark, sf_dir).drop("cluster"), 4, "spherical", rounds=1, steps=2, splits=1)
     return found.select("doc_id", "cluster")
+
+
+def document_matrix(spark, sf_dir, kind, k=K):
+    """The matrix of words by documents, with its words (word, word_id). Entries are counts, for ``euclidean`` their square roots, under which no cluster of the runs below empties (their SQL has no center for one)."""
+    counts = cut(bow.term_counts(postings(spark, sf_dir)))
+    words = cut(text.numbered(counts.select("word").distinct(), "word", "word_id"))
+    cells = counts.join(words, "word").select(F.col("fid").alias("doc_id"), "word_id", (F.sqrt("n") if kind == "euclidean" else F.col("n")).alias("val"))
+    return sparse.matrix(cells, words.count(), k, kind), words
+
+
+def sparse_sql(kind, k, last):
+    """SQL for a whole run over the documents' matrix, from labels by a hash of the id to the stop rule; ``last`` selects from l, the last labels.
+
+    The rows of a round are its labels; ``before`` and ``head`` are the objectives of the round before and of the first.
+    """
+    x, w, own = {
+        "spherical": ("val / sqrt(sum(val * val) OVER d)", "1::DOUBLE", "0::DOUBLE"),
+        "euclidean": ("val", "1::DOUBLE", "sum(val * val) OVER d"),
+        "kl": ("val / sum(val) OVER d", "sum(val) OVER d", "0::DOUBLE"),
+    }[kind]
+    own_of = "list_sum([CASE WHEN v > 0 THEN v * log2(v) ELSE 0 END for v in list(x)])" if kind == "kl" else "any_value(own)"
+    part = {"spherical": "sqrt(sum(s * s))", "euclidean": "sum(s * s) / any_value(weight) - any_value(own)", "kl": "sum(CASE WHEN s > 0 THEN s * log2(s / weight) ELSE 0 END) - any_value(own)"}[kind]
+    size = "(SELECT count(DISTINCT word) FROM cells)"
+    low = f"log2(1e-9::DOUBLE / {size} / (1 + 1e-9::DOUBLE))"
+    gain, base = {
+        "spherical": ("c.x * s / sqrt(q)", "0"),
+        "euclidean": ("2 * c.x * s / weight", "-q / (weight * weight)"),
+        "kl": (f"c.x * (log2((s / weight + 1e-9::DOUBLE / {size}) / (1 + 1e-9::DOUBLE)) - {low})", "0"),
+    }[kind]
+    return f"""WITH RECURSIVE {POSTINGS},
+ raw AS (SELECT fid AS doc_id, word, {'sqrt(count(*)::DOUBLE)' if kind == 'euclidean' else 'count(*)::DOUBLE'} AS val FROM postings GROUP BY ALL),
+ cells AS MATERIALIZED (SELECT doc_id, word, {x} AS x, {w} AS w, {own} AS own FROM raw WINDOW d AS (PARTITION BY doc_id)),
+ docs AS MATERIALIZED (SELECT doc_id, any_value(w) AS w, any_value(w) * {own_of} AS own FROM cells GROUP BY doc_id),
+ run AS (SELECT 0 AS it, doc_id, ({clustering.RANDOM_LABELS.format('doc_id', 1)}) % {k} AS cluster, NULL::DOUBLE AS before, NULL::DOUBLE AS head, false AS done FROM docs
+   UNION ALL
+   (WITH cur AS MATERIALIZED (SELECT * FROM run WHERE NOT done),
+     sizes AS MATERIALIZED (SELECT cluster, sum(w) AS weight, sum(own) AS own FROM cur JOIN docs USING (doc_id) GROUP BY cluster),
+     sums AS MATERIALIZED (SELECT cluster, word, sum(w * x) AS s FROM cur JOIN cells USING (doc_id) GROUP BY ALL),
+     centers AS MATERIALIZED (SELECT cluster, any_value(weight) AS weight, sum(s * s) AS q, {part} AS part FROM sums JOIN sizes USING (cluster) GROUP BY cluster),
+     state AS MATERIALIZED (SELECT (SELECT max(it) FROM cur) AS it, (SELECT max(before) FROM cur) AS before, (SELECT max(head) FROM cur) AS head, sum(part) AS obj FROM centers),
+     gains AS (SELECT c.doc_id, cluster, sum({gain}) AS g FROM cells c JOIN sums USING (word) JOIN centers USING (cluster) GROUP BY ALL),
+     best AS (SELECT d.doc_id, z.cluster FROM docs d CROSS JOIN centers z LEFT JOIN gains g ON g.doc_id = d.doc_id AND g.cluster = z.cluster
+       QUALIFY row_number() OVER (PARTITION BY d.doc_id ORDER BY round(coalesce(g, 0) + {base}, 9) DESC, z.cluster) = 1)
+    SELECT it + 1, doc_id, cluster, CASE WHEN it > 0 THEN obj END, coalesce(head, CASE WHEN it > 0 THEN obj END), coalesce(obj - before <= 1e-3::DOUBLE * abs({'head' if kind == 'euclidean' else 'obj'}), false)
+    FROM best, state)),
+ l AS (SELECT doc_id, cluster::INT AS cluster FROM run WHERE done), before_last AS (SELECT doc_id, cluster FROM run WHERE it = (SELECT max(it) - 1 FROM run))
+ {last}"""
+
+
+def _sparse_run(kind):
+    def run(spark, sf_dir):
+        m, _ = document_matrix(spark, sf_dir, kind)
+        found, state = sparse.kmeans(m, "random")
+        if not state.settled:
+            raise RuntimeError(f"{kind} k-means did not settle")
+        return found
+
+    return run
+
+
+for name, kind in (("c4", "spherical"), ("c5", "euclidean"), ("c6", "kl")):
+    query(f"{name}_sparse_{kind}_kmeans", sparse_sql(kind, K, "SELECT doc_id, cluster FROM l"))(_sparse_run(kind))
+
+
+@query(
+    "c13_sparse_word_clusters",
+    sparse_sql("spherical", K, """, s AS (SELECT cluster, word, sum(x) AS s FROM before_last JOIN cells USING (doc_id) GROUP BY ALL), n AS (SELECT cluster, sqrt(sum(s * s)) AS norm FROM s GROUP BY cluster)
+ SELECT word, cluster::INT AS cluster FROM s JOIN n USING (cluster) QUALIFY row_number() OVER (PARTITION BY word ORDER BY round(s / norm, 9) DESC, cluster) = 1"""),
+)
+def c13_sparse(spark, sf_dir):
+    """Words by the centers of a run."""
+    m, words = document_matrix(spark, sf_dir, "spherical")
+    _, state = sparse.kmeans(m, "random")
+    return sparse.word_clusters(m, state).join(words, "word_id").select("word", "cluster")
+
+
+@query("c4_bounded_kmeans", run_sql("spherical", K))
+def c4_bounded(spark, sf_dir):
+    """The run of c4_spherical_kmeans with similarity bounds."""
+    p = points(spark, sf_dir).drop("cluster")
+    m = sparse.matrix(p.select("doc_id", F.posexplode("vec").alias("word_id", "val")), 64, K)
+    found, _ = sparse.kmeans(m, "separated")
+    return found
+
+
+@query("c4_products_computed")
+def c4_products(spark, sf_dir):
+    """The share of products that each round of a bounded run over the documents' matrix computes; tested against a run that computes all."""
+    m, _ = document_matrix(spark, sf_dir, "spherical", 20)
+    _, state = sparse.kmeans(m, "random")
+    return spark.createDataFrame(list(enumerate(state.computed, 1)), "round int, share double")
+
+
+@query("c12_sparse_seeds")
+def c12_sparse(spark, sf_dir):
+    """Well separated seeds of the documents' matrix; tested against the dense form."""
+    m, _ = document_matrix(spark, sf_dir, "spherical")
+    return spark.createDataFrame(list(enumerate(sparse.separated(m)[0])), "place int, doc_id long")
