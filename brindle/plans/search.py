@@ -51,6 +51,40 @@ def lsh_recall(spark, sf_dir):
     return spark.createDataFrame([(hits / max(1, true.count()), pairs.count() / max(1, q.count() * d.count()))], "recall double, share double")
 
 
+PROBES = {"width": 0.35, "tables": 10, "hashes": 16, "probes": 60}
+
+
+def sketches(spark, sf_dir):
+    """Sketches of the documents' words, vectors that cluster."""
+    return cut(knn.sketches(bow.weights(cut(bow.term_counts(postings(spark, sf_dir))))))
+
+
+@query("j4_probed_neighbours")
+def probed(spark, sf_dir):
+    """Multi-probe search of the documents' sketches; tested against brute force."""
+    d = sketches(spark, sf_dir)
+    return knn.nearest_probed(d.where("kp_id % 100 = 0"), d, K, **PROBES)
+
+
+@query("j4_probed_recall_and_share")
+def probed_recall(spark, sf_dir):
+    """The share of the true neighbours among what the probes touch, and the share of all vectors touched."""
+    d = sketches(spark, sf_dir)
+    q = d.where("kp_id % 100 = 0")
+    pairs = cut(knn.probed(q, d, **PROBES))
+    true = cut(knn.nearest(q, d, K).select("q_kp", "kp_id"))
+    hits = pairs.join(true, ["q_kp", "kp_id"]).count()
+    return spark.createDataFrame([(hits / max(1, true.count()), pairs.count() / max(1, q.count() * d.count()))], "recall double, share double")
+
+
+@query("a17_touched_share")
+def touched(spark, sf_dir):
+    """Mean and deviation of the share of all vectors that a query's probes touch."""
+    d = sketches(spark, sf_dir)
+    pairs = knn.probed(d.where("kp_id % 100 = 0"), d, **PROBES)
+    return knn.probed_share(pairs.groupBy("q_kp").agg(F.count("*").alias("n")), d.count())
+
+
 @query("p5_distance_limit", f"WITH {KNN} SELECT q_kp, kp_id, dist FROM knn WHERE dist <= 1.3")
 def p5(spark, sf_dir):
     return neighbours(spark, sf_dir, 1.3).select("q_kp", "kp_id", "dist")
