@@ -4,8 +4,9 @@ Features of a text, hashed to ``DIMENSIONS``: presence of each word (lower case,
 and of its first four and five characters; the square root of the share of each word shape (upper or lower case,
 and the punctuation it ends with); the square root of the share of words equal to the word before.
 
-Models are fitted on the driver on a sample of labelled rows, ``SAMPLE`` at most, the first by a hash of doc_id. Only their
-hashed features get there.
+Models are fitted on the driver on a sample of labelled rows: ``SAMPLE`` ids at most, the first by a hash, one row of each (of rows that repeat an id the
+one with the least hash of its text), and ``ENTRIES`` hashed features of a row at most, those of the least hash. Only these features get there, so their
+number is bounded whatever the table holds. Texts are scored by all their features.
 
 Of the hashed word features a model uses ``CHOSEN``, the best by chi-square on its training rows. This is a parameter of every fit (``most``): with more
 of them held-out loss grows, as labelled rows are few (README).
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm.common import slices
 
-DIMENSIONS, SAMPLE, CHOSEN, REMEMBER = 1 << 20, 8000, 300, 200_000
+DIMENSIONS, SAMPLE, CHOSEN, REMEMBER, ENTRIES = 1 << 20, 8000, 300, 200_000, 8192
 _REPEATS = zlib.crc32(b"repeats") % DIMENSIONS
 
 
@@ -99,12 +100,17 @@ class Sample:
 
 
 def labelled(df: DataFrame, labels: DataFrame, columns: list[str], text_col: str = "text", id_col: str = "doc_id", rows: int = SAMPLE, folds: int = 5) -> Sample:
-    """Features of the first ``rows`` labelled documents by a hash of their id; of repeated labels the least counts."""
+    """Features of the first ``rows`` labelled documents by a hash of their id; of repeated labels the least counts, of rows that repeat an id one is taken.
+
+    The one is that of the least text hash, found with partial results in each task, so that no id gathers its rows.
+    """
     known = labels.where(" AND ".join(f"`{c}` IS NOT NULL" for c in [id_col, *columns])).groupBy(id_col).agg(*[F.min(c).alias(c) for c in columns])
     few = known.orderBy(F.xxhash64(id_col), id_col).limit(rows)
     names = [f"__l{i}" for i in range(len(columns))]
     few = few.select(F.col(id_col).alias("__id"), *[F.col(c).cast("int").alias(n) for c, n in zip(columns, names, strict=True)])
     joined = df.select(id_col, F.col(text_col).alias("__text")).join(F.broadcast(few), F.col(id_col) == F.col("__id"))
+    one = joined.groupBy("__id", *names).agg(F.min(F.struct(F.xxhash64("__text").alias("h"), F.col("__text").alias("t"))).alias("__one"))
+    joined = one.select("__id", *names, F.col("__one.t").alias("__text"))
     source = joined.select("__id", F.pmod(F.xxhash64("__id", F.lit("fold")), F.lit(folds)).cast("int").alias("__fold"), *names, "__text")
 
     def run(batches):
@@ -112,7 +118,8 @@ def labelled(df: DataFrame, labels: DataFrame, columns: list[str], text_col: str
         for batch in batches:
             for part in slices(batch, "__text"):
                 got = [own.features(t) for t in part.column("__text").to_pylist()]
-                arrays = [pa.array([sorted(x[0]) for x in got], pa.list_(pa.int32())), pa.array([sorted(x[1]) for x in got], pa.list_(pa.int32())), pa.array([[x[1][k] for k in sorted(x[1])] for x in got], pa.list_(pa.float32()))]
+                got = [(sorted(present)[:ENTRIES], sorted(shares)[:ENTRIES], shares) for present, shares in got]
+                arrays = [pa.array([x[0] for x in got], pa.list_(pa.int32())), pa.array([x[1] for x in got], pa.list_(pa.int32())), pa.array([[x[2][k] for k in x[1]] for x in got], pa.list_(pa.float32()))]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *arrays], names=[*part.schema.names[:-1], "word", "share", "value"])
 
     schema = f"__id long, __fold int, {', '.join(f'{n} int' for n in names)}, word array<int>, share array<int>, value array<float>"

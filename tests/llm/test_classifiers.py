@@ -197,3 +197,22 @@ def test_every_link_has_positives_in_the_pipeline(spark, monkeypatch):
     kept = cp.select_quality(spark, docs, sf)
     cp.drop_toxic(spark, kept, sf)
     assert len(seen) == 1 and min(seen[0]) > 30 and len(set(seen[0])) == 3
+
+
+def test_the_sample_is_bounded(spark, data):
+    """Rows that repeat a labelled id bring one row; a row brings so many features at most."""
+    from pyspark.sql import functions as F
+
+    _, docs, labels = data
+    repeated = docs.withColumn("text", F.col("text")).crossJoin(spark.range(30)).drop("id")
+    want, got = (linear.labelled(d, labels, ["quality", "toxic"], rows=50) for d in (docs, repeated))
+    assert len(got) == len(want) == 50
+    for name in ("labels", "fold", "word_row", "word", "share_row", "share", "value"):
+        assert np.array_equal(getattr(got, name), getattr(want, name))
+    assert quality.fit_grades(repeated, labels).weights == quality.fit_grades(docs, labels).weights
+    # Of different texts of one id that of the least hash is taken, whatever the order.
+    two = docs.select("doc_id", "text").unionByName(docs.select("doc_id", F.lit("another text").alias("text")))
+    a, b = (linear.labelled(d, labels, ["quality"], rows=40) for d in (two, two.repartition(7, "text")))
+    assert len(a) == 40 and np.array_equal(a.word, b.word) and np.array_equal(a.word_row, b.word_row)
+    long = docs.where("doc_id = 7").select("doc_id", F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(30_000)), lambda i: F.concat(F.lit("word"), i.cast("string")))).alias("text"))
+    assert len(linear.labelled(long, labels, ["quality"]).word) == linear.ENTRIES
