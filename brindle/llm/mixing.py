@@ -10,6 +10,9 @@ No source is ever ordered in one task. Its documents fall into ranges of sizes,
 parts of a bundle or the rows of a part; each level's starts are joined to the next one's, so a join never gathers a source either. Only the
 targets are windows over all sources, one row each.
 
+Parts of over ``LARGE`` rows (and over 1/4096 of all, so that there are fewer than 4096 of them, which are broadcast) hold rows that repeat one id, or one row without an id. They are
+dealt once more, by a number of the row, into ``SALTS`` parts, and written.
+
 Defined results: size is the number of words, 0 for null and empty texts; very long texts are counted whole. A null source is a source of
 its own, the last. A source without words has target 0 and is never taken. Rows without an id are parted by a hash of
 the whole row. Rows of equal order (repeated rows) are numbered in any order; as they are equal in size and key, the copies as a whole are the same. An
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 from brindle.llm.common import cut, starts
 
 WEIGHTS = (3.0, 1.0, 2.0)
-SHARE, CAP, SEED, SALTS, TOGETHER = 1.5, 2.0, 20_240_229, 65_536, 256
+SHARE, CAP, SEED, SALTS, TOGETHER, LARGE = 1.5, 2.0, 20_240_229, 65_536, 256, 65_536
 _OUT = ("size", "source_size", "target", "taken", "copies")
 
 
@@ -64,7 +67,7 @@ def targets(sizes: DataFrame, share: float = SHARE, cap: float = CAP, weights: t
     )
 
 
-def mix(df: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", keep: list[str] | None = None, **options) -> DataFrame:
+def mix(df: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", keep: list[str] | None = None, large: int = LARGE, **options) -> DataFrame:
     """``keep`` (all columns unless given) with size, source_size, target, copies (how often the mix takes the document) and taken (its words).
 
     The texts are read once if they aren't kept, else twice.
@@ -86,14 +89,33 @@ def mix(df: DataFrame, text_col: str = "text", source_col: str = "source", id_co
     by_size = starts(sizes, ["__key", "__range"], ["size"], by_range).drop("__range")
     by_bundle = starts(bundles, ["__key", "size"], ["__bundle"], by_size)
     placed = starts(parts.withColumn("__bundle", F.expr(f"__salt div {TOGETHER}")), ["__key", "size", "__bundle"], ["__salt"], by_bundle).drop("__bundle")
-    number = Window.partitionBy("__key", "size", "__salt").orderBy(F.col("__id").asc_nulls_last())
-    joined = rows.withColumn("__number", F.row_number().over(number)).join(placed, ["__key", "size", "__salt"])
+    joined = _hot_apart(rows, parts, placed, large)
     rank = F.col("__before") + F.col("__number")
     rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
     copies = (F.floor(F.col("offset") + rank * rate) - F.floor(F.col("offset") + (rank - 1) * rate)).cast("long")
     return joined.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).select(*keep, *_OUT)
 
 
+def _numbered(rows: DataFrame, placed: DataFrame, on: list[str], by: Column) -> DataFrame:
+    number = Window.partitionBy(*on).orderBy(by)
+    return rows.withColumn("__number", F.row_number().over(number)).join(placed, on)
+
+
+def _hot_apart(rows: DataFrame, parts: DataFrame, placed: DataFrame, large: int) -> DataFrame:
+    """``rows`` with the rows before their part (__before) and their number in it; large parts are dealt once more."""
+    on = ["__key", "size", "__salt"]
+    total = parts.agg(F.sum("n")).first()[0] or 0
+    hot = parts.where(F.col("n") > max(large, total // 4096)).select(*on)  # fewer than 4096 by that bound
+    by_id = F.col("__id").asc_nulls_last()
+    if hot.isEmpty():
+        return _numbered(rows, placed, on, by_id)
+    again = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")
+    own = cut(rows.withColumn("__again", again).join(F.broadcast(hot), on))
+    begin = starts(own.groupBy(*on, "__again").agg(F.count("*").alias("n")), on, ["__again"], placed)
+    rest = _numbered(rows.join(F.broadcast(hot), on, "left_anti"), placed, on, by_id)
+    return rest.unionByName(_numbered(own, begin, [*on, "__again"], by_id).drop("__again"))
+
+
 def take(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The mix itself: every row of ``df`` as often as ``mix`` takes it, with the columns of ``df``."""
     own = {c: f"__own_{c}" for c in df.columns if c in _OUT}

@@ -2,6 +2,7 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from brindle.llm import mixing
 
@@ -87,3 +88,32 @@ def test_most_rows_without_an_id(spark):
     target = {r.source: r.target for r in got}
     assert len(got) == len(rows) and all(abs(taken[s] - target[s]) <= 4 for s in "ab")
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(df, keep=["doc_id", "source"]).collect()))
+
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_equal_rows_are_spread(spark, doc_id):
+    """90 % of the rows are equal, without an id or with one: no task orders them all, the copies are right, reruns agree."""
+    rows = [(doc_id, "a b c", "a")] * 9000 + [(100 + i, "w " * (i % 5), "ab"[i % 2]) for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(8)
+    # So small a table would be put together or broadcast.
+    small = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        found = mixing.mix(df, keep=["doc_id", "source"], large=500)
+        got = found.collect()
+        tasks = [r[0] for r in found.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    finally:
+        for k in small:
+            spark.conf.unset(k)
+    # Rows in the hot part and others are in partitions of their own.
+    assert max(tasks) < 3 * 9000 / 4 and len(got) == 10_000
+    taken, target = {}, {r.source: r.target for r in got}
+    for r in got:
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+        assert r.taken <= 2 * r.size
+    assert all(abs(taken[s] - target[s]) <= 4 for s in taken)
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(df, keep=["doc_id", "source"], large=500).collect()))
+    plain = mixing.mix(df, keep=["doc_id", "source"]).collect()
+    assert {s: sum(r.copies for r in plain if r.source == s) for s in taken} == {s: sum(r.copies for r in got if r.source == s) for s in taken}
+    assert mixing.take(df, large=500).count() == sum(r.copies for r in got)
