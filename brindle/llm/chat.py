@@ -10,7 +10,7 @@ run with a count. Runs get their positions level by level: stretches of ``STRETC
 turn numbers, roles and ``SLICES`` slices of hash values, in a slice the hashes. A window orders the entries of one level below one entry
 of the level above. Rolling hashes are summed up in pieces of ``PIECE`` positions. Runs, without texts, are written once and read for both steps.
 
-Texts move once, one of each run of a kept conversation, and are put together in segments of ``SEGMENT`` turns; a conversation's rendering
+Texts are shuffled once, those of dropped conversations too, as their turns meet the decision there; equal turns of a conversation are one text. They are put together in segments of ``SEGMENT`` turns; a conversation's rendering
 is its segments one after another. A segment's text is as long as its turns are together.
 
 Defined results: null text counts as empty, null role as "unknown". Turns go by turn number, nulls last; equal numbers by role, then

@@ -13,11 +13,11 @@ the bins in a balanced tree (AA tree) by remaining capacity. One sorted pass ove
 
 A group larger than an even share gets a shard for itself; the others share out the rest.
 The slot of a row is its box's start in the shard plus its part's start in the box plus its number in the part; boxes are split by
-hash of doc_id into parts of about ``PART_ROWS`` rows, so that a large group isn't numbered by one task. Nor is it joined by one: ``spread_join``
+a hash of doc_id and the row's number into parts of about ``PART_ROWS`` rows, so that a large group isn't numbered by one task. Nor is it joined by one: ``spread_join``
 leaves the rows of groups that hold a large share of all where they are.
 
 Defined results: a null text counts as empty (size 1, CRC 0) and forms a group with the empty texts. Rows without an id are
-split at random, once. Repeated rows are rows of one group, in any order among themselves. A very long text is a group like any other; over an even share it has a
+rows like any other. Repeated rows are rows of one group, in any order among themselves. A very long text is a group like any other; over an even share it has a
 shard to itself. An empty table gives an empty result. Columns in ``keep`` pass through; an output column replaces a kept one of its name.
 """
 
@@ -171,8 +171,8 @@ def shard(df: DataFrame, shards: int | None = 8, capacity: int | None = None, te
     keep = [c for c in df.columns if c != text_col] if keep is None else keep
     keep = [c for c in keep if c not in ("size", "text_crc32", "shard", "slot")]
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    # The texts are read once. Rows without an id get a random salt, which stays as it is written.
-    salt = F.when(F.col(id_col).isNull(), F.floor(F.rand(17) * SALTS)).otherwise(F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS)))
+    # The texts are read once. The salt goes by the row's number besides its id, so rows that repeat an id, or have none, are dealt too; it stays as it is written.
+    salt = F.pmod(F.xxhash64(F.col(id_col), F.monotonically_increasing_id()), F.lit(SALTS))
     rows = cut(
         df.select(
             *keep,

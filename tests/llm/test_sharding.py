@@ -5,6 +5,7 @@ import zlib
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from brindle.llm import sharding
 
@@ -98,3 +99,25 @@ def test_one_group_of_most_rows(spark, monkeypatch):
         slots.setdefault(r.shard, []).append(r.slot)
     assert len(got) == len(rows) and all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert len({r.shard for r in got if r["size"] == 1}) == 1
+
+
+def test_rows_of_one_id_are_numbered_in_parts(spark, monkeypatch):
+    """90 % equal rows, id and text alike: their parts stay near PART_ROWS."""
+    monkeypatch.setattr(sharding, "PART_ROWS", 200)
+    df = spark.createDataFrame([(7, "hot")] * 9000 + [(100 + i, f"text {i}") for i in range(1000)], "doc_id long, text string").repartition(8)
+    small = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k, None) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        found = sharding.shard(df)
+        rows = found.collect()
+        tasks = [r[0] for r in found.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert max(tasks) < 3 * 10_000 / 16
+    slots = {}
+    for r in rows:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert len(rows) == 10_000 and all(sorted(s) == list(range(len(s))) for s in slots.values())
