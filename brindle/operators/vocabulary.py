@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions.vectors import squared_distance
 from brindle.sources.shared import cut
+from brindle.sources.text import numbered
 
 
 def mean_vectors(points: DataFrame, by: list[str], vec_col: str = "vec") -> DataFrame:
@@ -67,17 +68,32 @@ def split_level(points: DataFrame, k: int, least: int, rounds: int, epsilon: flo
     return placed.join(numbered, ["cid", "k"]).select("kp_id", F.col("new").alias("cid"), "vec", F.col("cid").alias("parent"))
 
 
-def hierarchy(descriptors: DataFrame, k: int = 10, levels: int = 1, least: int = 15, rounds: int = 15, epsilon: float = 100.0, seed: int = 1) -> DataFrame:
-    """(kp_id, level, cid, parent): the cluster of every point on levels 1 to ``levels``; level 0 is one cluster with id 0."""
-    points = descriptors.select("kp_id", F.lit(0).cast("long").alias("cid"), "vec")
+def hierarchy(descriptors: DataFrame, k: int = 10, levels: int = 1, least: int = 15, rounds: int = 15, epsilon: float = 100.0, seed: int = 1, start: DataFrame | None = None, done: int = 0) -> DataFrame:
+    """(kp_id, level, cid, parent): the cluster of every point on levels 1 to ``levels``; level 0 is one cluster with id 0.
+
+    With ``start``, the clusters (kp_id, cid) of level ``done`` of an earlier run, only the levels after it are built; they are those of a run in one go.
+    """
+    points = descriptors.select("kp_id", F.lit(0).cast("long").alias("cid"), "vec") if start is None else descriptors.select("kp_id", "vec").join(start.select("kp_id", "cid"), "kp_id")
     out = None
-    for level in range(1, levels + 1):
+    for level in range(done + 1, levels + 1):
         points = cut(split_level(points.select("kp_id", "cid", "vec"), k, least, rounds, epsilon, seed + 1000 * level))
         rows = points.select("kp_id", F.lit(level).alias("level"), "cid", "parent")
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
+def resumed(level: DataFrame, descriptors: DataFrame) -> DataFrame:
+    """(kp_id, cid) from the rows (kind, a, b) of a level file: its points in the order of kp_id. Raises if the file is of other descriptors, or its sizes aren't those of its points."""
+    points = level.where("kind = 'point'").select(F.col("a").alias("__position"), F.col("b").alias("cid"))
+    found = cut(numbered(descriptors.select("kp_id"), "kp_id", "__position").join(points, "__position", "full").select("kp_id", "cid"))
+    sizes = level.where("kind = 'size'").select(F.col("a").alias("cid"), F.col("b").alias("n"))
+    own = found.groupBy("cid").agg(F.count("*").alias("own"))
+    wrong = own.join(sizes, "cid", "full").where("cid IS NULL OR NOT own <=> n")
+    if not found.where("kp_id IS NULL OR cid IS NULL").isEmpty() or not wrong.isEmpty():
+        raise ValueError("the level file doesn't fit the descriptors")
+    return found
+
+
 def level_edges(assigned: DataFrame) -> DataFrame:
     """(level, parent, n_children)"""
     return assigned.groupBy("level", "parent").agg(F.countDistinct("cid").alias("n_children"))

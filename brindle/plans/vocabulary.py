@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from brindle.operators import vocabulary as v
 from brindle.plans.registry import query
 from brindle.plans.tables import DESCRIPTORS, descriptors
+from brindle.sources import text
+from brindle.sources.shared import cut, scratch
 
 #: A fixed two-level clustering: five clusters, each with three children.
 ASSIGNED = f"""{DESCRIPTORS}, assigned AS (SELECT kp_id, 1 AS level, kp_id % 5 AS cid, 0 AS parent FROM descriptors UNION ALL SELECT kp_id, 2, kp_id % 5 * 3 + (kp_id // 5) % 3, kp_id % 5 FROM descriptors)"""
@@ -78,3 +80,21 @@ def lloyd(spark, sf_dir):
 @query("c2_hierarchical_vocabulary")
 def hierarchy(spark, sf_dir):
     return v.hierarchy(descriptors(spark, sf_dir), k=10, levels=2, least=15, rounds=15, epsilon=0.05)
+
+
+@query("c2_resumed_vocabulary")
+def resumed(spark, sf_dir):
+    """The second level from a written first one; tested to be that of ``c2_hierarchical_vocabulary``."""
+    d, prefix, options = descriptors(spark, sf_dir), scratch(spark, "level"), {"k": 10, "least": 15, "rounds": 15, "epsilon": 0.05}
+    text.write_level(cut(v.hierarchy(d, levels=1, **options)), prefix)
+    return v.hierarchy(d, levels=2, start=v.resumed(text.read_level(spark, prefix), d), done=1, **options)
+
+
+@query("s10_level_parts", f"""WITH {ASSIGNED}, l AS (SELECT * FROM assigned WHERE level = 2)
+    SELECT 'edge' AS kind, parent AS a, count(DISTINCT cid) AS b FROM l GROUP BY parent UNION ALL SELECT 'size', cid, count(*) FROM l GROUP BY cid
+    UNION ALL SELECT 'point', row_number() OVER (ORDER BY kp_id) - 1, cid FROM l""")
+def level_parts(spark, sf_dir):
+    """A level written and read in ordered parts."""
+    prefix = scratch(spark, "level")
+    text.write_level(assigned(spark, sf_dir).where("level = 2"), prefix, count=100)
+    return text.read_level(spark, prefix)

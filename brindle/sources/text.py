@@ -178,14 +178,39 @@ def format_features(rows: list[tuple], kind: str = "lowe") -> str:
     return "".join(out)
 
 
+def _tokens(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """(p, v) of the values of a file, or of a folder of parts in the order of their names, numbered from 0."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("part"), F.split(F.btrim("value", F.lit(" \n\r\t")), r"\s+").alias("v")).where("v[0] <> ''")
+    sizes = whole.select("part", (F.sum(F.size("v")).over(Window.orderBy("part")) - F.size("v")).alias("before"))  # over parts
+    return whole.join(F.broadcast(sizes), "part").select("before", F.posexplode("v").alias("p", "v")).select((F.col("before") + F.col("p")).alias("p"), F.col("v").cast(kind).alias("v"))
+
+
+def write_level(assigned: DataFrame, prefix: str, count: int = 1 << 18) -> None:
+    """A level (kp_id, cid, parent) as the three sections of a level file beside each other, each a folder of ordered parts of about ``count`` values.
+
+    _edges has parent and number of children, _sizes cluster and number of points, in their order, and _points the cluster of each point in the order of kp_id.
+    """
+    pairs = {"edges": assigned.groupBy("parent").agg(F.countDistinct("cid").alias("n")), "sizes": assigned.groupBy("cid").agg(F.count("*").alias("n"))}
+    for name, df in pairs.items():
+        in_order(df, df.columns[0], count=count).select(F.concat_ws(" ", *[F.col(c).cast("string") for c in df.columns])).write.text(f"{prefix}_{name}")
+    in_order(assigned.select("kp_id", "cid"), "kp_id", count=count).select(F.col("cid").cast("string")).write.text(f"{prefix}_points")
+
+
+def read_level(spark: SparkSession, prefix: str) -> DataFrame:
+    """The rows of ``read_level_file`` from the folders of ``write_level``."""
+
+    def pairs(name, kind):
+        t = _tokens(spark, f"{prefix}_{name}", "long").groupBy(F.expr("p div 2").alias("i")).agg(F.max(F.when(F.col("p") % 2 == 0, F.col("v"))).alias("a"), F.max(F.when(F.col("p") % 2 == 1, F.col("v"))).alias("b"))
+        return t.select(F.lit(kind).alias("kind"), "a", "b")
+
+    points = _tokens(spark, f"{prefix}_points", "long").select(F.lit("point").alias("kind"), F.col("p").cast("long").alias("a"), F.col("v").alias("b"))
+    return pairs("edges", "edge").unionByName(pairs("sizes", "size")).unionByName(points)
+
+
 def sparse_matrix(spark: SparkSession, prefix: str, scaling: str = "tfn") -> DataFrame:
     """(doc_id, word_id, val) of a compressed-column matrix: _col_ccs, _row_ccs and _<scaling>_nz beside each other, each a file or a folder of parts in the order of their names."""
 
-    def tokens(name, kind):
-        whole = spark.read.text(f"{prefix}_{name}", wholetext=True).select(F.col("_metadata.file_name").alias("part"), F.split(F.btrim("value", F.lit(" \n\r\t")), r"\s+").alias("v")).where("v[0] <> ''")
-        sizes = whole.select("part", (F.sum(F.size("v")).over(Window.orderBy("part")) - F.size("v")).alias("before"))  # over parts
-        return whole.join(F.broadcast(sizes), "part").select("before", F.posexplode("v").alias("p", "v")).select((F.col("before") + F.col("p")).alias("p"), F.col("v").cast(kind).alias("v"))
-
+    tokens = lambda name, kind: _tokens(spark, f"{prefix}_{name}", kind)
     starts = tokens("col_ccs", "long").select(F.col("p").alias("doc_id"), F.col("v").alias("a"))
     ends = starts.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b"))
     places = starts.join(ends, "doc_id").where("b > a").select("doc_id", F.explode(F.sequence("a", F.col("b") - 1)).alias("p"))
