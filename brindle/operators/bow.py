@@ -13,8 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a query set that is broadcast (about 64 MB).
-QUERY_ROWS = 1_000_000
+#: Rows of a query set that is broadcast, and bytes of its words.
+QUERY_ROWS, QUERY_BYTES = 1_000_000, 64 << 20
 
 
 def term_counts(postings: DataFrame) -> DataFrame:
@@ -52,15 +52,21 @@ def factors(weighted: DataFrame) -> DataFrame:
     return weighted.groupBy("fid").agg(F.sqrt(F.sum(F.col("n") * F.col("tfidf") * F.col("tfidf"))).alias("factor"))
 
 
-def matches(query: DataFrame, index: DataFrame, rows: int = QUERY_ROWS, part: int = 100_000) -> DataFrame:
-    """Rows of ``query`` (qfid, word, ...) and ``index`` (fid, word, ...) of equal words. ``query`` is read twice."""
-    if query.limit(rows + 1).count() <= rows:
+def is_small(query: DataFrame, rows: int = QUERY_ROWS) -> bool:
+    """Whether rows of ``query`` (word and numbers) are few and short enough to be broadcast."""
+    n, size = query.select("word").limit(rows + 1).agg(F.count("*"), F.sum(F.octet_length(F.col("word").cast("string")))).first()
+    return n <= rows and (size or 0) <= QUERY_BYTES
+
+
+def matches(query: DataFrame, index: DataFrame, rows: int = QUERY_ROWS, part: int = 100_000, by: str = "fid") -> DataFrame:
+    """Rows of ``query`` (qfid, word, ...) and ``index`` (``by``, word, ...) of equal words. ``query`` is read twice."""
+    if is_small(query, rows):
         return index.join(F.broadcast(query), "word")
     # A word of many images is dealt into parts of about ``part`` images; its query rows go to each.
     parts = index.groupBy("word").agg(F.ceil(F.count("*") / F.lit(part)).cast("int").alias("__parts")).where("__parts > 1")
     known = lambda df: df.join(parts, "word", "left").withColumn("__parts", F.coalesce("__parts", F.lit(1)))
     own = known(query).withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts")
-    dealt = known(index).withColumn("__part", F.pmod(F.xxhash64("fid"), "__parts").cast("int")).drop("__parts")
+    dealt = known(index).withColumn("__part", F.pmod(F.xxhash64(by), "__parts").cast("int")).drop("__parts")
     return dealt.join(own, ["word", "__part"]).drop("__part")
 
 

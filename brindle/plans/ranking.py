@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.operators import bow
+from brindle.operators import blocks, bow
 from brindle.plans.registry import query
 from brindle.plans.tables import DESCRIPTORS, IMAGES, INDEX, POSTINGS, RANKED, descriptors, images, postings
 from brindle.sources.shared import cut
@@ -88,6 +88,20 @@ def augmented(spark, sf_dir):
     return bow.top(bow.similarities(asked, weighted, bow.factors(weighted)), 20)
 
 
+@query("t1_bounded_ranking", f"WITH {RANKED} SELECT qfid, fid, sim, rank FROM ranked")
+def t1_bounded(spark, sf_dir):
+    """The flagship's rows from an index in blocks."""
+    found = blocks.build(bow.term_counts(postings(spark, sf_dir)))
+    return blocks.top(found.rows.where(ASKED), found, 50)
+
+
+@query("t1_rows_matched")
+def t1_work(spark, sf_dir):
+    """Postings of each query's words and the rows that t1_bounded_ranking matched instead; tested against numpy."""
+    found = blocks.build(bow.term_counts(postings(spark, sf_dir)))
+    return blocks.work(found.rows.where(ASKED), found, 50)
+
+
 @query("j1_postings_with_paths", f"WITH {POSTINGS}, {IMAGES} SELECT path, count(*) AS n, count(DISTINCT word) AS n_words FROM postings JOIN images USING (fid) GROUP BY path")
 def j1(spark, sf_dir):
     counts = bow.term_counts(postings(spark, sf_dir)).groupBy("fid").agg(F.sum("n").alias("n"), F.count("*").alias("n_words"))

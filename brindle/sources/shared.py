@@ -33,3 +33,18 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, with its lineage cut."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet below the shared folder and read back, with its columns, statistics and no lineage."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, name: str, buckets: int, by: str, *order: str) -> DataFrame:
+    """``df`` as a Parquet table below the shared folder in ``buckets`` by column ``by``, sorted by it and ``order``: grouping by it needs no shuffle."""
+    path = scratch(df.sparkSession, name)
+    table = f"brindle_{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, by).sortBy(by, *order).option("path", path).saveAsTable(table)
+    return df.sparkSession.table(table)
