@@ -1,7 +1,7 @@
 """Binary files of fixed-length records behind a header: descriptor matrices and raw feature files.
 
 One Spark data source, ``records``, plans partitions of row ranges over a file or a folder of ``part-`` files; tasks seek to
-their rows and yield Arrow batches. Row numbers run over all files in the order of their names, so ids don't depend on the
+their rows and yield Arrow batches, and writes parts that appear when the job commits. Row numbers run over all files in the order of their names, so ids don't depend on the
 partitioning. Paths go through pyarrow's filesystems, by URI.
 
 Layouts: ``vectors`` (uint32 element size, rows, columns; rows of float32 or uint16), ``features`` (int64 count, int32 limit;
@@ -12,15 +12,16 @@ from __future__ import annotations
 
 import os
 import struct
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 HEADER = 12
 ELEMENTS = {4: "<f4", 2: "<u2"}
@@ -90,8 +91,91 @@ class RecordReader(DataSourceReader):
         return pa.RecordBatch.from_pydict(columns | {"vec": vec})
 
 
+@dataclass
+class Written(WriterCommitMessage):
+    path: str | None
+    order: int
+    rows: int
+    width: int
+
+
+class RecordWriter(DataSourceArrowWriter):
+    """Tasks stage their parts with whole headers in a folder of the job; the commit moves them behind the parts there are, and ``overwrite`` then removes those.
+
+    Parts follow the partitions' order. Rows of unequal widths, in one part or between parts, are an error, as are null vectors. A failed job, and attempts that
+    don't count, leave nothing behind.
+    """
+
+    def __init__(self, options: dict, overwrite: bool):
+        self.uri, self.layout, self.overwrite = options["path"], options.get("layout", "vectors"), overwrite
+        self.element, self.limit = options.get("element", "<f4"), int(options.get("limit", 0))
+        self.folder = f"_{uuid.uuid4().hex}"
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        task = TaskContext.get()
+        store, root = fs.FileSystem.from_uri(self.uri)
+        store.create_dir(f"{root}/{self.folder}", recursive=True)
+        own, n, kind = f"{root}/{self.folder}/{task.partitionId():06d}-{task.taskAttemptId()}", 0, None
+        with store.open_output_stream(f"{own}.body") as out:
+            for batch in iterator:
+                if batch.num_rows:
+                    rows = self.records(batch)
+                    if kind is not None and rows.dtype != kind:
+                        raise ValueError("rows of unequal widths")
+                    out.write(rows.tobytes())
+                    n, kind = n + len(rows), rows.dtype
+        if not n:
+            return Written(None, task.partitionId(), 0, 0)
+        width = kind["vec"].shape[0]
+        with store.open_output_stream(own) as out, store.open_input_stream(f"{own}.body") as data:
+            out.write(struct.pack("<3I", kind["vec"].base.itemsize, n, width) if self.layout == "vectors" else struct.pack("<qi", n, self.limit))
+            while block := data.read(1 << 20):
+                out.write(block)
+        return Written(own, task.partitionId(), n, width)
+
+    def records(self, batch: pa.RecordBatch) -> np.ndarray:
+        vec = batch.column(batch.schema.get_field_index("vec"))
+        sizes = np.unique(vec.value_lengths().to_numpy(zero_copy_only=False))
+        if vec.null_count or len(sizes) != 1:
+            raise ValueError("null vectors or rows of unequal widths")
+        flat = vec.flatten()
+        if flat.null_count:
+            raise ValueError("null entries")
+        width = int(sizes[0])
+        kind = np.dtype([("vec", self.element, (width,))]) if self.layout == "vectors" else FEATURES if self.layout == "features" else PCA_FEATURES
+        rows = np.zeros(batch.num_rows, kind)
+        rows["vec"] = flat.to_numpy(zero_copy_only=False).reshape(-1, width)
+        if self.layout != "vectors":
+            column = lambda name: batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
+            rows["fid"], rows["sid"] = column("fid"), column("sid")
+            rows["info"] = np.stack([column(name) for name in NAMES[self.layout]], axis=1)
+        return rows
+
+    def commit(self, messages: list[Written | None]) -> None:
+        store, root = fs.FileSystem.from_uri(self.uri)
+        parts = sorted((m for m in messages if m and m.rows), key=lambda m: m.order)
+        if len({m.width for m in parts}) > 1:
+            raise ValueError("parts of unequal widths")
+        store.create_dir(root, recursive=True)
+        old = sorted(os.path.basename(f.path) for f in store.get_file_info(fs.FileSelector(root)) if os.path.basename(f.path).startswith("part-"))
+        start = int(old[-1].removeprefix("part-")) + 1 if old else 0
+        for i, m in enumerate(parts, start):
+            store.move(m.path, f"{root}/part-{i:06d}")
+        for name in old if self.overwrite else ():
+            store.delete_file(f"{root}/{name}")
+        self._clean()
+
+    def abort(self, messages: list[Written | None]) -> None:
+        self._clean()
+
+    def _clean(self) -> None:
+        store, root = fs.FileSystem.from_uri(self.uri)
+        if store.get_file_info(f"{root}/{self.folder}").type != fs.FileType.NotFound:
+            store.delete_dir(f"{root}/{self.folder}")
+
+
 class RecordSource(DataSource):
-    """``spark.read.format("records").option("layout", "vectors").load(uri)``."""
+    """``spark.read.format("records").option("layout", "vectors").load(uri)`` and ``df.write.format("records").mode("append" or "overwrite").save(uri)``."""
 
     @classmethod
     def name(cls) -> str:
@@ -103,6 +187,9 @@ class RecordSource(DataSource):
     def reader(self, schema) -> RecordReader:
         return RecordReader(self.options)
 
+    def writer(self, schema, overwrite: bool) -> RecordWriter:
+        return RecordWriter(self.options, overwrite)
+
 
 def read(spark: SparkSession, uri: str, layout: str = "vectors", **options) -> DataFrame:
     spark.dataSource.register(RecordSource)
@@ -110,42 +197,12 @@ def read(spark: SparkSession, uri: str, layout: str = "vectors", **options) -> D
 
 
 def write(df: DataFrame, uri: str, layout: str = "vectors", element: str = "<f4", limit: int = 0) -> int:
-    """Writes ``part-`` files in the order of kp_id; returns the number of records. A repeated task replaces its part."""
-    info = list(NAMES.get(layout, ()))
-
-    def run(frames):
-        from pyspark import TaskContext
-
-        task = TaskContext.get()
-        store, root = fs.FileSystem.from_uri(uri)
-        store.create_dir(root, recursive=True)
-        own, n, kind = f"{root}/_{task.partitionId():06d}-{task.taskAttemptId()}", 0, None
-        body = f"{own}.body"
-        with store.open_output_stream(body) as out:
-            for f in frames:
-                if not len(f):
-                    continue
-                vec = np.stack(f["vec"].to_numpy())
-                kind = np.dtype([("vec", element, (vec.shape[1],))]) if layout == "vectors" else FEATURES if layout == "features" else PCA_FEATURES
-                rows = np.zeros(len(f), kind)
-                rows["vec"] = vec
-                if layout != "vectors":
-                    rows["fid"], rows["sid"], rows["info"] = f["fid"], f["sid"], f[info].to_numpy()
-                out.write(rows.tobytes())
-                n += len(f)
-        if n:
-            header = struct.pack("<3I", kind["vec"].base.itemsize, n, kind["vec"].shape[0]) if layout == "vectors" else struct.pack("<qi", n, limit)
-            with store.open_output_stream(own) as out, store.open_input_stream(body) as data:
-                out.write(header)
-                while block := data.read(1 << 20):
-                    out.write(block)
-            store.move(own, f"{root}/part-{task.partitionId():06d}")
-        store.delete_file(body)
-        yield pd.DataFrame({"n": [n]})
-
-    columns = ["kp_id", "vec"] if layout == "vectors" else ["kp_id", "fid", "sid", *info, "vec"]
-    ordered = df.select(*columns).repartitionByRange("kp_id").sortWithinPartitions("kp_id")
-    return ordered.mapInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0
+    """Replaces the folder's parts by ``df`` in the order of kp_id; returns the number of records."""
+    df.sparkSession.dataSource.register(RecordSource)
+    names = ["vec"] if layout == "vectors" else ["fid", "sid", *NAMES[layout], "vec"]
+    ordered = df.select("kp_id", *names).repartitionByRange("kp_id").sortWithinPartitions("kp_id")
+    ordered.write.format("records").options(layout=layout, element=element, limit=limit).mode("overwrite").save(uri)
+    return sum(p.end - p.start for p in RecordReader({"path": uri, "layout": layout}).partitions())
 
 
 def merge(uri: str, target: str, layout: str = "vectors") -> int:
