@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from brindle.functions import paths, vectors
+from brindle.functions import paths, sql, vectors
 from brindle.plans.registry import query
 from brindle.plans.tables import DESCRIPTORS, IMAGES, descriptors, images, read
 
@@ -50,6 +50,28 @@ def x10(spark, sf_dir):
     return descriptors(spark, sf_dir).select("kp_id", rounded(vectors.normalise_l1(F.col("vec"))).alias("l1"), rounded(vectors.normalise_l2(F.col("vec"))).alias("l2"))
 
 
+@query("x7_x9_sql_functions", f"WITH {PAIRS} SELECT kp_id, round({SQUARED}, 6) AS squared, round(sqrt({SQUARED}), 6) AS distance, round(list_sum([a[i] * b[i] for i in range(1, len(a) + 1)]), 6) AS dot FROM pairs")
+def x7_sql(spark, sf_dir):
+    """The functions as a user of SQL calls them."""
+    sql.register(spark)
+    return spark.sql("SELECT kp_id, round(vec_squared_distance(a, b), 6) AS squared, round(vec_distance(a, b), 6) AS distance, round(vec_dot(a, b), 6) AS dot FROM {pairs}", pairs=pairs(spark, sf_dir))
+
+
+@query(
+    "x10_x12_sql_functions",
+    f"""WITH {SHARES} SELECT kp_id, [round(x, 6) for x in a] AS l1, [round(x / sqrt(list_sum([y * y for y in a])), 6) for x in a] AS l2, round(least({KL.format(p='a', q='b')}, 1e20), 6) AS kl,
+    round(least(list_sum([a[i] * ln(a[i] / ((b[i] + 0.5 / len(b)) / 1.5)) for i in range(1, len(a) + 1) if a[i] > 0]), 1e20), 6) AS smoothed,
+    round(0.75 * {KL.format(p='a', q=f'({MEAN})')} + 0.25 * {KL.format(p='b', q=f'({MEAN})')}, 6) AS js FROM shares""",
+)
+def x10_sql(spark, sf_dir):
+    sql.register(spark)
+    text = """WITH absolute AS (SELECT kp_id, transform(a, x -> abs(x)) AS a, transform(b, x -> abs(x)) AS b FROM {pairs}),
+      shares AS (SELECT kp_id, vec_normalise_l1(a) AS a, vec_normalise_l1(b) AS b FROM absolute)
+    SELECT kp_id, transform(a, x -> round(x, 6)) AS l1, transform(vec_normalise_l2(a), x -> round(x, 6)) AS l2,
+      round(vec_kl(a, b), 6) AS kl, round(vec_kl_smoothed(a, b, 0.5D), 6) AS smoothed, round(vec_js(a, b, 3D, 1D), 6) AS js FROM shares"""
+    return spark.sql(text, pairs=pairs(spark, sf_dir))
+
+
 @query("a24_row_norms", f"""WITH {DESCRIPTORS} SELECT kp_id, round(list_sum([abs(x) for x in vec]), 6) AS l1, round(list_sum([x * x for x in vec]), 6) AS l2_squared,
     round(list_sum([CASE WHEN x > 0 THEN x * ln(x) ELSE 0 END for x in vec]), 6) AS entropy FROM descriptors""")
 def a24(spark, sf_dir):
