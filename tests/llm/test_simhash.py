@@ -110,3 +110,20 @@ def test_star_of_many_leaves(spark):
     star = spark.range(1, n).selectExpr("0 AS u", "id AS v").unionByName(spark.range(n + 1, n + 500).selectExpr("id AS u", "id + 1 AS v")).unionByName(spark.range(1).selectExpr("id AS u", "id AS v"))
     got = components(star).groupBy("root").count().collect()
     assert sorted((r.root, r["count"]) for r in got) == [(0, n), (n + 1, 500)]
+
+
+def test_small_rounds_lie_in_few_partitions(spark):
+    from pyspark.sql import functions as F
+
+    from brindle.llm.components import components
+
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", 40)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = components(spark.range(1, 300).select(F.col("id").alias("u"), F.floor(F.col("id") / 3).alias("v")))
+        assert got.rdd.getNumPartitions() <= 8 + 40  # the rows of a round, and the roots drawn from them
+        assert {r.root for r in got.collect()} == {0} and got.count() == 300
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
