@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
+from brindle.functions.vectors import rounded
 from brindle.operators import bow
 from brindle.plans.ranking import ranked
 from brindle.plans.registry import query
@@ -17,7 +18,7 @@ from brindle.sources.shared import cut, scratch
 def vector_file(spark, sf_dir):
     folder = scratch(spark, "vectors")
     records.write(descriptors(spark, sf_dir), folder)
-    return records.read(spark, folder, rows=100).select("kp_id", F.transform("vec", lambda x: F.round(x.cast("double"), 6)).alias("vec"))
+    return records.read(spark, folder, rows=100).select("kp_id", F.transform("vec", lambda x: rounded(x.cast("double"))).alias("vec"))
 
 
 @query("s5_feature_file", "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS kp_id, vec_id // 10 AS fid, label::INT AS sid, vec_id % 640 AS x, vec_id % 480 AS y, CAST(2 AS DOUBLE) AS scl, CAST(0 AS DOUBLE) AS ori, CAST(0.5 AS DOUBLE) AS contr, CAST(1 AS DOUBLE) AS rpc, round(list_sum([CAST(x AS DOUBLE) for x in embedding]) * 2, 5) AS total FROM embeddings")
@@ -75,7 +76,7 @@ def dense(spark, sf_dir):
     head = d.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("vec")), F.lit(0)).alias("width")).select(F.lit(0).alias("k"), F.lit(None).cast("long").alias("kp_id"), lines("n", "width"))
     body = d.select(F.lit(1).alias("k"), "kp_id", F.array_join(F.col("vec").cast("array<string>"), " ").alias("line"))
     text.write_positional(head.unionByName(body), path, "k", "kp_id")
-    return text.dense_matrix(spark, path).select("doc_id", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
+    return text.dense_matrix(spark, path).select("doc_id", F.transform("vec", lambda x: rounded(x)).alias("vec"))
 
 
 @query("s13_labels", "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS doc_id, label::DOUBLE AS label FROM embeddings")
@@ -122,7 +123,7 @@ def words_file(spark, sf_dir):
 def _feature_files(spark, sf_dir, kind):
     """A feature file for each image, read back."""
     e, path = descriptors(spark, sf_dir), scratch(spark, kind)
-    rows = e.select("fid", "kp_id", (F.col("kp_id") % 640).alias("x"), (F.col("kp_id") % 480).alias("y"), "vec")
+    rows = e.select("fid", "kp_id", (F.col("kp_id") % 640).alias("x"), (F.col("kp_id") % 480).alias("y"), F.transform("vec", lambda x: rounded(x)).alias("vec") if kind == "oxford" else "vec")
 
     def run(f):
         f = f.sort_values("kp_id")
@@ -131,7 +132,7 @@ def _feature_files(spark, sf_dir, kind):
 
     rows.groupBy("fid").applyInPandas(run, "fid long, value string").write.partitionBy("fid").text(path)
     found = text.read_features(spark, path, kind)
-    return found.select(F.col("fid").cast("long").alias("fid"), "x", "y", "scl", "ori", "a", "b", "c", F.transform("vec", lambda v: F.round(v, 6)).alias("vec"))
+    return found.select(F.col("fid").cast("long").alias("fid"), "x", "y", "scl", "ori", "a", "b", "c", F.transform("vec", lambda x: rounded(x)).alias("vec"))
 
 
 @query("s14_lowe_features", f"WITH {DESCRIPTORS} SELECT fid, (kp_id % 640)::DOUBLE AS x, (kp_id % 480)::DOUBLE AS y, 2.5::DOUBLE AS scl, 0.25::DOUBLE AS ori, 0::DOUBLE AS a, 0::DOUBLE AS b, 0::DOUBLE AS c, [floor(abs(v) * 255)::DOUBLE for v in vec] AS vec FROM descriptors")
