@@ -172,3 +172,23 @@ def test_descriptors_are_clipped_once():
     unit /= np.sqrt((unit * unit).sum())
     assert unit.max() > 0.2 and sift.whole_numbers(v).tolist() == np.minimum(255, (512 * unit).astype(int)).tolist()
     assert not sift.whole_numbers(np.zeros(128)).any()
+
+
+def test_images_are_dealt_over_tasks(spark, monkeypatch):
+    """A table in one small file, whose images take long: they go to as many tasks as they need."""
+    from pyspark.sql import functions as F
+
+    from brindle.plans import imaging
+
+    monkeypatch.setattr(imaging, "PART_IMAGES", 25)
+    images = imaging.drawn(spark, "/root/testdata/sf0.001")
+    sizes = [r.n for r in images.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 20 and sum(sizes) == 500 and max(sizes) <= 40
+    assert images.select("fid").distinct().count() == 500
+
+
+def test_cubes_by_axis():
+    dog = np.random.default_rng(3).normal(size=(5, 9, 11))
+    cubes = np.lib.stride_tricks.sliding_window_view(dog, (3, 3, 3))
+    assert np.array_equal(sift._around(dog, np.maximum), cubes.max(axis=(3, 4, 5)))
+    assert np.array_equal(sift._around(dog, np.minimum), cubes.min(axis=(3, 4, 5)))
