@@ -192,3 +192,20 @@ def test_cubes_by_axis():
     cubes = np.lib.stride_tricks.sliding_window_view(dog, (3, 3, 3))
     assert np.array_equal(sift._around(dog, np.maximum), cubes.max(axis=(3, 4, 5)))
     assert np.array_equal(sift._around(dog, np.minimum), cubes.min(axis=(3, 4, 5)))
+
+
+def test_basis_sample_orders_ids_first(spark, monkeypatch):
+    """Only the sample's images are ordered; before, each part left ``sample`` images to one task. Null and repeated ids count as rows."""
+    from pyspark.sql import functions as F
+
+    rows = [(None if i % 9 == 7 else i // 2, bytes([i])) for i in range(60)]
+    df, held = spark.createDataFrame(rows, "fid long, content binary").repartition(20), []
+    monkeypatch.setattr(image_features, "extract", lambda few, **options: held.append(few) or spark.createDataFrame([([0.0, 1.0],), ([1.0, 0.0],)], "vec array<double>"))
+    for sample in (3, 12, 100):
+        image_features.learn_basis(df, sample=sample)
+        want = df.select("fid").orderBy(F.xxhash64("fid"), "fid").limit(sample)
+        assert sorted(str(r.fid) for r in held[-1].collect()) == sorted(str(r.fid) for r in want.collect())
+    assert None in {r.fid for r in held[-1].collect()}
+    image_features.learn_basis(df, sample=3)
+    plan = held[-1]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" in plan and plan.index("Sort") < plan.index("Filter")
