@@ -209,3 +209,17 @@ def test_basis_sample_orders_ids_first(spark, monkeypatch):
     image_features.learn_basis(df, sample=3)
     plan = held[-1]._jdf.queryExecution().optimizedPlan().toString()
     assert "Filter" in plan and plan.index("Sort") < plan.index("Filter")
+
+
+def test_tokens_pass_sizes_only_through_one_task(spark, tmp_path):
+    """The window over parts has part names and sizes; before, it had the values of all parts."""
+    from brindle.sources import text
+
+    (tmp_path / "x").mkdir()
+    for name, values in (("a", "5 6\n7"), ("b", ""), ("c", "8\n9\n")):
+        (tmp_path / "x" / name).write_text(values)
+    found = text._tokens(spark, f"file://{tmp_path}/x", "long")
+    assert sorted(tuple(r) for r in found.collect()) == [(0, 5), (1, 6), (2, 7), (3, 8), (4, 9)]
+    window = next(line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in line)
+    below = found._jdf.queryExecution().optimizedPlan().toString().split(window)[1].splitlines()[1]
+    assert "Project [" in below and "size(" in below and " AS v#" not in below and ", v#" not in below
