@@ -86,3 +86,10 @@ def test_empty(spark):
     m = sparse.matrix(spark.createDataFrame([], "doc_id long, word_id long, val double"), 10, 2)
     found, _ = sparse.kmeans(m, "random")
     assert found.count() == 0
+
+
+def test_a_round_without_bounds_writes_sums_only(spark, table, monkeypatch):
+    names, write = [], sparse.written
+    monkeypatch.setattr(sparse, "written", lambda df, name, *by: names.append(name) or write(df, name, *by))
+    sparse.kmeans(sparse.matrix(table[0], WORDS, K), "random", bounds=False, rounds=2)
+    assert set(names) == {"sums", "labels"}
