@@ -47,7 +47,8 @@ def region_pairs(queries: DataFrame, keypoints: DataFrame) -> DataFrame:
     p = queries.select(F.col("fid").alias("qfid"), "word", F.struct("k", "x", "y", "scl", "ori", "tfidf").alias("p"), F.explode("segs").alias("qseg"))
     q = keypoints.select("fid", "word", F.struct("k", "x", "y", "scl", "ori", "tfidf").alias("q"), F.explode("segs").alias("seg"))
     order = Window.partitionBy(*GROUP).orderBy("p.k", "q.k")
-    return p.join(q, "word").withColumn("i", F.row_number().over(order) - 1).select(*GROUP, "i", "p", "q")
+    # By images, so that the pairs' numbers, region pairs and images all follow from one shuffle.
+    return p.join(q, "word").repartition("qfid", "fid").withColumn("i", F.row_number().over(order) - 1).select(*GROUP, "i", "p", "q")
 
 
 def _descents(labels: Column) -> Column:
@@ -70,8 +71,8 @@ def _order(turned: Column, place: str, mode: str) -> Column:
     return F.transform(along, lambda m: F.get(ranked, m["i"])["i"])
 
 
-def consistency(pairs: DataFrame, limit: int = 2, lam: float = 2.0, piu: float = 1.0, mode: str = "as_written") -> DataFrame:
-    """(group, n, dori, mg, md, mall, tfidf) of region pairs with at least ``limit`` matched pairs.
+def consistency(pairs: DataFrame, limit: int = 2, lam: float = 2.0, piu: float = 1.0, mode: str = "as_written", small: bool = False) -> DataFrame:
+    """(group, n, dori, mg, md, mall, tfidf) of region pairs with at least ``limit`` matched pairs; with ``small`` of the others too, whose mall is 0.
 
     dori is the mean change of orientation weighted by mean scale; null where all scales are 0. Region pairs of fewer matches are dropped before their matches are
     gathered; the matches of one region pair, the product of two regions' keypoints of equal words at most, are ordered as arrays of a row.
@@ -80,14 +81,15 @@ def consistency(pairs: DataFrame, limit: int = 2, lam: float = 2.0, piu: float =
     enough = pairs.groupBy(*GROUP).agg(
         F.count("*").alias("n"), F.round(F.try_divide(F.sum(scale * change), F.sum(scale)), 9).alias("dori"), F.sum(F.col("p.tfidf") * F.col("q.tfidf")).alias("tfidf"),
         F.collect_list(F.struct("i", F.col("p.x").alias("px"), F.col("p.y").alias("py"), F.col("q.x").alias("qx"), F.col("q.y").alias("qy"), change.alias("turn"))).alias("m"),
-    ).where(F.col("n") >= limit)
+    ).where((F.col("n") >= limit) | F.lit(small))
     cos, sin, dori = F.cos("dori"), F.sin("dori"), F.col("dori")
     match = lambda value: F.transform("m", lambda m: F.struct(F.round(value(m["px"], m["py"]), 6).alias("v"), m["i"].alias("i"), m["qx"].alias("qx"), m["qy"].alias("qy")))
     across = _descents(_order(match(lambda x, y: x * cos - y * sin), "qx", mode))
     down = _descents(_order(match(lambda x, y: x * sin + y * cos), "qy", mode))
     squares = F.aggregate("m", F.lit(0.0), lambda total, m: total + (m["turn"] / (4 * PI) - dori / (4 * PI)) * (m["turn"] / (4 * PI) - dori / (4 * PI)))
     both = enough.select(*GROUP, "n", "dori", F.when(F.col("n") <= 1, 0.0).otherwise(-F.sqrt(squares / F.col("n"))).alias("md"), "tfidf", F.least(across, down).alias("mg"))
-    return both.withColumn("mall", F.greatest(F.lit(0.0), F.col("n") + F.lit(lam) * F.col("mg") + F.lit(piu) * F.col("n") * F.col("md")))
+    mall = F.greatest(F.lit(0.0), F.col("n") + F.lit(lam) * F.col("mg") + F.lit(piu) * F.col("n") * F.col("md"))
+    return both.withColumn("mall", F.when(F.col("n") >= limit, mall).otherwise(F.lit(0.0)))
 
 
 def region_scores(pairs: DataFrame, consistent: DataFrame, norms: DataFrame) -> DataFrame:
@@ -95,3 +97,9 @@ def region_scores(pairs: DataFrame, consistent: DataFrame, norms: DataFrame) ->
     images = pairs.select("qfid", "fid").distinct()
     sums = consistent.groupBy("qfid", "fid").agg(F.sum(F.col("mall") / F.col("n") * F.col("tfidf")).alias("s"))
     return images.join(sums, ["qfid", "fid"], "left").join(norms, "fid").where("factor > 0").select("qfid", "fid", F.round(F.coalesce("s", F.lit(0.0)) / F.col("factor"), 6).alias("sim"))
+
+
+def group_scores(consistent: DataFrame, norms: DataFrame) -> DataFrame:
+    """(qfid, fid, sim) as ``region_scores``, from region pairs with the ``small`` ones, so that the pairs aren't read again."""
+    sums = consistent.groupBy("qfid", "fid").agg(F.sum(F.col("mall") / F.col("n") * F.col("tfidf")).alias("s"))
+    return sums.join(norms, "fid").where("factor > 0").select("qfid", "fid", F.round(F.coalesce("s", F.lit(0.0)) / F.col("factor"), 6).alias("sim"))

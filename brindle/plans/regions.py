@@ -89,7 +89,7 @@ def weighted(spark, sf_dir):
 
 def pairs(spark, sf_dir):
     k, norms = weighted(spark, sf_dir)
-    return cut(regions.region_pairs(k.where("fid % 100 = 0"), k)), norms
+    return regions.region_pairs(k.where("fid % 100 = 0"), k), norms
 
 
 @query("j3_region_pairs", f"WITH {WEIGHTED} SELECT qfid, fid, qseg, seg, i, pk, qk FROM pairs")
@@ -106,4 +106,4 @@ def consistency(spark, sf_dir):
 @query("g5_region_ranking", f"WITH {WEIGHTED} SELECT *, row_number() OVER (PARTITION BY qfid ORDER BY sim DESC, fid DESC) AS rank FROM sc QUALIFY rank <= 50")
 def ranking(spark, sf_dir):
     p, norms = pairs(spark, sf_dir)
-    return bow.top(regions.region_scores(p, regions.consistency(p), norms), 50)
+    return bow.top(regions.group_scores(regions.consistency(p, small=True), norms), 50)
