@@ -160,7 +160,7 @@ def t7(spark, sf_dir):
 
 @query("s16_wide_marks", f"WITH {POSTINGS}, {IMAGES}, n AS (SELECT fid, count(*) AS n FROM postings GROUP BY fid) SELECT category, count(*) FILTER (n >= 10) AS m10, count(*) FILTER (n >= 100) AS m100, count(*) FILTER (n >= 1000) AS m1000 FROM n JOIN images USING (fid) GROUP BY category")
 def s16(spark, sf_dir):
-    sizes = bow.image_sizes(bow.term_counts(postings(spark, sf_dir))).join(images(spark, sf_dir), "fid")
+    sizes = postings(spark, sf_dir).groupBy("fid").agg(F.count("*").alias("nk")).join(images(spark, sf_dir), "fid")
     marks = sizes.withColumn("mark", F.explode(F.array(F.lit(10), F.lit(100), F.lit(1000)))).withColumn("over", F.when(F.col("nk") >= F.col("mark"), 1))
     wide = marks.groupBy("category").pivot("mark", [10, 100, 1000]).agg(F.count("over"))
     return wide.select("category", *[F.col(str(m)).alias(f"m{m}") for m in (10, 100, 1000)])
