@@ -131,7 +131,7 @@ def a23(spark, sf_dir):
 
 @query("a24_sparse_norms", f"WITH {INDEX} SELECT fid, round(sum(tf), 6) AS l1, round(sum(n * n)::BIGINT / max(nk * nk)::DOUBLE, 9) AS l2_squared, round(sum(tf * ln(tf)), 6) AS entropy FROM weights GROUP BY fid")
 def a24(spark, sf_dir):
-    w = bow.weights(cut(bow.term_counts(postings(spark, sf_dir))))
+    w = bow.frequencies(bow.term_counts(postings(spark, sf_dir)))
     tf = F.col("tf")
     return w.groupBy("fid").agg(F.round(F.sum(tf), 6).alias("l1"), F.round(F.sum(F.col("n") * F.col("n")) / F.max(F.col("nk") * F.col("nk")), 9).alias("l2_squared"), F.round(F.sum(tf * F.log(tf)), 6).alias("entropy"))
 

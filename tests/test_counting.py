@@ -21,7 +21,7 @@ def test_marks_need_no_counts_by_word(spark):
     assert not re.search(r"keys=\[fid#\w+, word#", plan(registry.QUERIES["s16_wide_marks"](spark, SF)))
 
 
-@pytest.mark.parametrize("name", ["a2_term_frequency"])
+@pytest.mark.parametrize("name", ["a2_term_frequency", "a24_sparse_norms"])
 def test_frequencies_shuffle_texts_only(spark, name):
     found = plan(registry.QUERIES[name](spark, SF))
     assert "Join" not in found and len(re.findall(r"\bExchange ", found)) == 1
