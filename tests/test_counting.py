@@ -25,3 +25,8 @@ def test_marks_need_no_counts_by_word(spark):
 def test_frequencies_shuffle_texts_only(spark, name):
     found = plan(registry.QUERIES[name](spark, SF))
     assert "Join" not in found and len(re.findall(r"\bExchange ", found)) == 1
+
+
+def test_mean_weights_are_not_joined_with_idf(spark):
+    found = plan(registry.QUERIES["c13_word_clusters"](spark, SF))
+    assert "regexp_extract_all" in found and not re.search(r"Join \[word#", found)
