@@ -30,3 +30,11 @@ def test_frequencies_shuffle_texts_only(spark, name):
 def test_mean_weights_are_not_joined_with_idf(spark):
     found = plan(registry.QUERIES["c13_word_clusters"](spark, SF))
     assert "regexp_extract_all" in found and not re.search(r"Join \[word#", found)
+
+
+def test_inverse_frequency_counts_once(spark):
+    assert "regexp_extract_all" not in plan(registry.QUERIES["a3_inverse_frequency"](spark, SF))
+
+
+#: Word 1 is in all images, the others in one each.
+COUNTS = [(fid, word, 1 + fid) for fid in range(3) for word in (1, 10 + fid)]
