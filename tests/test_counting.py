@@ -38,3 +38,14 @@ def test_inverse_frequency_counts_once(spark):
 
 #: Word 1 is in all images, the others in one each.
 COUNTS = [(fid, word, 1 + fid) for fid in range(3) for word in (1, 10 + fid)]
+
+
+def test_rare_words_go_to_given_parts(spark, monkeypatch):
+    monkeypatch.setattr(bow, "SHARE", 3)
+    counts = spark.createDataFrame([*COUNTS, (None, 1, 5)], "fid long, word long, n long")
+    idf = bow.inverse_frequency(counts)
+    found = bow.norms(counts, idf, 7)
+    assert len(re.findall(r"hashpartitioning\(word#\w+, 7\), REPARTITION_BY_NUM", plan(found))) == 2
+    total = sum(n for *_, n in COUNTS) + 5
+    square = math.log(total / 4) ** 2 + math.log(total / 1) ** 2
+    assert {r.fid: (r.nk, round(r.factor, 9)) for r in found.collect()} == {f: (2 * (1 + f), round(math.sqrt((1 + f) ** 3 * square) / (2 * (1 + f)), 9)) for f in range(3)}
