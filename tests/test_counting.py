@@ -49,3 +49,13 @@ def test_rare_words_go_to_given_parts(spark, monkeypatch):
     total = sum(n for *_, n in COUNTS) + 5
     square = math.log(total / 4) ** 2 + math.log(total / 1) ** 2
     assert {r.fid: (r.nk, round(r.factor, 9)) for r in found.collect()} == {f: (2 * (1 + f), round(math.sqrt((1 + f) ** 3 * square) / (2 * (1 + f)), 9)) for f in range(3)}
+
+
+def test_weights_go_to_given_parts_and_leave_out_images_without_id(spark, monkeypatch):
+    monkeypatch.setattr(bow, "SHARE", 3)
+    counts = spark.createDataFrame([*COUNTS, (None, 1, 5)], "fid long, word long, n long")
+    found = bow.weights(counts, 7)
+    assert len(re.findall(r"hashpartitioning\(word#\w+, 7\), REPARTITION_BY_NUM", plan(found))) == 2
+    total = sum(n for *_, n in COUNTS) + 5
+    want = {(f, w): (n, 2 * n, round(math.log(total / (4 if w == 1 else 1)) / 2, 9)) for f, w, n in COUNTS}
+    assert {(r.fid, r.word): (r.n, r.nk, round(r.tfidf, 9)) for r in found.collect()} == want
