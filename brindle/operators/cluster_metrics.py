@@ -66,6 +66,7 @@ def micro_precision_recall(table: DataFrame) -> DataFrame:
 
 def mutual_information(cells: DataFrame, priors: DataFrame) -> DataFrame:
     """(bits) of cells (doc_id, word, val) weighted by priors (doc_id, prior): sum of p v log2(v / weighted word mean)."""
-    weighted = cells.where("val > 0").join(priors, "doc_id").withColumn("pv", F.col("prior") * F.col("val"))
-    words = weighted.groupBy("word").agg(F.sum("pv").alias("row"))
-    return weighted.join(words, "word").agg(F.sum(F.col("pv") * F.log2(F.col("val") / F.col("row"))).alias("bits"))
+    weighted = cells.where("val > 0 AND word IS NOT NULL").join(priors, "doc_id").withColumn("pv", F.col("prior") * F.col("val"))
+    # A word's cells share its mean, so they enter by their sums and are not joined with it.
+    words = weighted.groupBy("word").agg(F.sum("pv").alias("row"), F.sum(F.col("pv") * F.log2("val")).alias("own"))
+    return words.agg(F.sum(F.col("own") - F.when(F.col("row") > 0, F.col("row") * F.log2("row")).otherwise(0.0)).alias("bits"))

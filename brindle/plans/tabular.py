@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from brindle.operators import bow, cluster_metrics, joins, sampling
+from brindle.plans.ranking import counted
 from brindle.plans.registry import query
 from brindle.plans.tables import DESCRIPTORS, IMAGES, INDEX, POSTINGS, descriptors, images, postings, read
-from brindle.sources.shared import cut
 
 HASH = "((({0} % 2147483648) + {1}) * 2654435761) % 4294967296"
 
@@ -122,10 +122,10 @@ def a22(spark, sf_dir):
     f"WITH {INDEX}, c AS (SELECT word, tf, nk::DOUBLE / (SELECT sum(nk) FROM sizes) AS prior FROM weights), r AS (SELECT word, sum(prior * tf) AS row FROM c GROUP BY word) SELECT round(sum(prior * tf * log2(tf / row)), 6) AS bits FROM c JOIN r USING (word)",
 )
 def a23(spark, sf_dir):
-    counts = cut(bow.term_counts(postings(spark, sf_dir)))
+    counts, _ = counted(spark, sf_dir)
     sizes = bow.image_sizes(counts)
     priors = sizes.join(F.broadcast(sizes.agg(F.sum("nk").alias("all")))).select(F.col("fid").alias("doc_id"), (F.col("nk") / F.col("all")).alias("prior"))
-    cells = counts.join(sizes, "fid").select(F.col("fid").alias("doc_id"), "word", (F.col("n") / F.col("nk")).alias("val"))
+    cells = bow.frequencies(counts).select(F.col("fid").alias("doc_id"), "word", F.col("tf").alias("val"))
     return cluster_metrics.mutual_information(cells, priors).select(F.round("bits", 6).alias("bits"))
 
 

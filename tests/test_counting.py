@@ -59,3 +59,15 @@ def test_weights_go_to_given_parts_and_leave_out_images_without_id(spark, monkey
     total = sum(n for *_, n in COUNTS) + 5
     want = {(f, w): (n, 2 * n, round(math.log(total / (4 if w == 1 else 1)) / 2, 9)) for f, w, n in COUNTS}
     assert {(r.fid, r.word): (r.n, r.nk, round(r.tfidf, 9)) for r in found.collect()} == want
+
+
+def test_information_joins_nothing_by_word(spark):
+    from brindle.operators import cluster_metrics
+
+    cells = [(1, "a", 0.5), (1, "b", 0.5), (2, "a", 0.25), (2, "c", 0.75), (3, "c", 0.0), (4, "a", 1.0)]
+    priors = {1: 0.5, 2: 0.25, 3: 0.25}
+    found = cluster_metrics.mutual_information(spark.createDataFrame(cells, "doc_id long, word string, val double"), spark.createDataFrame(list(priors.items()), "doc_id long, prior double"))
+    assert len(re.findall(r"\w+Join ", plan(found))) == 1
+    used = [(d, w, v) for d, w, v in cells if v and d in priors]
+    row = {w: sum(priors[d] * v for d, x, v in used if x == w) for _, w, _ in used}
+    assert found.first().bits == pytest.approx(sum(priors[d] * v * math.log2(v / row[w]) for d, w, v in used))
