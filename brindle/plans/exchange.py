@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from brindle.functions.vectors import rounded
 from brindle.operators import bow
-from brindle.plans.ranking import ranked
+from brindle.plans.ranking import counted, ranked
 from brindle.plans.registry import query
-from brindle.plans.tables import DESCRIPTORS, IMAGES, INDEX, RANKED, descriptors, images, postings, read
+from brindle.plans.tables import DESCRIPTORS, IMAGES, INDEX, RANKED, descriptors, images, read
 from brindle.sources import records, text
 from brindle.sources.shared import cut, scratch
 
@@ -56,9 +56,9 @@ def result_detail(spark, sf_dir):
 @query("s13_sparse_matrix", f"WITH {INDEX}, w AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS word_id FROM (SELECT DISTINCT word FROM counts)) SELECT fid AS doc_id, word_id, n::DOUBLE AS val FROM counts JOIN w USING (word)")
 def sparse(spark, sf_dir):
     """The matrix of all words by documents, written in ordered parts."""
-    counts = cut(bow.term_counts(postings(spark, sf_dir)))
-    words = cut(text.numbered(counts.select("word").distinct(), "word", "word_id"))
-    cells = counts.join(words, "word").select(F.col("fid").alias("doc_id"), "word_id", F.col("n").alias("val"))
+    counts, parts = counted(spark, sf_dir)
+    words = cut(text.numbered(counts.groupBy("word").agg(F.count("*").alias("ni")), "word", "word_id"))
+    cells = bow.by_word(counts, words, parts).select(F.col("fid").alias("doc_id"), "word_id", F.col("n").alias("val"))
     prefix = scratch(spark, "matrix")
     text.write_sparse_matrix(cells, words.count(), prefix)
     return text.sparse_matrix(spark, prefix)

@@ -71,3 +71,13 @@ def test_information_joins_nothing_by_word(spark):
     used = [(d, w, v) for d, w, v in cells if v and d in priors]
     row = {w: sum(priors[d] * v for d, x, v in used if x == w) for _, w, _ in used}
     assert found.first().bits == pytest.approx(sum(priors[d] * v * math.log2(v / row[w]) for d, w, v in used))
+
+
+def test_matrix_is_shuffled_once_into_given_parts(spark):
+    from brindle.operators import sparse
+
+    cells = spark.createDataFrame([(d, w, 1.0 + w) for d in range(40) for w in range(d % 5 + 1)], "doc_id long, word_id long, val double")
+    rows = sparse.matrix(cells, 5, 2, parts=9).rows
+    assert rows.count() == 40
+    grouped = rows.groupBy("doc_id").agg(F.count("*"))
+    assert grouped.rdd.getNumPartitions() == 9 and "Exchange" not in plan(grouped)
