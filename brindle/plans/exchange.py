@@ -71,12 +71,10 @@ def lines(*columns):
 
 @query("s13_dense_matrix", f"WITH {DESCRIPTORS} SELECT row_number() OVER (ORDER BY kp_id) - 1 AS doc_id, [round(x, 6) for x in vec] AS vec FROM descriptors")
 def dense(spark, sf_dir):
-    """A matrix file of the descriptors, read back by rows."""
-    d, path = descriptors(spark, sf_dir), scratch(spark, "dense")
-    head = d.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("vec")), F.lit(0)).alias("width")).select(F.lit(0).alias("k"), F.lit(None).cast("long").alias("kp_id"), lines("n", "width"))
-    body = d.select(F.lit(1).alias("k"), "kp_id", F.array_join(F.col("vec").cast("array<string>"), " ").alias("line"))
-    text.write_positional(head.unionByName(body), path, "k", "kp_id")
-    return text.dense_matrix(spark, path).select("doc_id", F.transform("vec", lambda x: rounded(x)).alias("vec"))
+    """A matrix of the descriptors in ordered parts, read back by rows."""
+    prefix = scratch(spark, "dense")
+    text.write_dense_matrix(descriptors(spark, sf_dir), prefix, "kp_id")
+    return text.dense_rows(spark, prefix).select("doc_id", F.transform("vec", lambda x: rounded(x)).alias("vec"))
 
 
 @query("s13_labels", "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS doc_id, label::DOUBLE AS label FROM embeddings")

@@ -223,3 +223,26 @@ def test_tokens_pass_sizes_only_through_one_task(spark, tmp_path):
     window = next(line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in line)
     below = found._jdf.queryExecution().optimizedPlan().toString().split(window)[1].splitlines()[1]
     assert "Project [" in below and "size(" in below and " AS v#" not in below and ", v#" not in below
+
+
+def test_dense_matrix_in_parts(spark, tmp_path):
+    """Points go in several parts, whose lines no task reads together; nulls, empty vectors and repeated ids keep their places."""
+    vecs = [[float(i), i / 7] for i in range(20)]
+    rows = [(i, v) for i, v in enumerate(vecs)] + [(20, None), (21, [1.0, None]), (22, []), (23, [5.0, 6.0]), (23, [5.0, 6.0]), (None, [9.0, 9.0])]
+    df = spark.createDataFrame(rows[::-1], "kp_id long, vec array<double>").repartition(3)
+    text.write_dense_matrix(df, f"{tmp_path}/m", "kp_id", count=10)
+    parts = [p for p in (tmp_path / "m_rows").iterdir() if p.name.startswith("part-")]
+    assert len(parts) > 3 and max(p.read_text().count("\n") for p in parts) < 12
+    assert [p.read_text() for p in (tmp_path / "m_dim").glob("part-*") if p.stat().st_size] == ["26 2\n"]
+    assert sorted((r.doc_id, r.vec) for r in text.dense_rows(spark, f"{tmp_path}/m").collect()) == [(i, v) for i, (_, v) in enumerate(rows)]
+    text.write_dense_matrix(df.limit(0), f"{tmp_path}/e", "kp_id")
+    assert text.dense_rows(spark, f"{tmp_path}/e").count() == 0
+
+
+def test_dense_matrix_query_reads_parts(spark, monkeypatch):
+    from brindle.plans import registry
+
+    registry.load()
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(text, "_whole", None)  # one task would read the whole file
+    assert registry.QUERIES["s13_dense_matrix"](spark, sf).count() == spark.read.parquet(f"{sf}/embeddings.parquet").count()
