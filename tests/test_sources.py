@@ -246,3 +246,28 @@ def test_dense_matrix_query_reads_parts(spark, monkeypatch):
     sf = "/root/testdata/sf0.001"
     monkeypatch.setattr(text, "_whole", None)  # one task would read the whole file
     assert registry.QUERIES["s13_dense_matrix"](spark, sf).count() == spark.read.parquet(f"{sf}/embeddings.parquet").count()
+
+
+def test_features_take_one_call_a_step(monkeypatch):
+    """All extrema of an octave are refined together and tops are those of whole cubes; an image's rows don't take a frame of their own."""
+    dog = np.random.default_rng(3).normal(size=(5, 20, 24)).round(1) / 20
+    middle = dog[1:-1, 1:-1, 1:-1]
+    top = (middle > 0) & (middle >= sift._around(dog, np.maximum)) | (middle < 0) & (middle <= sift._around(dog, np.minimum))
+    want = np.argwhere(top & (np.abs(middle) > 0.5 * sift.CONTRAST / sift.INTERVALS)) + 1
+    assert len(want) > 5 and np.array_equal(sift._tops(dog), want)
+    calls, own = [], np.linalg.pinv
+    monkeypatch.setattr(sift.np.linalg, "pinv", lambda x: calls.append(len(x)) or own(x))
+    inside = want[((want[:, 1:] >= sift.BORDER) & (want[:, 1:] < np.array(dog.shape[1:]) - sift.BORDER)).all(axis=1)]
+    together = sift._refined(dog, inside)
+    assert len(calls) <= sift.STEPS and calls[0] == len(inside) > 1
+    for at, found in zip(inside, together, strict=True):
+        alone = sift._refined(dog, at[None])[0]
+        assert (found is None) == (alone is None) and (found is None or found[:3] == alone[:3] and np.array_equal(found[3], alone[3]) and found[4] == alone[4])
+
+
+def test_features_of_many_images_share_frames(spark):
+    image = b"P5 64 64 255\n" + (np.add.outer(np.arange(64), np.arange(64)) % 17 * 15).astype("u1").tobytes()
+    df = spark.createDataFrame([(i, image) for i in range(6)], "fid long, content binary").coalesce(1)
+    rows = image_features.extract(df).collect()
+    alone = image_features.extract(df.where("fid = 3")).collect()
+    assert [r[1:] for r in rows if r.fid == 3] == [r[1:] for r in alone] and {r.fid for r in rows} == (set(range(6)) if alone else set())
