@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brindle.operators import evaluation, scores
-from brindle.plans import ranking
+from brindle.plans import ranking, search
 
 
 def tables(spark):
@@ -51,3 +51,9 @@ def test_no_pair_is_shuffled(spark):
     """Scores come from one pass over the images: what is left to order are the best of each task."""
     plan = ranking.ranked(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and plan.index("MapInArrow") > plan.index("Window") and "HashAggregate" not in plan
+
+
+def test_simple_scores_ask_for_twenty(spark, monkeypatch):
+    asked, own = [], search.ranked
+    monkeypatch.setattr(search, "ranked", lambda spark, sf_dir, k=50: asked.append(k) or own(spark, sf_dir, k))
+    assert search.a15(spark, "/root/testdata/sf0.001").columns and asked == [20]
